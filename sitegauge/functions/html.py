@@ -40,8 +40,12 @@ NAMED_ENTITIES = {
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for ``body``; lambda bodies have no common-subexpression elimination."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind ``value`` once for ``body``; lambda bodies have no common-subexpression elimination.
+
+    The fold over nothing only applies its final step, and unlike ``transform`` does not copy
+    the result.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 # --- fixed values: Unicode white space ---

@@ -39,60 +39,81 @@ def syllables(word: Column) -> Column:
     )
 
 
-def content_stats(text: Column) -> Column:
-    """Struct of word, character and sentence counts of a text."""
+def total_syllables(words: Column) -> Column:
+    """Sum of :func:`syllables` over a word array, by a few passes over the joined long words."""
+    long_words = F.lower(F.array_join(F.filter(words, lambda w: F.length(w) > 3), " "))
+    stems = F.regexp_replace(
+        F.regexp_replace(long_words, r"(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?= |$)", ""), r"(?<![^ ])y", ""
+    )
+    vowelless = r"(?<![^ ])[^aeiouy ]*+(?![^ ])"
+    counted = let(
+        stems,
+        lambda s: F.regexp_count(s, F.lit(VOWEL_GROUP)) + F.regexp_count(s, F.lit(vowelless)),
+    )
+    short = F.size(F.filter(words, lambda w: F.length(w) <= 3))
+    return short + F.when(long_words == "", 0).otherwise(counted)
 
-    def stats(clean: Column) -> Column:
-        def counts(found: Column) -> Column:
-            blank = clean == ""
-            words = F.regexp_count(clean, F.lit(LETTER_WORD))
-            n = F.greatest(F.size(found), F.lit(1))
-            return F.struct(
-                words.alias("word_count"),
-                F.length(clean).alias("text_chars"),
-                F.when(blank, 0).otherwise(n).alias("sentence_count"),
-                F.when(blank, 0.0).otherwise(F.round(words / n, 1)).alias("avg_sentence_length"),
-                F.size(F.filter(found, lambda s: F.size(F.split(s, " ")) > 25)).alias("long_sentences"),
-                # Line breaks are collapsed before counting, so a text is one paragraph.
-                F.when(blank, 0).otherwise(1).alias("paragraph_count"),
-            )
 
-        return let(sentences(clean), counts)
+def measures(text: Column, with_syllables: bool = True) -> Column:
+    """Counts that statistics and readability share, from one pass over the collapsed text."""
 
-    return let(collapse(F.coalesce(text, F.lit(""))), stats)
+    def from_words(clean: Column, words: Column, found: Column) -> Column:
+        return F.struct(
+            F.length(clean).alias("chars"),
+            F.size(words).alias("words"),
+            F.size(found).alias("sentences"),
+            F.size(F.filter(found, lambda s: F.size(F.split(s, " ")) > 25)).alias("long_sentences"),
+            (total_syllables(words) if with_syllables else F.lit(0)).alias("syllables"),
+        )
 
+    return let(
+        collapse(F.coalesce(text, F.lit(""))),
+        lambda clean: let(
+            letter_words(clean), lambda words: let(sentences(clean), lambda found: from_words(clean, words, found))
+        ),
+    )
 
-def readability(text: Column) -> Column:
+
+def stats_of(m: Column) -> Column:
+    """Struct of word, character and sentence counts; ``m`` comes from :func:`measures`."""
+    blank = m["chars"] == 0
+    n = F.greatest(m["sentences"], F.lit(1))
+    return F.struct(
+        m["words"].alias("word_count"),
+        m["chars"].alias("text_chars"),
+        F.when(blank, 0).otherwise(n).alias("sentence_count"),
+        F.when(blank, 0.0).otherwise(F.round(m["words"] / n, 1)).alias("avg_sentence_length"),
+        m["long_sentences"].alias("long_sentences"),
+        # Line breaks are collapsed before counting, so a text is one paragraph.
+        F.when(blank, 0).otherwise(1).alias("paragraph_count"),
+    )
+
+
+def readability_of(m: Column) -> Column:
     """Struct with Flesch reading ease, Flesch-Kincaid grade, level and their inputs."""
+    empty = (m["words"] == 0) | (m["sentences"] == 0)
+    asl = m["words"] / F.nullif(m["sentences"], F.lit(0))
+    asw = m["syllables"] / F.nullif(m["words"], F.lit(0))
+    grade = F.lit(0.39) * asl + F.lit(11.8) * asw - F.lit(15.59)
+    ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(1.015) * asl - F.lit(84.6) * asw))
+    level = F.when(empty, "unknown")
+    for bound, name in READING_LEVELS:
+        level = level.when(ease >= bound, name)
+    zero = F.lit(0.0)
+    return F.struct(
+        F.when(empty, zero).otherwise(F.round(ease, 1)).alias("reading_ease"),
+        F.when(empty, zero).otherwise(F.round(grade, 1)).alias("grade"),
+        m["words"].alias("word_count"),
+        F.when(empty, 0).otherwise(m["sentences"]).alias("sentence_count"),
+        m["syllables"].alias("syllable_count"),
+        F.when(empty, zero).otherwise(F.round(asl, 1)).alias("avg_sentence_length"),
+        level.otherwise("very difficult").alias("level"),
+    )
 
-    def measure(m: Column) -> Column:
-        empty = (m["words"] == 0) | (m["sentences"] == 0)
-        asl = m["words"] / F.nullif(m["sentences"], F.lit(0))
-        asw = m["syllables"] / F.nullif(m["words"], F.lit(0))
-        grade = F.lit(0.39) * asl + F.lit(11.8) * asw - F.lit(15.59)
-        ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(1.015) * asl - F.lit(84.6) * asw))
-        level = F.when(empty, "unknown")
-        for bound, name in READING_LEVELS:
-            level = level.when(ease >= bound, name)
-        zero = F.lit(0.0)
-        return F.struct(
-            F.when(empty, zero).otherwise(F.round(ease, 1)).alias("reading_ease"),
-            F.when(empty, zero).otherwise(F.round(grade, 1)).alias("grade"),
-            m["words"].alias("word_count"),
-            F.when(empty, 0).otherwise(m["sentences"]).alias("sentence_count"),
-            m["syllables"].alias("syllable_count"),
-            F.when(empty, zero).otherwise(F.round(asl, 1)).alias("avg_sentence_length"),
-            level.otherwise("very difficult").alias("level"),
-        )
 
-    def inputs(clean: Column) -> Column:
-        return let(
-            F.struct(
-                F.regexp_count(clean, F.lit(LETTER_WORD)).alias("words"),
-                F.size(sentences(clean)).alias("sentences"),
-                F.aggregate(letter_words(clean), F.lit(0), lambda acc, w: acc + syllables(w)).alias("syllables"),
-            ),
-            measure,
-        )
+def content_stats(text: Column) -> Column:
+    return let(measures(text, with_syllables=False), stats_of)
 
-    return let(collapse(F.coalesce(text, F.lit(""))), inputs)
+
+def readability(text: Column) -> Column:
+    return let(measures(text), readability_of)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.constants import BOILERPLATE_TAGS
 from sitegauge.functions import html as H
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.urls import is_absolute
 
 # Tags the page audit reads; the others are tokens only.
@@ -22,13 +23,37 @@ AUDIT_TAGS = tuple(
 )
 
 
+@column_cache
+def base_column() -> Column:
+    return F.when(is_absolute(F.col("url")), F.col("url"))
+
+
+@column_cache
+def tokens_column() -> Column:
+    return H.tokens(F.col("html"))
+
+
+@column_cache
+def closes_column() -> Column:
+    return H.close_positions(F.col("tokens"))
+
+
+@column_cache
+def elements_column(tags: tuple[str, ...] | None) -> Column:
+    return H.elements(F.col("tokens"), F.col("closes"), tags)
+
+
+@column_cache
+def text_column() -> Column:
+    return F.array_join(F.reverse(H.visible_chunks(F.col("tokens"), F.col("els"))), " ")
+
+
 def parse_pages(pages: DataFrame, tags: tuple[str, ...] | None = AUDIT_TAGS) -> DataFrame:
     """Add ``base`` (the page URL if absolute), ``tokens`` and ``els`` to ``(page_id, url, html)``."""
     return (
-        pages.withColumn("base", F.when(is_absolute(F.col("url")), F.col("url")))
-        .withColumn("tokens", H.tokens(F.col("html")))
-        .withColumn("closes", H.close_positions(F.col("tokens")))
-        .withColumn("els", H.elements(F.col("tokens"), F.col("closes"), tags))
+        pages.withColumns({"base": base_column(), "tokens": tokens_column()})
+        .withColumn("closes", closes_column())
+        .withColumn("els", elements_column(tags))
         .drop("closes")
     )
 
@@ -39,7 +64,7 @@ def with_text(parsed: DataFrame, max_chars: int | None = None) -> DataFrame:
     The nodes come in reverse document order, which later ties by first occurrence rely on.
     ``max_chars`` reproduces the bound of a request service; by default texts are whole.
     """
-    text = F.array_join(F.reverse(H.visible_chunks(F.col("tokens"), F.col("els"))), " ")
+    text = text_column()
     return parsed.withColumn("text", text if max_chars is None else F.substring(text, 1, max_chars))
 
 
@@ -77,7 +102,7 @@ def elements(pages: DataFrame) -> DataFrame:
 def token_counts(pages: DataFrame) -> DataFrame:
     """Tokens by page, kind and tag."""
     rows = explode_rows(
-        pages.withColumn("tokens", H.tokens(F.col("html"))),
+        pages.withColumn("tokens", tokens_column()),
         F.transform(F.col("tokens"), lambda t: F.struct(t["kind"].alias("kind"), F.coalesce(t["tag"], F.lit("")).alias("tag"))),
         "page_id",
     )

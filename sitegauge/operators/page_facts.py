@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.constants import IMAGE_EXAMPLES, LINK_EXAMPLES, TOP_HOSTS
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import element_text, is_text, leaf_text, let, strip
 from sitegauge.functions.urls import host_of, hostname, is_absolute, resolve_url
 from sitegauge.operators.elements import explode_rows, parse_pages
@@ -61,6 +62,7 @@ def _top(hosts: Column, limit: int) -> Column:
 # --- head ----------------------------------------------------------------------------------
 
 
+@column_cache
 def metas_column() -> Column:
     """Named metas in document order: ``(key, content)``."""
     return F.transform(
@@ -72,6 +74,7 @@ def metas_column() -> Column:
     )
 
 
+@column_cache
 def meta_facts_column() -> Column:
     """Last content per known key, null if the page lacks the key."""
 
@@ -84,6 +87,7 @@ def meta_facts_column() -> Column:
     return let(metas_column(), pick)
 
 
+@column_cache
 def title_column() -> Column:
     def fields(title: Column) -> Column:
         return F.struct(
@@ -96,6 +100,7 @@ def title_column() -> Column:
     return let(_first(first), fields)
 
 
+@column_cache
 def document_column() -> Column:
     metas = _els("meta")
     refresh = _first(F.filter(metas, lambda e: F.lower(_attr(e, "http-equiv")) == "refresh"))
@@ -112,6 +117,7 @@ def document_column() -> Column:
     )
 
 
+@column_cache
 def canonical_column() -> Column:
     base = F.col("base")
 
@@ -130,10 +136,12 @@ def canonical_column() -> Column:
     return let(_attr(_first(F.filter(_els("link"), lambda e: _rel(e, "canonical"))), "href"), fields)
 
 
+@column_cache
 def has_favicon_column() -> Column:
     return F.exists(_els("link"), lambda e: _rel(e, "icon"))
 
 
+@column_cache
 def hreflang_column() -> Column:
     alternates = F.filter(_els("link"), lambda e: _rel(e, "alternate") & is_text(_attr(e, "hreflang")))
     return F.transform(
@@ -151,6 +159,7 @@ def robots_directives(content: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+@column_cache
 def viewport_column() -> Column:
     def fields(metas: Column) -> Column:
         content = F.coalesce(_attr(_first(metas), "content"), F.lit(""))
@@ -170,6 +179,7 @@ def viewport_column() -> Column:
 # --- structure -----------------------------------------------------------------------------
 
 
+@column_cache
 def headings_column() -> Column:
     """Headings in document order: ``(pos, level, text)``."""
     return F.transform(
@@ -190,6 +200,7 @@ def skipped_levels(levels: Column) -> Column:
     return F.filter(pairs, lambda p: F.coalesce(p["to"] - p["from"] > 1, F.lit(False)))
 
 
+@column_cache
 def heading_facts_column() -> Column:
     def fields(found: Column) -> Column:
         levels = F.array_sort(F.array_distinct(F.transform(found, lambda h: h["level"])))
@@ -208,6 +219,7 @@ def heading_facts_column() -> Column:
     return let(headings_column(), fields)
 
 
+@column_cache
 def links_column() -> Column:
     """Anchors with a non-blank href in document order, classified."""
     tokens, base = F.col("tokens"), F.col("base")
@@ -256,6 +268,7 @@ def links_column() -> Column:
     return let(hostname(base), lambda page_host: F.transform(located, classify(page_host)))
 
 
+@column_cache
 def link_facts_column() -> Column:
     def count(links: Column, test) -> Column:
         return F.size(F.filter(links, test))
@@ -283,6 +296,7 @@ def link_facts_column() -> Column:
     return let(links_column(), fields)
 
 
+@column_cache
 def images_column() -> Column:
     def flags(e: Column) -> Column:
         src = strip(F.coalesce(_attr(e, "src"), F.lit("")))
@@ -304,6 +318,7 @@ def images_column() -> Column:
     return F.transform(_els("img"), flags)
 
 
+@column_cache
 def image_facts_column() -> Column:
     def fields(images: Column) -> Column:
         def count(flag: str) -> Column:
@@ -332,6 +347,7 @@ def image_facts_column() -> Column:
 # --- rendering -----------------------------------------------------------------------------
 
 
+@column_cache
 def third_party_column() -> Column:
     """Most frequent foreign asset hosts: src of script, link and img first, then link href."""
     page_host = hostname(F.col("base"))
@@ -344,6 +360,7 @@ def third_party_column() -> Column:
     return let(foreign, lambda found: _top(found, TOP_HOSTS))
 
 
+@column_cache
 def render_signals_column() -> Column:
     """Rendering signals read from the markup; needs ``html``, ``tokens``, ``els`` and ``text``."""
     head = _first(_els("head"))
@@ -394,9 +411,10 @@ def render_signals_column() -> Column:
     return let(parts, fields)
 
 
-def vitals_column(signals: Column) -> Column:
+@column_cache
+def vitals_column(signals: str = "signals") -> Column:
     """Markup-based estimates of the three vitals."""
-    s = signals
+    s = F.col(signals)
     text, size, images = s["text_length_chars"], s["dom_size_bytes"], s["image_count"]
     scripts, styles, bare = s["scripts_count"], s["stylesheets_count"], s["images_without_dimensions"]
     return F.struct(

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import is_text, let, strip
 from sitegauge.functions.urls import hostname
 from sitegauge.operators.page_facts import robots_directives
@@ -375,6 +376,7 @@ CATALOG = (
 )
 
 
+@column_cache
 def findings_column(texts: bool = True) -> Column:
     """Array of the findings of one page; ``texts=False`` leaves message, fix and evidence out."""
 

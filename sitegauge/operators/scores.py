@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.constants import CATEGORY_WEIGHTS, RULESET_VERSION
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import is_text, let
 from sitegauge.operators.elements import explode_rows, parse_pages
 from sitegauge.operators import page_facts as P
@@ -46,6 +47,7 @@ def findings_ranked(pages: DataFrame) -> DataFrame:
     return explode_rows(with_findings(page_facts(pages)), ranked, "page_id")
 
 
+@column_cache
 def categories_column() -> Column:
     """Score of every category, also of those without finding."""
     def entry(category: str, weight: int) -> Column:
@@ -119,6 +121,7 @@ def flat_scores(scored: DataFrame) -> DataFrame:
 # --- fixed values: points of the additive score ---
 
 
+@column_cache
 def legacy_score_column() -> Column:
     """Additive score over flat facts named as in ``page_report``, capped at 100.
 

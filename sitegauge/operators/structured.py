@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.constants import SCHEMA_REQUIREMENTS
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import leaf_text, let
 from sitegauge.operators.elements import explode_rows, parse_pages
 
@@ -15,6 +16,7 @@ PROPERTIES = tuple(dict.fromkeys(p for props in SCHEMA_REQUIREMENTS.values() for
 NESTING_LEVELS = 6
 
 
+@column_cache
 def blocks_column() -> Column:
     """Non-blank ld+json scripts in document order: ``(block, node)``, node null if invalid."""
     scripts = F.filter(
@@ -46,9 +48,10 @@ def _open_level(nodes: Column) -> Column:
     return F.flatten(F.transform(nodes, step))
 
 
-def nodes_column(blocks: Column) -> Column:
+@column_cache
+def nodes_column(blocks: str) -> Column:
     """Top-level objects of the valid blocks: ``(block, types, context, absent)``."""
-    nodes = F.filter(blocks, lambda b: b["node"].isNotNull())
+    nodes = F.filter(F.col(blocks), lambda b: b["node"].isNotNull())
     for _ in range(NESTING_LEVELS):
         nodes = _open_level(nodes)
 
@@ -80,10 +83,11 @@ def _required(kind: Column) -> Column:
     return F.coalesce(table[kind], F.array().cast("array<string>"))
 
 
-def typed_nodes(nodes: Column) -> Column:
+@column_cache
+def typed_column(nodes: str) -> Column:
     """One entry per declared type: ``(block, type, missing)``."""
     return F.flatten(F.transform(
-        nodes,
+        F.col(nodes),
         lambda n: F.transform(
             n["types"],
             lambda t: F.struct(
@@ -94,15 +98,10 @@ def typed_nodes(nodes: Column) -> Column:
     ))
 
 
-def with_structured(parsed: DataFrame) -> DataFrame:
-    """Add ``schema``: blocks, invalid blocks, types, contexts and missing properties."""
-    staged = (
-        parsed.withColumn("ld_blocks", blocks_column())
-        .withColumn("ld_nodes", nodes_column(F.col("ld_blocks")))
-        .withColumn("ld_typed", typed_nodes(F.col("ld_nodes")))
-    )
+@column_cache
+def schema_column() -> Column:
     contexts = F.array_sort(F.array_distinct(F.filter(F.transform(F.col("ld_nodes"), lambda n: n["context"]), lambda c: c.isNotNull())))
-    schema = let(
+    return let(
         contexts,
         lambda found: F.struct(
             (F.size("ld_typed") > 0).alias("has_structured_data"),
@@ -117,7 +116,16 @@ def with_structured(parsed: DataFrame) -> DataFrame:
             F.exists(found, lambda c: c.contains("schema.org")).alias("uses_schema_org"),
         ),
     )
-    return staged.withColumn("schema", schema).drop("ld_blocks", "ld_nodes", "ld_typed")
+
+
+def with_structured(parsed: DataFrame) -> DataFrame:
+    """Add ``schema``: blocks, invalid blocks, types, contexts and missing properties."""
+    staged = (
+        parsed.withColumn("ld_blocks", blocks_column())
+        .withColumn("ld_nodes", nodes_column("ld_blocks"))
+        .withColumn("ld_typed", typed_column("ld_nodes"))
+    )
+    return staged.withColumn("schema", schema_column()).drop("ld_blocks", "ld_nodes", "ld_typed")
 
 
 def structured_data(pages: DataFrame) -> DataFrame:
@@ -125,7 +133,8 @@ def structured_data(pages: DataFrame) -> DataFrame:
     staged = (
         parse_pages(pages)
         .withColumn("blocks", blocks_column())
-        .withColumn("typed", typed_nodes(nodes_column(F.col("blocks"))))
+        .withColumn("nodes", nodes_column("blocks"))
+        .withColumn("typed", typed_column("nodes"))
     )
     rows = F.flatten(F.transform(
         F.col("blocks"),

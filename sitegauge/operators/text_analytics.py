@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.constants import COMMERCIAL_MODIFIERS, QUESTION_WORDS, STOP_WORDS, TOP_WORDS
 from sitegauge.functions import text as T
+from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import collapse, strip, unescape
 from sitegauge.operators.elements import explode_rows, parse_pages, with_text
 
@@ -74,6 +75,7 @@ def syllables(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().select("word", T.syllables(F.col("word")).alias("n"))
 
 
+@column_cache
 def quick_text_column() -> Column:
     """Body text with script text, as the in-page check counts it."""
     body = F.get(F.filter(F.col("els"), lambda e: e["tag"] == "body"), F.lit(0))

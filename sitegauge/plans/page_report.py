@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.constants import STOP_WORDS
 from sitegauge.functions import text as T
+from sitegauge.functions.cache import column_cache
+from sitegauge.functions.html import let
 from sitegauge.operators import page_facts as P
 from sitegauge.operators.elements import parse_pages, with_text
 from sitegauge.operators.structured import with_structured
-from sitegauge.operators.text_analytics import content_words, keyword_words
+from sitegauge.operators.text_analytics import keyword_words
+
+
+@column_cache
+def measures_column() -> Column:
+    return T.measures(F.col("text"))
+
+
+@column_cache
+def stats_column() -> Column:
+    return T.stats_of(F.col("measures"))
+
+
+@column_cache
+def readability_column() -> Column:
+    return T.readability_of(F.col("measures"))
+
+
+@column_cache
+def keyword_counts_column() -> Column:
+    def counts(words: Column) -> Column:
+        return F.struct(
+            F.size(F.filter(words, lambda w: ~w.isin(*STOP_WORDS))).alias("keywords"), F.size(words).alias("words")
+        )
+
+    return let(keyword_words(F.col("text")), counts)
 
 
 def page_facts(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -27,17 +55,18 @@ def page_facts(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
         "has_favicon": P.has_favicon_column(),
         "hreflang": P.hreflang_column(),
         "headings": P.heading_facts_column(),
-        "stats": T.content_stats(F.col("text")),
-        "readability": T.readability(F.col("text")),
+        "measures": measures_column(),
         "links": P.link_facts_column(),
         "images": P.image_facts_column(),
         "viewport": P.viewport_column(),
         "signals": P.render_signals_column(),
         "third_party": P.third_party_column(),
-        "keyword_count": F.size(content_words(F.col("text"))),
-        "keyword_word_count": F.size(keyword_words(F.col("text"))),
+        "keyword_counts": keyword_counts_column(),
     })
-    return facts.withColumn("vitals", P.vitals_column(F.col("signals"))).drop("tokens", "els", "text")
+    derived = facts.withColumns({
+        "stats": stats_column(), "readability": readability_column(), "vitals": P.vitals_column()
+    })
+    return derived.drop("tokens", "els", "text", "measures")
 
 
 def page_report(pages: DataFrame) -> DataFrame:
@@ -46,11 +75,16 @@ def page_report(pages: DataFrame) -> DataFrame:
 
 
 def flatten_facts(facts: DataFrame) -> DataFrame:
+    return facts.select(*fact_columns())
+
+
+def fact_columns() -> list[Column]:
+    """The scalar facts as top-level columns of a frame with the fact structs."""
     def fields(struct: str, names: str, prefix: str = ""):
         return [F.col(f"{struct}.{n}").alias(prefix + n) for n in names.split()]
 
-    return facts.select(
-        "page_id", "url",
+    return [
+        F.col("page_id"), F.col("url"),
         *fields("title_facts", "title title_length title_words"),
         F.col("meta.description"),
         F.length(F.coalesce(F.col("meta.description"), F.lit(""))).alias("description_length"),
@@ -58,7 +92,7 @@ def flatten_facts(facts: DataFrame) -> DataFrame:
                         "twitter_card twitter_title twitter_description twitter_image twitter_site robots keywords_meta"),
         *fields("canonical_facts", "canonical canonical_absolute canonical_self canonical_host"),
         *fields("document", "lang charset meta_refresh"),
-        "has_favicon",
+        F.col("has_favicon"),
         F.size("hreflang").alias("hreflang_count"),
         *fields("headings", "total empty h1_count h2_count h3_count h4_count h5_count h6_count", "headings_"),
         *fields("stats", "word_count text_chars sentence_count avg_sentence_length long_sentences paragraph_count"),
@@ -74,6 +108,6 @@ def flatten_facts(facts: DataFrame) -> DataFrame:
                            "defer_scripts async_scripts inline_script_bytes inline_style_bytes preconnect preload "
                            "iframes embeds text_length_chars"),
         F.size("third_party").alias("third_party_count"),
-        "keyword_count", "keyword_word_count",
+        F.col("keyword_counts.keywords").alias("keyword_count"), F.col("keyword_counts.words").alias("keyword_word_count"),
         *fields("vitals", "lcp fcp cls"),
-    )
+    ]

@@ -206,6 +206,42 @@ PAGE_VISITS = {
     "event_id": "event_id",
 }
 
+# Requests per client, route and day that count as a breach in the given event log.
+DAILY_LIMIT = 2
+
+# Fetch candidates: the page URLs and malformed or refused variants of them.
+FETCH_URLS = {
+    "url": (
+        "case page_id % 14 when 1 then replace(url, 'http', 'ftp') when 2 then 'https://user:pw@' || substr(url, 9) "
+        "when 3 then 'http://localhost/' || page_id when 4 then 'http://printer' || page_id || '.local/' "
+        "when 5 then 'https://example.com:22/' || page_id when 6 then 'https://Example.com.:8080/' || page_id "
+        "when 7 then url || repeat('a', 2100) when 8 then '' when 9 then 'javascript:alert(' || page_id || ')' "
+        "when 10 then 'https:///' || page_id when 11 then 'http://example.org:99999/' || page_id "
+        "when 12 then 'http://metadata.google.internal/' || page_id else url end"
+    ),
+}
+
+DNS = {
+    "host": "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)",
+    "address": (
+        "case page_id % 10 when 1 then '10.0.0.' || (page_id % 250) when 2 then '::1' when 3 then '2606:2800:220:1::1' "
+        "when 4 then '::ffff:127.0.0.1' when 5 then '100.100.100.200' when 6 then '172.32.0.1' when 7 then '172.31.0.1' "
+        "else '93.184.216.' || (page_id % 250) end"
+    ),
+}
+DNS_FILTER = "page_id % 9 <> 8"
+
+THRESHOLDS = {
+    "product": "p_partkey",
+    "threshold": "case p_size % 4 when 0 then cast(0 as double) when 1 then null else p_retailprice * 2 end",
+}
+
+# Account and time of every audited page.
+OWNERS = {
+    "email": "'user' || (page_id % 7) || '@example.com'",
+    "created_at": "timestamp '2024-01-01 00:00:00' + interval '1' minute * page_id",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
