@@ -172,5 +172,5 @@ def price_trend_30d(points: DataFrame, days: int = 30) -> DataFrame:
     frame = Window.partitionBy("product").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
     return daily.select(
         "product", "date", F.min("low").over(frame).alias("min_30d"), F.max("high").over(frame).alias("max_30d"),
-        F.round(F.sum("cents").over(frame).cast("double") / F.sum("n").over(frame) / 100, 2).alias("avg_30d"),
+        (F.sum("cents").over(frame).cast("double") / F.sum("n").over(frame) / 100).alias("avg_30d"),
     )

@@ -115,7 +115,7 @@ ends AS (
 el AS (
   SELECT t.page_id, t.url, t.pos, t.tag, t.raw, t.n_tok, coalesce(e.close_pos, t.pos) AS close_pos,
     list_transform(regexp_extract_all({_BODY.replace('raw', 't.raw')}, '{ATTR}', 1), lambda n: lower(n)) AS names,
-    list_transform(regexp_extract_all({_BODY.replace('raw', 't.raw')}, '{ATTR}', 2), lambda v: {unescape(_ATTR_VALUE)}) AS vals
+    list_transform(regexp_extract_all({_BODY.replace('raw', 't.raw')}, '{ATTR}', 2), lambda v: coalesce({unescape(_ATTR_VALUE)}, '')) AS vals
   FROM tk t LEFT JOIN ends e ON e.page_id = t.page_id AND e.pos = t.pos AND e.kind = 'open' WHERE t.kind = 'open'
 ),
 txt AS (SELECT page_id, pos, {trim(unescape('raw'))} AS s FROM tk WHERE kind = 'text'),
@@ -776,7 +776,7 @@ SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END
         "price_report_products": _points("SELECT product, store, price, price = min(price) OVER (PARTITION BY product) AS is_best_price, round(max(price) OVER (PARTITION BY product) - price, 2) AS savings, last_checked FROM cur"),
         "price_report_alerts": _points(f"""SELECT product, store, prev AS previous_price, curr AS current_price, {_PCT} AS change_pct, curr < prev AS is_drop, date FROM (
   SELECT product, store, max(price) FILTER (WHERE srank = 2) AS prev, max(price) FILTER (WHERE srank = 1) AS curr, cast(max(captured_at) AS date) AS date FROM ok GROUP BY product, store) WHERE prev <> curr"""),
-        "price_trend_30d": _points("""SELECT product, date, min(low) OVER w AS min_30d, max(high) OVER w AS max_30d, round(cast(sum(cents) OVER w AS double) / sum(n) OVER w / 100, 2) AS avg_30d FROM (
+        "price_trend_30d": _points("""SELECT product, date, min(low) OVER w AS min_30d, max(high) OVER w AS max_30d, cast(sum(cents) OVER w AS double) / sum(n) OVER w / 100 AS avg_30d FROM (
   SELECT product, cast(captured_at AS date) AS date, sum(cast(round(price * 100) AS bigint)) AS cents, count(*) AS n, min(price) AS low, max(price) AS high FROM ok GROUP BY ALL)
 WINDOW w AS (PARTITION BY product ORDER BY date RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)"""),
         # accounts
@@ -802,7 +802,7 @@ def _product_sql() -> str:
   CASE k WHEN 0 THEN 'Fine' || p_type WHEN 1 THEN p_brand WHEN 2 THEN substr(trim(repeat(p_type || ' text ', 60)), 1, 500) WHEN 3 THEN p_brand ELSE '' END AS description,
   CASE k WHEN 0 THEN {origin} || '/img/' || page_id || '.jpg' WHEN 1 THEN {origin} || '/item/a.jpg' WHEN 2 THEN 'https://img.example/' || page_id || '.jpg'
     WHEN 3 THEN {origin} || '/i/zoom.jpg|' || {origin} || '/i/main-two.jpg|' || {origin} || '/i/one.jpg' ELSE '' END AS images,
-  CASE k WHEN 0 THEN 'S|Large' WHEN 1 THEN 'red' WHEN 2 THEN 'Blue' ELSE '' END AS variants, CASE k WHEN 2 THEN '$' ELSE 'USD' END AS currency
+  CASE k WHEN 0 THEN 'S|Large' WHEN 1 THEN 'Choose|red' WHEN 2 THEN 'Blue' ELSE '' END AS variants, CASE k WHEN 2 THEN '$' ELSE 'USD' END AS currency
 FROM (SELECT *, page_id % 5 AS k FROM ({derived(D.PRODUCT_PAGES, 'part')}) JOIN part ON p_partkey = page_id)"""
 
 

@@ -133,7 +133,7 @@ def history_append(spark: SparkSession, sf: str) -> DataFrame:
     """Rows go through the append table and come back from it."""
     path = FS.work_folder(spark, "history")
     FS.append_history(H.history_rows(_scored_accounts(spark, sf)), path)
-    return spark.read.parquet(path).drop("created_date")
+    return spark.read.parquet(path).drop("created_month")
 
 
 def history_compact(spark: SparkSession, sf: str) -> DataFrame:

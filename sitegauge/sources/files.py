@@ -24,18 +24,21 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def append_table(rows: DataFrame, path: str, *partition_by: str) -> None:
-    """Append rows to a Parquet table, partitioned for later pruning."""
-    writer = rows.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def append_table(rows: DataFrame, path: str, partition_by: str) -> None:
+    """Append rows to a Parquet table, partitioned for later pruning.
+
+    The rebalance hint lets adaptive execution merge small partitions and split large ones, so
+    neither thousands of small files nor one huge file per partition value results.
+    """
+    rows.hint("rebalance", partition_by).write.mode("append").partitionBy(partition_by).parquet(path)
 
 
 def append_points(points: DataFrame, path: str) -> None:
-    append_table(points.withColumn("capture_date", F.to_date("captured_at")), path, "capture_date")
+    append_table(points.withColumn("capture_month", F.date_format("captured_at", "yyyy-MM")), path, "capture_month")
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    append_table(rows.withColumn("created_date", F.to_date("created_at")), path, "created_date")
+    append_table(rows.withColumn("created_month", F.date_format("created_at", "yyyy-MM")), path, "created_month")
 
 
 def flat_columns(df: DataFrame) -> DataFrame:

@@ -23,11 +23,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """File stream with the schema of the files present; NTZ timestamps become timestamps."""
+    """File stream with the schema of the files present; NTZ timestamps become timestamps.
+
+    The path is given as a pattern that matches just itself: a table may then be a single file
+    as well as a folder.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(path)
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     casts = {n: F.col(n).cast("timestamp") for n, t in stream.dtypes if t == "timestamp_ntz"}
     return stream.withColumns(casts) if casts else stream
 
