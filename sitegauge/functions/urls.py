@@ -128,38 +128,45 @@ def network_bounds(network: tuple[str, int]) -> tuple[int, int]:
 
 
 def _public_ipv4(number: Column) -> Column:
-    def inside(networks):
-        hit = F.lit(False)
-        for network in networks:
-            low, high = network_bounds(network)
-            hit = hit | number.between(low, high)
-        return hit
-
-    return ~inside(NON_PUBLIC_NETWORKS) | inside(PUBLIC_EXCEPTIONS)
+    def inside(value: Column, networks) -> Column:
+        bounds = F.array(*[
+            F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in map(network_bounds, networks)
+        ])
+        return F.exists(bounds, lambda n: value.between(n["low"], n["high"]))
+
+    return let(
+        number, lambda v: F.when(v.isNotNull(), ~inside(v, NON_PUBLIC_NETWORKS) | inside(v, PUBLIC_EXCEPTIONS))
+    )
 
 
 def public_address(address: Column) -> Column:
     """True for a public IPv4 or IPv6 address. Anything unparsable is not public."""
-    lowered = F.lower(address)
-    mapped = F.regexp_extract(lowered, r"^(?:0{0,4}:){2,5}(?:0{0,4}:)?ffff:([0-9.]+)$", 1)
-    first = F.regexp_extract(lowered, r"^([0-9a-f]{0,4}):", 1)
-    group = F.conv(F.when(first == "", "0").otherwise(first), 16, 10).cast("int")
-    second = F.conv(F.concat(F.lit("0"), F.regexp_extract(lowered, r"^[0-9a-f]{1,4}:([0-9a-f]{0,4})", 1)), 16, 10).cast("int")
-    is_v6 = lowered.rlike(r"^[0-9a-f:]*:[0-9a-f:]*[0-9a-f.]*$") & (lowered.contains("::") | (F.size(F.split(lowered, ":")) == 8))
-    # Global unicast is 2000::/3; documentation, benchmarking and special blocks inside it are not public.
-    special = (
-        ((group == 0x2001) & (second < 0x0200))
-        | ((group == 0x2001) & (second == 0x0DB8))
-        | (group == 0x2002)
-        | ((group == 0x3FFF) & (second < 0x1000))
+
+    def judge(a: Column) -> Column:
+        is_v6 = a["text"].rlike(r"^[0-9a-f:]*:[0-9a-f:]*[0-9a-f.]*$") & (a["text"].contains("::") | (F.size(F.split(a["text"], ":")) == 8))
+        # Global unicast is 2000::/3; documentation, benchmarking and special blocks inside it are not public.
+        special = (
+            ((a["first"] == 0x2001) & (a["second"] < 0x0200))
+            | ((a["first"] == 0x2001) & (a["second"] == 0x0DB8))
+            | (a["first"] == 0x2002)
+            | ((a["first"] == 0x3FFF) & (a["second"] < 0x1000))
+        )
+        public_v6 = is_v6 & a["first"].between(0x2000, 0x3FFF) & ~special
+        v4 = F.coalesce(F.nullif(a["mapped"], F.lit("")), a["text"])
+        public = F.coalesce(_public_ipv4(ipv4_number(v4)), public_v6, F.lit(False))
+        return public & ~F.coalesce(a["text"].isin(*METADATA_ADDRESSES), F.lit(False))
+
+    def group(text: Column, pattern: str) -> Column:
+        return F.conv(F.concat(F.lit("0"), F.regexp_extract(text, pattern, 1)), 16, 10).cast("int")
+
+    text = F.lower(address)
+    parts = F.struct(
+        text.alias("text"),
+        F.regexp_extract(text, r"^(?:0{0,4}:){2,5}(?:0{0,4}:)?ffff:([0-9.]+)$", 1).alias("mapped"),
+        group(text, r"^([0-9a-f]{0,4}):").alias("first"),
+        group(text, r"^[0-9a-f]{1,4}:([0-9a-f]{0,4})").alias("second"),
     )
-    public_v6 = group.between(0x2000, 0x3FFF) & ~special
-    return F.coalesce(
-        F.when(address.rlike(IPV4_PATTERN), _public_ipv4(ipv4_number(address)))
-        .when(mapped != "", F.coalesce(_public_ipv4(ipv4_number(mapped)), F.lit(False)))
-        .when(is_v6, public_v6),
-        F.lit(False),
-    ) & ~F.coalesce(address.isin(*METADATA_ADDRESSES), F.lit(False))
+    return let(parts, judge)
 
 
 # --- admission ---------------------------------------------------------------------------
@@ -167,31 +174,41 @@ def public_address(address: Column) -> Column:
 
 def admission(url: Column, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> Column:
     """Struct ``(ok, reason, host, port)``; ``reason`` is the first check that fails."""
-    authority = authority_of(url)
-    scheme = scheme_of(url)
-    credentials = F.regexp_extract(authority, r"^(.*)@", 1)
-    host = F.regexp_replace(hostname(url), r"\.+$", "")
+
+    def judge(u: Column) -> Column:
+        scheme, authority, host, port = u["scheme"], u["authority"], u["host"], u["port"]
+        blocked = host.isin(*BLOCKED_HOSTNAMES)
+        for suffix in BLOCKED_HOST_SUFFIXES:
+            blocked = blocked | host.endswith(suffix)
+        credentials = F.regexp_extract(authority, r"^(.*)@", 1)
+        return (
+            F.when(F.coalesce(u["url"] == "", F.lit(True)), "URL is required")
+            .when(F.length(u["url"]) > MAX_URL_LENGTH, "URL exceeds maximum length")
+            .when(authority.contains("[") != authority.contains("]"), "URL cannot be parsed")
+            .when(~scheme.isin("http", "https"), F.concat(F.lit("Only http/https URLs are allowed, got: '"), scheme, F.lit("'")))
+            .when(~credentials.isin("", ":"), "Credentials in the URL are not allowed")
+            .when(host == "", "URL must include a valid hostname")
+            .when(blocked, "URL hostname is blocked for security reasons")
+            .when(port.isNull() | (port > 65535), "URL has an invalid port")
+            .when(~port.isin(*allowed_ports), F.concat(F.lit("Port "), port.cast("string"), F.lit(" is not allowed")))
+        )
+
+    def verdict(u: Column) -> Column:
+        return let(
+            judge(u),
+            lambda reason: F.struct(
+                reason.isNull().alias("ok"), reason.alias("reason"),
+                F.when(reason.isNull(), u["host"]).alias("host"), F.when(reason.isNull(), u["port"]).alias("port"),
+            ),
+        )
+
+    authority, scheme = authority_of(url), scheme_of(url)
     port_text = F.regexp_extract(authority, r":([^:\]@]*)$", 1)
-    valid_port = (port_text == "") | port_text.rlike(r"^[0-9]{1,5}$")
-    number = F.when(port_text.rlike(r"^[0-9]{1,5}$"), port_text.cast("int"))
-    port = F.when(F.coalesce(number, F.lit(0)) > 0, number).otherwise(F.when(scheme == "https", 443).otherwise(80))
-    blocked = host.isin(*BLOCKED_HOSTNAMES)
-    for suffix in BLOCKED_HOST_SUFFIXES:
-        blocked = blocked | host.endswith(suffix)
-    unparsable = authority.contains("[") != authority.contains("]")
-    reason = (
-        F.when(F.coalesce(url == "", F.lit(True)), "URL is required")
-        .when(F.length(url) > MAX_URL_LENGTH, "URL exceeds maximum length")
-        .when(unparsable, "URL cannot be parsed")
-        .when(~scheme.isin("http", "https"), F.concat(F.lit("Only http/https URLs are allowed, got: '"), scheme, F.lit("'")))
-        .when(~credentials.isin("", ":"), "Credentials in the URL are not allowed")
-        .when(host == "", "URL must include a valid hostname")
-        .when(blocked, "URL hostname is blocked for security reasons")
-        .when(~valid_port | (F.coalesce(number, F.lit(0)) > 65535), "URL has an invalid port")
-        .when(~port.isin(*allowed_ports), F.concat(F.lit("Port "), port.cast("string"), F.lit(" is not allowed")))
-    )
-    ok = reason.isNull()
-    return F.struct(
-        ok.alias("ok"), reason.alias("reason"),
-        F.when(ok, host).alias("host"), F.when(ok, port).alias("port"),
+    default = F.when(scheme == "https", 443).otherwise(80)
+    # An empty or zero port means the default one; null is an unreadable port.
+    number = F.when(port_text.isin("", "0"), default).when(port_text.rlike(r"^[0-9]{1,9}$"), port_text.cast("int"))
+    parts = F.struct(
+        url.alias("url"), authority.alias("authority"), scheme.alias("scheme"),
+        F.regexp_replace(hostname(url), r"\.+$", "").alias("host"), number.alias("port"),
     )
+    return let(parts, verdict)

@@ -72,7 +72,9 @@ def _change(pairs: DataFrame) -> DataFrame:
 def change_message(prev: Column, curr: Column) -> Column:
     verb = F.when(curr < prev, "dropped").otherwise("increased")
     pct = F.abs(curr - prev) / F.nullif(prev, F.lit(0.0)) * 100
-    return F.format_string("Price %s %.1f%%: $%.2f -> $%.2f", verb, pct, prev, curr)
+    return F.when(pct.isNull(), F.format_string("Price %s: $%.2f -> $%.2f", verb, prev, curr)).otherwise(
+        F.format_string("Price %s %.1f%%: $%.2f -> $%.2f", verb, pct, prev, curr)
+    )
 
 
 def price_change_alerts(points: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
