@@ -98,7 +98,7 @@ def syllable_counts(pages: DataFrame) -> DataFrame:
 
 def document_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Readability of the plain documents: the text part alone, over another table."""
-    docs = D.table(spark, sf, "documents")
+    docs = D.work_table(spark, sf, "documents")
     return docs.select("doc_id", TA.T.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
@@ -359,4 +359,4 @@ QUERIES: dict[str, Query] = {
 
 def _aug_captures(spark: SparkSession, sf: str) -> DataFrame:
     """Captures whose documents are the augmented pages."""
-    return D.derive(D.table(spark, sf, "pages"), {**D.CAPTURES, "html": D.PAGES_AUG["html"]})
+    return D.derive(D.work_table(spark, sf, "pages"), {**D.CAPTURES, "html": D.PAGES_AUG["html"]})

@@ -243,24 +243,38 @@ OWNERS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for inputs of few splits, such as one file with one row group.
+
+    Large tables have more splits than cores and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process."""
+    return spread(table(spark, sf_dir, name))
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} as {name}" for name, expr in columns.items()])
 
 
 def pages_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "pages"), PAGES_AUG)
+    return derive(work_table(spark, sf_dir, "pages"), PAGES_AUG)
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "part"), PRODUCT_PAGES)
+    return derive(work_table(spark, sf_dir, "part"), PRODUCT_PAGES)
 
 
 def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "lineitem").where("l_quantity > 0"), PRICE_POINTS)
+    return derive(work_table(spark, sf_dir, "lineitem").where("l_quantity > 0"), PRICE_POINTS)
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
