@@ -28,7 +28,7 @@ def parse_price(text: Column, locale_aware: bool = False) -> Column:
 def strip_price(text: Column, symbols: str = "$,€£") -> Column:
     """Symbols dropped, the rest must be a number; null otherwise."""
     bare = F.trim(F.translate(text, symbols, ""))
-    return F.when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), bare).try_cast("double")
+    return F.regexp_extract(bare, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$", 0).try_cast("double")
 
 
 def currency_of(text: Column) -> Column:

@@ -50,6 +50,25 @@ def price_history(points: DataFrame, limit: int = PRICE_POINTS, order: tuple[str
     )
 
 
+def with_previous(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """Add the value of the preceding row of the key, without ever holding a whole key in a task.
+
+    Rows are range-partitioned by key and order, so a large key is cut into consecutive slices.
+    The lag is taken inside the slices; a second window over just the first and last row of each
+    slice carries the value across the cuts.
+    """
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    marked = ranged.withColumns({
+        "_inner": F.lag(value).over(inner),
+        "_first": F.row_number().over(inner) == 1,
+        "_last": F.lead(F.lit(1)).over(inner).isNull(),
+    }).withColumn("_group", F.when(F.col("_first") | F.col("_last"), -1).otherwise(F.col("_slice")))
+    across = F.lag(value).over(Window.partitionBy(*keys, "_group").orderBy(*order))
+    carried = marked.withColumn("_edge", across).withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_inner")))
+    return carried.drop("_slice", "_inner", "_first", "_last", "_group", "_edge")
+
+
 def _last_two(points: DataFrame, value: Column, keys: tuple[str, ...], order: tuple[str, ...] = ORDER) -> DataFrame:
     """Current and previous value by key."""
     ranked = points.withColumn("value", value).withColumn("rank", _latest_rank(keys, order)).where(F.col("rank") <= 2)
@@ -152,15 +171,14 @@ def price_report_summary(points: DataFrame, order: tuple[str, ...] = ORDER) -> D
     """
     current = store_prices(points, order)
     per_product = current.groupBy("product").agg(F.sum("price").alias("total"), F.count("*").alias("n"))
-    products = per_product.agg(
-        F.count("*").alias("num_products"), F.round(F.sum("total") / F.sum("n"), 2).alias("avg_price")
-    )
-    stores = current.select("store").distinct().agg(F.count("*").alias("num_stores"))
-    drops = price_report_alerts(points, order).agg(F.count_if("is_drop").alias("price_drops"))
-    key = F.lit(1)
-    return (
-        products.withColumn("k", key).join(stores.withColumn("k", key), "k").join(drops.withColumn("k", key), "k").drop("k")
-    )
+    parts = [
+        per_product.agg(F.count("*").alias("num_products"), F.round(F.sum("total") / F.sum("n"), 2).alias("avg_price")),
+        current.select("store").distinct().agg(F.count("*").alias("num_stores")),
+        price_report_alerts(points, order).agg(F.count_if("is_drop").alias("price_drops")),
+    ]
+    # Three one-row results side by side: stacked and folded, no join needed.
+    stacked = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in ("num_products", "num_stores", "avg_price", "price_drops")])
 
 
 def price_trend_30d(points: DataFrame, days: int = 30) -> DataFrame:

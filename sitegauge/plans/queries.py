@@ -227,10 +227,9 @@ def stream_rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_price_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    J.use_rocksdb(spark)
     stream = J.read_stream(spark, f"{sf}/lineitem.parquet").where("l_quantity > 0")
-    output = J.run_available(J.price_changes(D.derive(stream, D.PRICE_POINTS)), FS.work_folder(spark, "alerts"))
-    return spark.read.parquet(output)
+    output = J.price_changes(D.derive(stream, D.PRICE_POINTS), FS.work_folder(spark, "alerts"))
+    return spark.read.parquet(output).drop("batch_id")
 
 
 def stream_subscription_state(spark: SparkSession, sf: str) -> DataFrame:

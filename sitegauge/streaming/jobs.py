@@ -17,6 +17,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from sitegauge.functions.prices import strip_price
 from sitegauge.operators.accounts import COMPLETED, DELETED, UPDATED, rate_limit_column
+from sitegauge.operators.prices import ORDER, with_previous
 from sitegauge.operators.scores import page_score
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,36 +94,35 @@ def final_breaches(spark: SparkSession, output: str, limit: Column | None = None
 # --- keyed state ---------------------------------------------------------------------------
 
 
-class PriceChanges(StatefulProcessor):
-    """Alert per readable point that differs from the one before, over the whole stream."""
+def price_changes(points: DataFrame, folder: str, order: tuple[str, ...] = ORDER) -> str:
+    """Alert per readable point that differs from the one before, over the whole stream.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        chunks = list(rows)
-        points = pd.concat(chunks).sort_values(["captured_at", "store", "price_cents", "l_orderkey", "l_linenumber"])
-        before = points["price"].shift()
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        changed = before.notna() & (before != points["price"])
-        self.last.update((float(points["price"].iloc[-1]),))
-        yield pd.DataFrame({
-            "product": key[0], "captured_at": points["captured_at"][changed], "prev": before[changed],
-            "curr": points["price"][changed],
-            "direction": (points["price"] < before)[changed].map({True: "drop", False: "increase"}),
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def price_changes(points: DataFrame) -> DataFrame:
-    """Change alerts; needs the RocksDB state store, see :func:`use_rocksdb`."""
+    State is a table with the last price per product, written anew by every batch under its
+    batch id, so a repeated batch reads the same state and overwrites its own output. The work
+    of a batch is cut by range (:func:`with_previous`): a product may fill a batch by itself.
+    """
     readable = points.withColumn("price", strip_price(F.col("price_text"))).where(F.col("price").isNotNull())
-    return readable.groupBy("product").transformWithStateInPandas(
-        PriceChanges(), "product long, captured_at timestamp, prev double, curr double, direction string", "Append", "none"
-    )
+    columns = ("product", "price", *order)
+    output = f"{folder}/output"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*columns, F.lit(batch_id).alias("seen"))
+        if batch_id > 0:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{folder}/state/{batch_id - 1}"))
+        rows = rows.persist()
+        position = ("seen", *order)
+        changed = with_previous(rows, ("product",), position, "price", "prev").where(
+            (F.col("seen") == batch_id) & (F.col("prev") != F.col("price"))
+        )
+        changed.select(
+            "product", "captured_at", "prev", F.col("price").alias("curr"),
+            F.when(F.col("price") < F.col("prev"), "drop").otherwise("increase").alias("direction"),
+        ).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        last = F.max_by(F.struct(*columns, "seen"), F.struct(*position)).alias("last")
+        rows.groupBy("product").agg(last).select("last.*").write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        rows.unpersist()
+
+    return run_available(readable, folder, "append", write_batch)
 
 
 class Subscriptions(StatefulProcessor):

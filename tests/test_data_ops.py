@@ -124,6 +124,21 @@ def test_hot_product_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
+def test_previous_value_crosses_the_slices_of_a_hot_key(spark):
+    """Brute force over a key that fills all range partitions and keys that fill none."""
+    values = {"hot": [(i * 7919) % 1000 for i in range(5000)], "one": [3], "two": [4, 5]}
+    rows = [(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)]
+    data = frame(spark, rows, "k string, i int, v int").repartition(5)
+    sliced = data.repartitionByRange(6, "k", "i").where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert sliced > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.k, r.i): r.prev for r in PR.with_previous(data, ("k",), ("i",), "v", "prev").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {(k, i): (vs[i - 1] if i else None) for k, vs in values.items() for i in range(len(vs))}
+
+
 def test_selectors(spark, page):
     markup = """<div class="box price"><div><span class="amount">$12.50</span></div></div><span class="amount">$1</span>
     <h2>Second</h2><h1>First</h1><img src="/product/1.jpg"><img src="/x.jpg"><select><option>S</option></select>"""
@@ -183,7 +198,6 @@ def test_exports(spark, tmp_path):
 
 def test_stream_state_spans_batches(spark, tmp_path):
     """Two files in two batches alert like one file, and a restart goes on from the checkpoint."""
-    J.use_rocksdb(spark)
     columns = "product long, store long, captured_at timestamp, price_cents long, l_orderkey long, l_linenumber int, price_text string"
 
     def add(name, rows):
@@ -192,7 +206,7 @@ def test_stream_state_spans_batches(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-        return spark.read.parquet(J.run_available(J.price_changes(stream), str(tmp_path / "job")))
+        return spark.read.parquet(J.price_changes(stream, str(tmp_path / "job")))
 
     add("a", [(1, 10.0), (2, 8.0)])
     run()
