@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegauge.constants import BOILERPLATE_TAGS, VOID_TAGS
+from sitegauge.functions.cache import column_cache
 
 # Comments, whole script/style elements, tags (quotes respected after "="), declarations, text.
 # Quantifiers are possessive where a repeated group could otherwise recurse in java.util.regex.
@@ -70,6 +71,11 @@ def is_text(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
 
 
+@column_cache
+def _entities() -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("char")) for k, v in NAMED_ENTITIES.items()])
+
+
 def unescape(text: Column) -> Column:
     """Character references to characters; texts without ``&`` pass untouched."""
 
@@ -91,9 +97,8 @@ def unescape(text: Column) -> Column:
             F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), numeric), ""),
         ),
     ).otherwise(text)
-    for entity, char in NAMED_ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    named = F.aggregate(_entities(), decoded, lambda acc, e: F.replace(acc, e["name"], e["char"]))
+    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
 
 
 def tokens(html: Column) -> Column:
