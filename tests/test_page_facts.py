@@ -168,3 +168,8 @@ FACTS = (
 def test_legacy_score(spark, facts, expected):
     row = spark.createDataFrame([facts], FACTS).select(S.legacy_score_column().alias("score")).first()
     assert row.score == expected
+
+
+def test_page_audit_has_no_shuffle(page):
+    plan = S.page_score(page(ARTICLE))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
