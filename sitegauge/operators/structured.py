@@ -12,13 +12,13 @@ from sitegauge.operators.elements import explode_rows, parse_pages
 
 PROPERTIES = tuple(dict.fromkeys(p for props in SCHEMA_REQUIREMENTS.values() for p in props))
 
-# Lists and @graph wrappers may nest; each level is one more expression over the same row.
-NESTING_LEVELS = 6
-
 
 @column_cache
 def blocks_column() -> Column:
-    """Non-blank ld+json scripts in document order: ``(block, node)``, node null if invalid."""
+    """Non-blank ld+json scripts in document order: ``(block, node, wrappers)``, node null if invalid.
+
+    ``wrappers`` bounds how deep lists and @graph objects can nest in the block.
+    """
     scripts = F.filter(
         F.transform(
             F.filter(F.col("els"), lambda e: (e["tag"] == "script") & F.coalesce(e["attrs"]["type"] == "application/ld+json", F.lit(False))),
@@ -27,33 +27,53 @@ def blocks_column() -> Column:
         lambda raw: raw.rlike(r"\S"),
     )
     return F.transform(
-        scripts, lambda raw, i: F.struct((i + 1).cast("int").alias("block"), F.try_parse_json(raw).alias("node"))
+        scripts, lambda raw, i: F.struct(
+            (i + 1).cast("int").alias("block"), F.try_parse_json(raw).alias("node"),
+            F.regexp_count(raw, F.lit(r"\[|@graph")).alias("wrappers"),
+        )
     )
 
 
-def _open_level(nodes: Column) -> Column:
-    """Replace lists by their items and @graph wrappers by the graph."""
+def _item(n: Column, path: Column, node: Column) -> Column:
+    return F.struct(path.alias("path"), n["block"].alias("block"), node.alias("node"))
+
+
+def _open_wrappers(state: Column) -> Column:
+    """One level: lists yield their items, @graph wrappers their graph, objects are done."""
 
-    def step(n: Column) -> Column:
-        kind = F.schema_of_variant(n["node"])
+    def graph(n: Column) -> Column:
+        return F.try_variant_get(n["node"], "$['@graph']", "variant")
+
+    def children(n: Column) -> Column:
         items = F.try_variant_get(n["node"], "$", "array<variant>")
-        graph = F.try_variant_get(n["node"], "$['@graph']", "variant")
-        wrap = F.transform(items, lambda x: F.struct(n["block"].alias("block"), x.alias("node")))
-        return (
-            F.when(kind.startswith("ARRAY"), wrap)
-            .when(graph.isNotNull(), F.array(F.struct(n["block"].alias("block"), graph.alias("node"))))
-            .otherwise(F.array(n))
-        )
+        return F.when(
+            F.schema_of_variant(n["node"]).startswith("ARRAY"),
+            F.transform(items, lambda x, i: _item(n, F.concat(n["path"], F.array(i)), x)),
+        ).otherwise(F.filter(F.array(_item(n, n["path"], graph(n))), lambda g: g["node"].isNotNull()))
 
-    return F.flatten(F.transform(nodes, step))
+    finished = F.filter(
+        state["open"], lambda n: F.schema_of_variant(n["node"]).startswith("OBJECT") & graph(n).isNull()
+    )
+    opened = F.struct(
+        F.flatten(F.transform(state["open"], children)).alias("open"), F.concat(state["done"], finished).alias("done")
+    )
+    return F.when(F.size(state["open"]) > 0, opened).otherwise(state)
 
 
 @column_cache
 def nodes_column(blocks: str) -> Column:
-    """Top-level objects of the valid blocks: ``(block, types, context, absent)``."""
-    nodes = F.filter(F.col(blocks), lambda b: b["node"].isNotNull())
-    for _ in range(NESTING_LEVELS):
-        nodes = _open_level(nodes)
+    """Top-level objects of the valid blocks in document order: ``(block, types, context, absent)``.
+
+    The fold runs as often as wrappers can nest; without open nodes a round does nothing.
+    """
+    valid = F.filter(F.col(blocks), lambda b: b["node"].isNotNull())
+    roots = F.transform(valid, lambda b: _item(b, F.array(b["block"]), b["node"]))
+    start = let(roots, lambda r: F.struct(r.alias("open"), F.filter(r, lambda _: F.lit(False)).alias("done")))
+    rounds = F.coalesce(F.array_max(F.transform(valid, lambda b: b["wrappers"])), F.lit(0)) + 1
+    objects = F.aggregate(F.sequence(F.lit(1), rounds), start, lambda state, _: _open_wrappers(state), lambda state: state["done"])
+    ordered = F.array_sort(
+        objects, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
+    )
 
     def facts(n: Column) -> Column:
         node = n["node"]
@@ -70,8 +90,7 @@ def nodes_column(blocks: str) -> Column:
             absent.alias("absent"),
         )
 
-    objects = F.filter(nodes, lambda n: F.schema_of_variant(n["node"]).startswith("OBJECT"))
-    return F.transform(objects, facts)
+    return F.transform(ordered, facts)
 
 
 def _required(kind: Column) -> Column:

@@ -89,6 +89,13 @@ def test_structured_data_shapes(page):
     ]
 
 
+def test_structured_data_of_any_depth_in_document_order(page):
+    deep = "[" * 9 + '{"@graph": {"@graph": [{"@type": "A"}]}}' + "]" * 9
+    markup = f'<script type="application/ld+json">[{deep}, {{"@type": "B"}}, [{{"@type": "C"}}], 5, null]</script>'
+    schema = structured.with_structured(P.parse_pages(page(markup))).first().schema
+    assert schema.types == ["A", "B", "C"] and schema.invalid_blocks == 0
+
+
 def test_blocking_scripts_need_a_value(page):
     markup = '<head><script src="a" defer></script><script src="b" async="x"></script><script>1</script><script src="c" type="module"></script></head>'
     r = page_report(page(markup)).first()
