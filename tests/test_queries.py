@@ -11,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from compare import connect, differences  # noqa: E402
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+OPTIONAL = set(entry.llm.QUERIES) if entry.llm else set()
+QUERIES = {name: query for name, query in entry.queries().items() if name not in OPTIONAL}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name not in OPTIONAL}
 
 
 @pytest.fixture(scope="module")
