@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_sharding
+from sitegauge.llm import queries_exact_dedup, queries_sharding
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
+    "op9_salted_exact_dedup": queries_exact_dedup.op9_salted_exact_dedup,
 }
 
 ORACLE = {
     "op1_weighted_hash_tree": queries_sharding.ORACLE,
+    "op9_salted_exact_dedup": queries_exact_dedup.ORACLE,
 }
