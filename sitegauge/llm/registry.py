@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_exact_dedup, queries_sharding
+from sitegauge.llm import queries_exact_dedup, queries_packing, queries_sharding, queries_token_counts
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
+    "op5_transducer_token_counts": queries_token_counts.op5_transducer_token_counts,
+    "op8_best_fit_packing": queries_packing.op8_best_fit_packing,
     "op9_salted_exact_dedup": queries_exact_dedup.op9_salted_exact_dedup,
 }
 

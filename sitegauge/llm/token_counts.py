@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from sitegauge.llm.common import by_slices, texts_of
 from sitegauge.llm.words import Words
 
-#: States that a worker keeps; beyond these the machine is compiled anew from what follows.
-MOST_STATES = 40_000
+#: Cells of the transition table that a worker keeps, 5 bytes each; beyond these the machine is
+#: compiled anew from what follows.
+MOST_CELLS = 24_000_000
 #: Symbols: a byte, and a byte that ends the word.
 SYMBOLS = 512
 LAST = 256
+#: Order of a token that no merge makes.
+SINGLE = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,7 +47,7 @@ def byte_letters() -> dict[str, int]:
 class Machine:
     """Transducer of the words of a BPE vocabulary with word ends."""
 
-    def __init__(self, path: str, most_states: int = MOST_STATES) -> None:
+    def __init__(self, path: str, most_cells: int = MOST_CELLS) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         end, letters = model["end_of_word_suffix"], byte_letters()
@@ -56,11 +59,17 @@ class Machine:
 
         self.spelling = {i: symbols(t) for t, i in model["vocab"].items()}
         of = {s: i for i, s in self.spelling.items()}
-        self.ranks = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            left, right = model["vocab"][a], model["vocab"][b]
-            self.ranks[left, right] = (rank, of[self.spelling[left] + self.spelling[right]])
-        self.single = {s[0]: i for s, i in of.items() if len(s) == 1}
+        # Merges by their two tokens, and for each token the order and the parts of its own merge.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.order = dict.fromkeys(self.spelling, SINGLE)
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
+        for rank, (x, y) in enumerate(model["merges"]):
+            left, right = model["vocab"][x], model["vocab"][y]
+            token = of[self.spelling[left] + self.spelling[right]]
+            self.ranks[left, right] = rank
+            if self.order[token] == SINGLE:
+                self.order[token], self.left[token], self.right[token] = rank, left, right
         # Trie of tokens: for each node its children, and the token that ends there or -1.
         self.children: list[dict[int, int]] = [{}]
         self.token = [-1]
@@ -73,33 +82,62 @@ class Machine:
                     self.token.append(-1)
                 node = self.children[node][c]
             self.token[node] = i
-        self.agreeing: dict[tuple[int, int], bool] = {}
-        self.most_states = most_states
+        self.is_whole: dict[int, bool] = {}
+        self.most_cells = most_cells
         self.clear()
 
     def clear(self) -> None:
-        """Forget all states but the first."""
+        """Forget all states but the first, and the columns of the symbols."""
         self.lists = [((0, -1, 0),)]
         self.number = {self.lists[0]: 0}
-        self.next = np.full(1024 * SYMBOLS, -1, np.int32)
-        self.grown = np.zeros(1024 * SYMBOLS, np.int8)
-
-    def merge(self, tokens: list[int]) -> list[int]:
-        """Plain byte-pair merging, for agreements of two tokens."""
-        while len(tokens) > 1:
-            rank, at = min((self.ranks[p][0], i) if (p := (tokens[i], tokens[i + 1])) in self.ranks else (1 << 60, i) for i in range(len(tokens) - 1))
-            if rank == 1 << 60:
-                break
-            tokens = [*tokens[:at], self.ranks[tokens[at], tokens[at + 1]][1], *tokens[at + 2 :]]
-        return tokens
+        self.column = np.full(SYMBOLS, -1, np.int64)
+        self.symbols: list[int] = []
+        self.next, self.grown = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int8)
+
+    def resize(self, rows: int, columns: int) -> None:
+        """Room for so many states and symbols."""
+        (r, c), n, g = self.next.shape, self.next, self.grown
+        self.next, self.grown = np.full((rows, columns), -1, np.int32), np.zeros((rows, columns), np.int8)
+        self.next[:r, :c], self.grown[:r, :c] = n, g
 
     def agree(self, before: int, token: int) -> bool:
-        """Whether ``token`` may follow ``before`` (-1: the start of the word)."""
-        key = (before, token)
-        if key not in self.agreeing:
-            spelt = (self.spelling[before] if before >= 0 else ()) + self.spelling[token]
-            self.agreeing[key] = self.merge([self.single[s] for s in spelt]) == [t for t in key if t >= 0]
-        return self.agreeing[key]
+        """Whether ``token`` may follow ``before`` (-1: the start of the word).
+
+        The merges inside both are undone, latest first. If the two tokens that then touch at the
+        border have a merge that would have come before the one just undone, they would have been
+        merged across the border.
+        """
+        if before < 0:
+            return self.order[token] == SINGLE or self.whole(token)
+        limit = len(self.ranks) + 1
+        while True:
+            across = self.ranks.get((before, token))
+            if across is not None and across < limit:
+                return False
+            if self.order[before] > self.order[token]:
+                limit = self.order[before]
+                before = self.right[before]
+            elif self.order[token] != SINGLE:
+                limit = self.order[token] + 1
+                token = self.left[token]
+            else:
+                return True
+
+    def whole(self, token: int) -> bool:
+        """Whether the token is the encoding of its own spelling: its parts are, and agree."""
+        if token not in self.is_whole:
+            left, right = self.left[token], self.right[token]
+            # Both parts must be what merging gives before the merge that joins them.
+            self.is_whole[token] = all(self.order[x] == SINGLE or self.whole(x) for x in (left, right)) and self.first_across(left, right)
+        return self.is_whole[token]
+
+    def first_across(self, left: int, right: int) -> bool:
+        """Whether nothing is merged across the border before the two parts are whole."""
+        rank, self.ranks[left, right] = self.ranks[left, right], len(self.ranks) + 2
+        try:
+            return self.agree(left, right)
+        finally:
+            self.ranks[left, right] = rank
 
     def compile(self, state: int, symbol: int) -> None:
         """Make one transition."""
@@ -112,16 +150,15 @@ class Machine:
             if open_ not in self.number:
                 self.number[open_] = len(self.lists)
                 self.lists.append(open_)
-                if len(self.lists) * SYMBOLS > len(self.next):
-                    self.next = np.concatenate([self.next, np.full(len(self.next), -1, np.int32)])
-                    self.grown = np.concatenate([self.grown, np.zeros(len(self.grown), np.int8)])
+                if len(self.lists) > len(self.next):
+                    self.resize(len(self.next) * 3 // 2, self.next.shape[1])
             after = self.number[open_]
-        self.next[state * SYMBOLS + symbol] = after
-        self.grown[state * SYMBOLS + symbol] = grown
+        self.next[state, self.column[symbol]] = after
+        self.grown[state, self.column[symbol]] = grown
 
     def count(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each word; all words step through the machine together, longest first."""
-        if len(self.lists) > self.most_states:
+        if self.next.size > self.most_cells:
             self.clear()
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
@@ -130,12 +167,21 @@ class Machine:
         for i, n in enumerate(alive):
             symbol = data[start[:n] + i].astype(np.int64)
             symbol[length[:n] == i + 1] += LAST
-            at = state[:n] * SYMBOLS + symbol
-            missing = np.unique(at[self.next[at] < 0])
+            column = self.column[symbol]
+            if column.min() < 0:
+                for x in np.unique(symbol[column < 0]).tolist():
+                    self.column[x] = len(self.symbols)
+                    self.symbols.append(x)
+                if len(self.symbols) > self.next.shape[1]:
+                    self.resize(len(self.next), len(self.symbols) + 31)
+                column = self.column[symbol]
+            at = state[:n] * self.next.shape[1] + column
+            missing = np.unique(at[self.next.reshape(-1)[at] < 0])
+            width = self.next.shape[1]
             for x in missing.tolist():
-                self.compile(*divmod(x, SYMBOLS))
-            state[:n] = self.next[at]
-            tokens[:n] += self.grown[at]
+                self.compile(x // width, self.symbols[x % width])
+            state[:n] = self.next.reshape(-1)[at]
+            tokens[:n] += self.grown.reshape(-1)[at]
         out = np.empty_like(tokens)
         out[order] = tokens
         return out
