@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_CHA
     """Batches cut so that the texts of ``column`` in each have at most ``most`` bytes, or one row."""
     for batch in batches:
         array = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(array), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,7 +230,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_column: str = "doc_i
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
-        sizes = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(texts), 0), pa.int64())
+        sizes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
         n = counts(texts_of(batch, "text"), path)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
