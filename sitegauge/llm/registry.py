@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_exact_dedup, queries_language_id, queries_packing, queries_sharding, queries_token_counts
+from sitegauge.llm import queries_exact_dedup, queries_language_id, queries_packing, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
     "op4_subword_language_id": queries_language_id.op4_subword_language_id,
     "op5_transducer_token_counts": queries_token_counts.op5_transducer_token_counts,
+    "op6_rule_ensemble_quality": queries_quality.op6_rule_ensemble_quality,
     "op8_best_fit_packing": queries_packing.op8_best_fit_packing,
     "op9_salted_exact_dedup": queries_exact_dedup.op9_salted_exact_dedup,
 }
