@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_exact_dedup, queries_language_id, queries_packing, queries_quality, queries_sharding, queries_token_counts
+from sitegauge.llm import queries_chat, queries_exact_dedup, queries_language_id, queries_packing, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
+    "op2_token_level_chat": queries_chat.op2_token_level_chat,
     "op4_subword_language_id": queries_language_id.op4_subword_language_id,
     "op5_transducer_token_counts": queries_token_counts.op5_transducer_token_counts,
     "op6_rule_ensemble_quality": queries_quality.op6_rule_ensemble_quality,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_weighted_hash_tree": queries_sharding.ORACLE,
+    "op2_token_level_chat": queries_chat.ORACLE,
     "op9_salted_exact_dedup": queries_exact_dedup.ORACLE,
 }
