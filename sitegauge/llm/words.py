@@ -146,11 +146,7 @@ class Words:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Index of one occurrence of each distinct word, and each word's number among them."""
-        powers, inverse = _powers(len(self.data))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-        code = (sums[self.start + self.length] - sums[self.start]) * inverse[self.start]
-        code ^= code >> np.uint64(29)
-        code = code * np.uint64(0xBF58476D1CE4E5B9) ^ (self.length.astype(np.uint64) << np.uint64(40))
+        code = codes(self.data, self.start, self.length)
         self.code = code
         _, index, number = np.unique(code, return_index=True, return_inverse=True)
         return index, number
@@ -168,3 +164,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n + 1, 1 << 21)
         _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (FACTOR, INVERSE)]
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
+def codes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit code of each span of the bytes: a polynomial read off prefix sums, mixed with the length."""
+    powers, inverse = _powers(len(data))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+    code = (sums[start + length] - sums[start]) * inverse[start]
+    code ^= code >> np.uint64(29)
+    return code * np.uint64(0xBF58476D1CE4E5B9) ^ (length.astype(np.uint64) << np.uint64(40))
