@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_chat, queries_exact_dedup, queries_language_id, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
+from sitegauge.llm import queries_ann, queries_chat, queries_exact_dedup, queries_language_id, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_unigram_viterbi_pieces": queries_pieces.op7_unigram_viterbi_pieces,
     "op8_best_fit_packing": queries_packing.op8_best_fit_packing,
     "op9_salted_exact_dedup": queries_exact_dedup.op9_salted_exact_dedup,
+    "op10_balanced_posting_lists": queries_ann.op10_balanced_posting_lists,
 }
 
 ORACLE = {
