@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import queries_ann, queries_chat, queries_exact_dedup, queries_language_id, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
+from sitegauge.llm import queries_ann, queries_chat, queries_exact_dedup, queries_language_id, queries_minhash, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
     "op2_token_level_chat": queries_chat.op2_token_level_chat,
+    "op3_probminhash_near_dedup": queries_minhash.op3_probminhash_near_dedup,
     "op4_subword_language_id": queries_language_id.op4_subword_language_id,
     "op5_transducer_token_counts": queries_token_counts.op5_transducer_token_counts,
     "op6_rule_ensemble_quality": queries_quality.op6_rule_ensemble_quality,
