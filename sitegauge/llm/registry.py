@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sitegauge.llm import queries_ann, queries_chat, queries_exact_dedup, queries_language_id, queries_minhash, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_weighted_hash_tree": queries_sharding.op1_weighted_hash_tree,
     "op2_token_level_chat": queries_chat.op2_token_level_chat,
     "op3_probminhash_near_dedup": queries_minhash.op3_probminhash_near_dedup,
