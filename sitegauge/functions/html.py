@@ -7,12 +7,14 @@ is a map-only job without shuffle, whatever the number of captures per URL or ho
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegauge.constants import BOILERPLATE_TAGS, VOID_TAGS
 from sitegauge.functions.cache import column_cache
+from sitegauge.functions.nesting import CLOSE, LEAF, nesting
 
 # Comments, whole script/style elements, tags (quotes respected after "="), declarations, text.
 # Quantifiers are possessive where a repeated group could otherwise recurse in java.util.regex.
@@ -28,16 +30,12 @@ ATTR_PATTERN = r"""([a-zA-Z_:@][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"
 
 TOKENS_TYPE = "array<struct<pos:int,kind:string,tag:string,raw:string>>"
 
-# --- fixed values: named character references seen in ordinary pages; amp must stay last ---
-NAMED_ENTITIES = {
-    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
-    "&pound;": "£", "&yen;": "¥", "&cent;": "¢", "&sect;": "§", "&deg;": "°",
-    "&times;": "×", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç",
-    "&amp;": "&",
-}
+# Character references: numeric, named, and what stands between them.
+REFERENCE_PATTERN = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&[a-zA-Z][a-zA-Z0-9]{1,31};?|[^&]++|&"
+# Names of the HTML standard that are also read without a semicolon, longest first.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Numbers 128 to 159 mean the characters of Windows-1252, as browsers read them.
+WINDOWS = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,37 +70,46 @@ def is_text(value: Column) -> Column:
 
 
 @column_cache
-def _entities() -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("char")) for k, v in NAMED_ENTITIES.items()])
+def _references() -> Column:
+    """Map of all names of the HTML standard, with and without semicolon; folded to one literal."""
+    names = list(html5)
+    return F.map_from_arrays(F.split(F.lit("\n".join(names)), "\n"), F.split(F.lit("\x1f".join(html5[n] for n in names)), "\x1f"))
 
 
-def unescape(text: Column) -> Column:
-    """Character references to characters; texts without ``&`` pass untouched."""
+def unescape(text: Column, bare: bool = True) -> Column:
+    """Character references to characters in one pass; texts without ``&`` pass untouched.
 
-    def numeric(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
-        code = F.when(
-            F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)
-        ).otherwise(digits).cast("int")
+    ``bare`` also reads the old names without semicolon; attribute values, where ``&copy=1`` is a
+    query parameter, go without. What is no reference stays as it is.
+    """
+    def numeric(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#([0-9]+|[xX][0-9a-fA-F]+)", 1)
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        valid = (digits != "") & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        rest = F.regexp_replace(part, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    parts = F.split(text, "&#")
-    decoded = F.when(
-        F.contains(text, F.lit("&#")),
-        F.concat(
-            F.get(parts, F.lit(0)),
-            F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), numeric), ""),
-        ),
-    ).otherwise(text)
-    named = F.aggregate(_entities(), decoded, lambda acc, e: F.replace(acc, e["name"], e["char"]))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+        return F.when(code.between(128, 159), F.lit(WINDOWS).substr(code - 127, F.lit(1))).when(valid, char).otherwise(piece)
+
+    def named(piece: Column) -> Column:
+        whole = F.try_element_at(_references(), piece.substr(F.lit(2), F.length(piece)))
+        known = F.when(piece.endswith(";") | F.lit(bare), whole)
+        if not bare:
+            return F.coalesce(known, piece)
+        prefix = F.regexp_extract(piece, f"^&({'|'.join(BARE_NAMES)})", 1)
+        longest = F.concat(F.try_element_at(_references(), prefix), piece.substr(F.length(prefix) + 2, F.length(piece)))
+        return F.coalesce(known, longest, piece)
+
+    def read(piece: Column) -> Column:
+        return F.when(~piece.startswith("&") | (piece == "&"), piece).when(piece.startswith("&#"), numeric(piece)).otherwise(named(piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(text)
 
 
 def tokens(html: Column) -> Column:
-    """Array of ``(pos, kind, tag, raw)``; kind is open, close, text, comment or decl."""
+    """Array of ``(pos, kind, tag, raw)``; kind is open, close, text, comment or decl.
+
+    ``raw`` is the markup as it stands, but for text, where references are read once for all uses.
+    """
 
     def token(raw: Column, pos: Column) -> Column:
         kind = (
@@ -117,12 +124,38 @@ def tokens(html: Column) -> Column:
             raw.rlike(r"^</?[a-zA-Z]"), F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][^\s/>]*)", 1))
         )
         return F.struct(
-            pos.cast("int").alias("pos"), kind.alias("kind"), tag.alias("tag"), raw.alias("raw")
+            pos.cast("int").alias("pos"), kind.alias("kind"), tag.alias("tag"),
+            F.when(raw.startswith("<"), raw).otherwise(unescape(raw)).alias("raw"),
         )
 
     return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0)), token)
 
 
+def runs(items: Column, key: str) -> Column:
+    """``(key, at, i, n)`` of every distinct key of an array of structs: first index, last index, number.
+
+    In order of first occurrence. The items are sorted by key and cut where it changes, so the
+    work is that of sorting, however many keys there are.
+    """
+    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(x[key].alias("key"), i.alias("i"))))
+
+    def cut(rows: Column) -> Column:
+        marked = F.transform(rows, lambda x, k: F.struct(
+            x["key"].alias("key"), x["i"].alias("i"), k.alias("k"),
+            ((k == 0) | ~x["key"].eqNullSafe(F.get(rows, k - 1)["key"])).alias("new")))
+        return let(F.filter(marked, lambda x: x["new"]), lambda firsts: F.transform(firsts, lambda x, j: let(
+            F.coalesce(F.get(firsts, j + 1)["k"], F.size(rows)),
+            lambda stop: F.struct(x["i"].alias("at"), x["key"].alias("key"), F.get(rows, stop - 1)["i"].alias("last"), (stop - x["k"]).alias("n")))))
+
+    return F.array_sort(let(tagged, cut))
+
+
+def last_values(entries: Column) -> Column:
+    """Map of an array of ``(key, value)``; the last value of a key wins, keys stand in order of first occurrence."""
+    return let(entries, lambda e: F.map_from_entries(F.transform(
+        runs(e, "key"), lambda r: F.struct(r["key"], F.get(e, r["last"])["value"]))))
+
+
 def attributes(raw: Column) -> Column:
     """Attribute map of an opening tag: names lowered, quotes off, references decoded, last one wins.
 
@@ -135,19 +168,12 @@ def attributes(raw: Column) -> Column:
 
     def value(token: Column) -> Column:
         quoted = token.startswith('"') | token.startswith("'")
-        return unescape(F.when(quoted, token.substr(F.lit(2), F.length(token) - 2)).otherwise(token))
+        return unescape(F.when(quoted, token.substr(F.lit(2), F.length(token) - 2)).otherwise(token), bare=False)
 
     def build(pair: Column) -> Column:
-        names, values = pair["names"], pair["values"]
-        distinct = F.array_distinct(names)
-        last = F.transform(
-            distinct,
-            lambda name: F.element_at(
-                F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"] == name), -1
-            )["v"],
-        )
-        unique = F.size(distinct) == F.size(names)
-        return F.map_from_arrays(distinct, F.when(unique, values).otherwise(last))
+        unique = F.size(F.array_distinct(pair["names"])) == F.size(pair["names"])
+        return F.when(unique, F.map_from_arrays(pair["names"], pair["values"])).otherwise(
+            last_values(F.arrays_zip(pair["names"].alias("key"), pair["values"].alias("value"))))
 
     return F.when(
         body.rlike(r"[a-zA-Z_:@]"),
@@ -167,79 +193,34 @@ def _is_leaf(token: Column) -> Column:
     return token["tag"].isin(*VOID_TAGS) | token["raw"].endswith("/>") | whole
 
 
-def close_positions(toks: Column) -> Column:
-    """``(pos, close_pos)`` of every non-leaf opening tag, by position.
-
-    One fold with the stack of open elements as state: a closing tag ends the nearest open
-    element of its name together with everything opened inside it, and is ignored if none is
-    open; elements left open end with the page. The newest element is at the front of the stack.
-    """
-    marks = F.transform(
-        F.filter(toks, lambda t: (t["kind"] == "close") | ((t["kind"] == "open") & ~_is_leaf(t))),
-        lambda t: F.struct(t["pos"].alias("pos"), (t["kind"] == "open").alias("opens"), t["tag"].alias("tag")),
-    )
-    start = F.struct(
-        F.array().cast("array<string>").alias("tags"),
-        F.array().cast("array<int>").alias("open"),
-        F.array().cast("array<struct<pos:int,close_pos:int>>").alias("closed"),
-    )
-
-    def step(state: Column, mark: Column) -> Column:
-        def pop(depth: Column) -> Column:
-            rest = F.greatest(F.size(state["tags"]) - depth, F.lit(0))
-            ended = F.transform(
-                F.slice(state["open"], F.lit(1), depth),
-                lambda p: F.struct(p.alias("pos"), mark["pos"].alias("close_pos")),
-            )
-            popped = F.struct(
-                F.slice(state["tags"], depth + 1, rest).alias("tags"),
-                F.slice(state["open"], depth + 1, rest).alias("open"),
-                F.concat(state["closed"], ended).alias("closed"),
-            )
-            return F.when(depth > 0, popped).otherwise(state)
-
-        pushed = F.struct(
-            F.concat(F.array(mark["tag"]), state["tags"]).alias("tags"),
-            F.concat(F.array(mark["pos"]), state["open"]).alias("open"),
-            state["closed"].alias("closed"),
-        )
-        return F.when(mark["opens"], pushed).otherwise(
-            let(F.array_position(state["tags"], mark["tag"]).cast("int"), pop)
-        )
-
-    def finish(state: Column) -> Column:
-        left = F.transform(
-            state["open"], lambda p: F.struct(p.alias("pos"), F.size(toks).alias("close_pos"))
-        )
-        return F.array_sort(F.concat(state["closed"], left))
-
-    return F.aggregate(marks, start, step, finish)
+def nested_ends(toks: Column) -> Column:
+    """End of every opening tag by order, then its depth in boilerplate, in one array."""
+    marks = F.filter(toks, lambda t: t["kind"].isin("open", "close"))
+    spelt = F.transform(marks, lambda t: F.when(t["kind"] == "close", F.concat(F.lit(CLOSE), t["tag"])).when(
+        _is_leaf(t), F.concat(t["tag"], F.lit(LEAF))).otherwise(t["tag"]))
+    return nesting(F.array_join(spelt, " "), F.transform(marks, lambda t: t["pos"]), F.size(toks))
 
 
-def elements(toks: Column, closes: Column, tags: tuple[str, ...] | None = None) -> Column:
-    """Opening tags in document order as ``(pos, tag, attrs, close_pos, raw)``.
+def elements(toks: Column, ends: Column | None, tags: tuple[str, ...] | None = None) -> Column:
+    """Opening tags in document order as ``(pos, tag, attrs, close_pos, raw, depth)``.
 
-    ``closes`` is the result of :func:`close_positions`; leaves end where they start. ``tags``
-    keeps the listed names only, so that attribute parsing is paid for just those.
+    ``ends`` is the result of :func:`nested_ends`; without it, for uses that read no content, every
+    element ends where it starts. ``tags`` keeps the listed names only, so that attribute parsing
+    is paid for just those.
     """
     opened = F.filter(toks, lambda t: t["kind"] == "open")
-    nested = F.zip_with(
-        F.filter(opened, lambda t: ~_is_leaf(t)),
-        closes,
-        lambda t, c: F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), t["raw"].alias("raw"), c["close_pos"].alias("close_pos")),
-    )
-    leaves = F.transform(
-        F.filter(opened, _is_leaf),
-        lambda t: F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), t["raw"].alias("raw"), t["pos"].alias("close_pos")),
-    )
-    both = F.concat(nested, leaves)
+    placed = F.transform(opened, lambda t, i: F.struct(
+        t["pos"].alias("pos"), t["tag"].alias("tag"), t["raw"].alias("raw"),
+        (t["pos"] if ends is None else F.get(ends, i)).alias("close_pos"),
+        (F.lit(0) if ends is None else F.get(ends, i + F.floor(F.size(ends) / 2).cast("int"))).alias("depth"),
+    ))
     if tags is not None:
-        both = F.filter(both, lambda e: e["tag"].isin(*tags))
+        placed = F.filter(placed, lambda e: e["tag"].isin(*tags))
     return F.transform(
-        F.array_sort(both),
+        placed,
         lambda e: F.struct(
             e["pos"].alias("pos"), e["tag"].alias("tag"), attributes(e["raw"]).alias("attrs"),
-            e["close_pos"].alias("close_pos"), e["raw"].alias("raw"),
+            e["close_pos"].alias("close_pos"), e["raw"].alias("raw"), e["depth"].alias("depth"),
         ),
     )
 
@@ -247,7 +228,7 @@ def elements(toks: Column, closes: Column, tags: tuple[str, ...] | None = None)
 def strings_between(toks: Column, start: Column, end: Column) -> Column:
     """Stripped, non-blank text nodes strictly between two token positions."""
     inner = F.slice(toks, start + 2, F.greatest(end - start - 1, F.lit(0)))
-    texts = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: strip(unescape(t["raw"])))
+    texts = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: strip(t["raw"]))
     return F.filter(texts, lambda s: s != "")
 
 
@@ -270,16 +251,8 @@ def visible_chunks(toks: Column, els: Column) -> Column:
     first = F.coalesce(body["pos"], F.lit(-1))
     last = F.coalesce(body["close_pos"], F.size(toks))
     hidden = F.filter(els, lambda e: e["tag"].isin(*BOILERPLATE_TAGS) & (e["close_pos"] > e["pos"]))
-    # Outermost boilerplate intervals only: the others lie inside them. Elements are in order,
-    # so an interval is outermost when it starts after the end of the last one kept.
-    spans = F.aggregate(
-        hidden,
-        F.array().cast("array<struct<pos:int,close_pos:int>>"),
-        lambda kept, e: F.when(
-            e["pos"] > F.coalesce(F.get(kept, F.size(kept) - 1)["close_pos"], F.lit(-1)),
-            F.concat(kept, F.array(F.struct(e["pos"].alias("pos"), e["close_pos"].alias("close_pos")))),
-        ).otherwise(kept),
-    )
+    # Outermost boilerplate intervals only: the others have a depth.
+    spans = F.filter(hidden, lambda e: e["depth"] == 0)
 
     def gap_chunks(bounds: Column) -> Column:
         starts = F.concat(F.array(bounds["first"]), F.transform(bounds["spans"], lambda s: s["close_pos"]))
@@ -293,7 +266,7 @@ def visible_chunks(toks: Column, els: Column) -> Column:
         texts = F.transform(
             shown,
             lambda t: strip(
-                F.when(t["kind"] == "text", unescape(t["raw"]))
+                F.when(t["kind"] == "text", t["raw"])
                 .when(t["kind"] == "comment", F.regexp_replace(t["raw"], r"(?s)^<!--|-->$", ""))
                 .otherwise(F.regexp_replace(t["raw"], r"(?s)^<[!?]|>$", ""))
             ),

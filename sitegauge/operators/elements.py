@@ -34,13 +34,13 @@ def tokens_column() -> Column:
 
 
 @column_cache
-def closes_column() -> Column:
-    return H.close_positions(F.col("tokens"))
+def ends_column() -> Column:
+    return H.nested_ends(F.col("tokens"))
 
 
 @column_cache
-def elements_column(tags: tuple[str, ...] | None) -> Column:
-    return H.elements(F.col("tokens"), F.col("closes"), tags)
+def elements_column(tags: tuple[str, ...] | None, nested: bool) -> Column:
+    return H.elements(F.col("tokens"), F.col("ends") if nested else None, tags)
 
 
 @column_cache
@@ -48,14 +48,15 @@ def text_column() -> Column:
     return F.array_join(F.reverse(H.visible_chunks(F.col("tokens"), F.col("els"))), " ")
 
 
-def parse_pages(pages: DataFrame, tags: tuple[str, ...] | None = AUDIT_TAGS) -> DataFrame:
-    """Add ``base`` (the page URL if absolute), ``tokens`` and ``els`` to ``(page_id, url, html)``."""
-    return (
-        pages.withColumns({"base": base_column(), "tokens": tokens_column()})
-        .withColumn("closes", closes_column())
-        .withColumn("els", elements_column(tags))
-        .drop("closes")
-    )
+def parse_pages(pages: DataFrame, tags: tuple[str, ...] | None = AUDIT_TAGS, nested: bool = True) -> DataFrame:
+    """Add ``base`` (the page URL if absolute), ``tokens`` and ``els`` to ``(page_id, url, html)``.
+
+    Facts that read only tags and attributes go without the ends of elements (``nested=False``).
+    """
+    parsed = pages.withColumns({"base": base_column(), "tokens": tokens_column()})
+    if nested:
+        parsed = parsed.withColumn("ends", ends_column())
+    return parsed.withColumn("els", elements_column(tags, nested)).drop("ends")
 
 
 def with_text(parsed: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -81,19 +82,15 @@ def explode_rows(df: DataFrame, items: Column, *keep: str) -> DataFrame:
 def elements(pages: DataFrame) -> DataFrame:
     """Opening tags of every page: position, tag, attributes, end, nesting in boilerplate and head."""
     parsed = parse_pages(pages, tags=None)
-    spans = F.filter(F.col("els"), lambda e: e["tag"].isin(*BOILERPLATE_TAGS) & (e["close_pos"] > e["pos"]))
     heads = F.filter(F.col("els"), lambda e: e["tag"] == "head")
-    spanned = parsed.withColumn("spans", spans).withColumn("head", F.get(heads, F.lit(0)))
+    spanned = parsed.withColumn("head", F.get(heads, F.lit(0)))
 
     def row(e: Column) -> Column:
-        def around(s: Column) -> Column:
-            return (s["pos"] < e["pos"]) & (e["pos"] < s["close_pos"])
-
+        head = F.col("head")
         return F.struct(
             e["pos"].alias("pos"), e["tag"].alias("tag"), e["attrs"].alias("attrs"),
-            e["close_pos"].alias("close_pos"),
-            F.size(F.filter(F.col("spans"), around)).alias("depth_boiler"),
-            F.coalesce(around(F.col("head")), F.lit(False)).alias("in_head"),
+            e["close_pos"].alias("close_pos"), e["depth"].alias("depth_boiler"),
+            F.coalesce((head["pos"] < e["pos"]) & (e["pos"] < head["close_pos"]), F.lit(False)).alias("in_head"),
         )
 
     return explode_rows(spanned, F.transform(F.col("els"), row), "page_id", "url")

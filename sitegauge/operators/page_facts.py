@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.constants import IMAGE_EXAMPLES, LINK_EXAMPLES, TOP_HOSTS
 from sitegauge.functions.cache import column_cache
-from sitegauge.functions.html import element_text, is_text, leaf_text, let, strip
+from sitegauge.functions.html import element_text, is_text, last_values, leaf_text, let, runs, strip
 from sitegauge.functions.urls import host_of, hostname, is_absolute, resolve_url
 from sitegauge.operators.elements import explode_rows, parse_pages
 
@@ -47,14 +47,12 @@ def _rel(e: Column, part: str) -> Column:
     return F.coalesce(_attr(e, "rel").contains(part), F.lit(False))
 
 
-def _top(hosts: Column, limit: int) -> Column:
-    """Most frequent values of an array as ``(rank, host, n)``, ties by first occurrence."""
-    counted = F.transform(
-        F.array_distinct(hosts),
-        lambda h, i: F.struct((-F.size(F.filter(hosts, lambda x: x == h))).alias("neg"), i.alias("i"), h.alias("host")),
-    )
+def _top(hosts: Column, limit: int | None = None) -> Column:
+    """Values of an array by frequency as ``(rank, host, n)``, ties by first occurrence."""
+    found = runs(F.transform(hosts, lambda h: F.struct(h.alias("host"))), "host")
+    counted = F.array_sort(F.transform(found, lambda r: F.struct((-r["n"]).alias("neg"), r["at"].alias("at"), r["key"].alias("host"))))
     return F.transform(
-        F.slice(F.array_sort(counted), 1, limit),
+        counted if limit is None else F.slice(counted, 1, limit),
         lambda c, i: F.struct((i + 1).cast("int").alias("rank"), c["host"].alias("host"), (-c["neg"]).alias("n")),
     )
 
@@ -435,7 +433,7 @@ def vitals_column(signals: str = "signals") -> Column:
 
 
 def meta_tags(pages: DataFrame) -> DataFrame:
-    facts = parse_pages(pages).select("page_id", meta_facts_column().alias("m"))
+    facts = parse_pages(pages, nested=False).select("page_id", meta_facts_column().alias("m"))
     return facts.select(
         "page_id", "m.*", F.length(F.coalesce(F.col("m.description"), F.lit(""))).alias("description_length")
     )
@@ -448,14 +446,8 @@ def meta_map(pages: DataFrame) -> DataFrame:
         content = F.coalesce(F.nullif(_attr(e, "content"), F.lit("")), _attr(e, "charset"), F.lit(""))
         return F.struct(key.alias("key"), content.alias("value"))
 
-    def last(entries: Column) -> Column:
-        keys = F.array_distinct(F.transform(entries, lambda m: m["key"]))
-        return F.map_from_entries(
-            F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(entries, lambda m: m["key"] == k), -1)["value"]))
-        )
-
     entries = F.filter(F.transform(_els("meta"), entry), lambda m: m["key"].isNotNull())
-    return parse_pages(pages).select("page_id", let(entries, last).alias("tags"))
+    return parse_pages(pages, nested=False).select("page_id", last_values(entries).alias("tags"))
 
 
 def title_stats(pages: DataFrame) -> DataFrame:
@@ -463,23 +455,23 @@ def title_stats(pages: DataFrame) -> DataFrame:
 
 
 def doc_lang_charset(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", document_column().alias("d")).select("page_id", "d.*")
+    return parse_pages(pages, nested=False).select("page_id", document_column().alias("d")).select("page_id", "d.*")
 
 
 def canonical(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", canonical_column().alias("c")).select("page_id", "c.*")
+    return parse_pages(pages, nested=False).select("page_id", canonical_column().alias("c")).select("page_id", "c.*")
 
 
 def favicon(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", has_favicon_column().alias("has_favicon"))
+    return parse_pages(pages, nested=False).select("page_id", has_favicon_column().alias("has_favicon"))
 
 
 def hreflang(pages: DataFrame) -> DataFrame:
-    return explode_rows(parse_pages(pages), hreflang_column(), "page_id")
+    return explode_rows(parse_pages(pages, nested=False), hreflang_column(), "page_id")
 
 
 def robots(pages: DataFrame) -> DataFrame:
-    facts = parse_pages(pages).select("page_id", meta_facts_column()["robots"].alias("robots"))
+    facts = parse_pages(pages, nested=False).select("page_id", meta_facts_column()["robots"].alias("robots"))
     listed = F.transform(robots_directives(F.col("robots")), lambda d, i: F.struct((i + 1).cast("int").alias("ordinal"), d.alias("directive")))
     return explode_rows(facts, listed, "page_id")
 
@@ -519,19 +511,19 @@ def links_summary(pages: DataFrame) -> DataFrame:
 
 
 def images_detail(pages: DataFrame) -> DataFrame:
-    return explode_rows(parse_pages(pages), images_column(), "page_id")
+    return explode_rows(parse_pages(pages, nested=False), images_column(), "page_id")
 
 
 def images_summary(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", image_facts_column().alias("f")).select("page_id", "f.*")
+    return parse_pages(pages, nested=False).select("page_id", image_facts_column().alias("f")).select("page_id", "f.*")
 
 
 def viewport(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", viewport_column().alias("v")).select("page_id", "v.*")
+    return parse_pages(pages, nested=False).select("page_id", viewport_column().alias("v")).select("page_id", "v.*")
 
 
 def third_party_hosts(pages: DataFrame) -> DataFrame:
-    return explode_rows(parse_pages(pages), third_party_column(), "page_id")
+    return explode_rows(parse_pages(pages, nested=False), third_party_column(), "page_id")
 
 
 def broken_link_candidates(pages: DataFrame) -> DataFrame:
@@ -540,4 +532,4 @@ def broken_link_candidates(pages: DataFrame) -> DataFrame:
         F.filter(_els("a"), lambda e: _attr(e, "href").isin("#", "", "javascript:void(0)")),
         lambda e: F.struct(e["pos"].alias("pos"), _attr(e, "href").alias("href")),
     )
-    return explode_rows(parse_pages(pages), anchors, "page_id")
+    return explode_rows(parse_pages(pages, nested=False), anchors, "page_id")

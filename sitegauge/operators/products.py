@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.cache import column_cache
-from sitegauge.functions.html import element_text, is_text, let, strip, unescape
+from sitegauge.functions.html import element_text, is_text, let, strip
 from sitegauge.functions.urls import authority_of, resolve_url
 from sitegauge.operators.elements import explode_rows, parse_pages
 
@@ -231,7 +231,7 @@ def product_custom(pages: DataFrame, selectors: Mapping[str, str] | None = None)
 
     def content(e: Column) -> Column:
         inner = F.slice(F.col("tokens"), e["pos"] + 2, F.greatest(e["close_pos"] - e["pos"] - 1, F.lit(0)))
-        raw = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: unescape(t["raw"]))
+        raw = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: t["raw"])
         return strip(F.array_join(raw, ""))
 
     def first(field: str) -> Column:

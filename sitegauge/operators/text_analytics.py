@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.constants import COMMERCIAL_MODIFIERS, QUESTION_WORDS, STOP_WORDS, TOP_WORDS
 from sitegauge.functions import text as T
 from sitegauge.functions.cache import column_cache
-from sitegauge.functions.html import collapse, strip, unescape
+from sitegauge.functions.html import collapse, strip
 from sitegauge.operators.elements import explode_rows, parse_pages, with_text
 
 
@@ -83,7 +83,7 @@ def quick_text_column() -> Column:
     whole = r"(?is)^<(?:script|style)\b[^>]*+>(.*)</(?:script|style)\s*>$"
     texts = F.transform(
         inner,
-        lambda t: F.when(t["kind"] == "text", unescape(t["raw"]))
+        lambda t: F.when(t["kind"] == "text", t["raw"])
         .when(t["tag"].isin("script", "style"), F.regexp_extract(t["raw"], whole, 1))
         .otherwise(""),
     )

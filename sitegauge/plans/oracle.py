@@ -46,7 +46,8 @@ def trim(x: str) -> str:
 
 def unescape(x: str) -> str:
     for entity, char in (("&#8364;", "€"), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+                         ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&iuml;", "ï"), ("&Eacute;", "É"),
+                         ("&uuml;", "ü"), ("&#150;", "–"), ("&szlig;", "ß"), ("&frac12;", "½"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 

@@ -1,9 +1,12 @@
 """On-page facts, rules and scores on literal pages."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.constants import CATEGORY_WEIGHTS, STOP_WORDS
+from sitegauge.operators import elements as E
 from sitegauge.operators import page_facts as P
 from sitegauge.operators import scores as S
 from sitegauge.operators import structured
@@ -179,4 +182,21 @@ def test_legacy_score(spark, facts, expected):
 
 def test_page_audit_has_no_shuffle(page):
     plan = S.page_score(page(ARTICLE))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan
+    # Only the ends of elements are found in Arrow batches; flat facts stay in the JVM.
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("nesting(") == 1
+    flat = P.viewport(page(ARTICLE))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in flat and "Python" not in flat
+
+
+@pytest.mark.parametrize("markup", ["<p>x</p>", "<p>", "<b><i>x</b></i>", "<a href='//h/'>x</a>"])
+def test_parse_time_grows_with_the_page(page, markup):
+    def seconds(n):
+        frame = E.elements(page(markup * n)).agg({"close_pos": "sum"})
+        start = time.perf_counter()
+        frame.collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small = min(seconds(20_000) for _ in range(2))
+    assert seconds(200_000) < 12 * max(small, 0.5)
