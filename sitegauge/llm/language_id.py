@@ -124,11 +124,19 @@ def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 2
 
 def sample(labelled: DataFrame, id_column: str, text_column: str, lang_column: str,
            per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Bounded sample of labelled rows: the first by hash of id and text of each language, evenly shared out."""
+    """Bounded sample of labelled rows: the first by hash of id and text of each language, evenly shared out.
+
+    A first pass counts the rows of each language; the second keeps those whose hash lies in the
+    lowest part of its range, about three times the wanted number, so that few rows meet in the
+    task that picks the first of a language.
+    """
     text, lang = F.col(f"`{text_column}`"), F.col(f"`{lang_column}`")
     order = F.xxhash64(F.col(f"`{id_column}`"), text)
     rows = labelled.where(text.isNotNull() & lang.isNotNull()).select(lang.alias("lang"), text.alias("text"), order.alias("at"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    counts = labelled.where(text.isNotNull() & lang.isNotNull()).groupBy(lang.alias("lang")).count()
+    part = F.pmod("at", F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(most)), "lang").where(part <= 3.0 * per_language / F.col("count"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(part, "at", "text"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "at", "lang").limit(most).collect()
     return [r["text"] for r in chosen], [r["lang"] for r in chosen]
 
