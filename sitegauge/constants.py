@@ -94,7 +94,6 @@ LINK_EXAMPLES = 10
 IMAGE_EXAMPLES = 10
 HISTORY_ROWS = 20
 PRICE_POINTS = 60
-HISTORY_JSON_CHARS = 20_000
 
 # --- fixed values: requests allowed per client, route and minute ---
 DEFAULT_RATE_LIMIT = 60

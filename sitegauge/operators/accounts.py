@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.constants import DEFAULT_RATE_LIMIT, FREE_ANALYSES_PER_MONTH, ROUTE_RATE_LIMITS
+from sitegauge.operators.joins import join_reduced
 
 # --- fixed values: event types of the payment log ---
 COMPLETED = "checkout.session.completed"
@@ -29,7 +30,7 @@ def subscription_state(accounts: DataFrame, events: DataFrame) -> DataFrame:
         F.max(F.struct("ts", "event_id", "type", "status")).alias("last_change")
     )
     joined = accounts.join(checkouts, "email", "left")
-    known = joined.withColumn("customer", F.coalesce("last_checkout.customer", "customer_id")).join(changes, "customer", "left")
+    known = join_reduced(joined.withColumn("customer", F.coalesce("last_checkout.customer", "customer_id")), changes, "customer", "left", F.xxhash64("email"))
     change, checkout = F.col("last_change"), F.col("last_checkout")
     follows = change.isNotNull() & (
         (checkout.isNotNull() & (F.struct(change["ts"], change["event_id"]) > F.struct(checkout["ts"], checkout["event_id"])))

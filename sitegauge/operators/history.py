@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.constants import HISTORY_JSON_CHARS, HISTORY_ROWS
+from sitegauge.constants import HISTORY_ROWS
 
 
-def history_rows(scored: DataFrame) -> DataFrame:
-    """Rows to append; ``scored`` holds ``email``, ``created_at`` and the ``audit`` struct."""
+def history_rows(scored: DataFrame, additive: Column) -> DataFrame:
+    """Rows to append; ``scored`` holds ``email``, ``created_at`` and the ``audit`` struct, ``additive`` is the additive score."""
     return scored.select(
-        "email", F.coalesce(F.nullif("url", F.lit("")), F.lit("unknown")).alias("url"), F.col("audit.score").alias("score"), "created_at"
+        "email", F.coalesce(F.nullif("url", F.lit("")), F.lit("unknown")).alias("url"), F.col("audit.score").alias("score"),
+        compact_json(additive).alias("analysis"), "created_at",
     )
 
 
 def compact_json(score: Column) -> Column:
-    """The stored short form of an audit as JSON; it keeps score, grade, counts and summary."""
+    """The stored short form of an audit as whole JSON: the additive score, and score, grade, counts and summary of the audit."""
     audit = F.struct(*[F.col(f"audit.{k}").alias(k) for k in ("score", "grade", "counts", "summary")])
     return F.to_json(F.struct(F.col("url").alias("url"), score.alias("score"), audit.alias("audit")), {"ignoreNullFields": "false"})
 
 
-def history_compact(scored: DataFrame, score: Column, max_chars: int = HISTORY_JSON_CHARS) -> DataFrame:
-    return scored.select("email", "url", F.substring(compact_json(score), 1, max_chars).alias("analysis"))
+def history_compact(scored: DataFrame, additive: Column) -> DataFrame:
+    return scored.select("email", "url", compact_json(additive).alias("analysis"))
 
 
 def history_latest(history: DataFrame, limit: int = HISTORY_ROWS) -> DataFrame:

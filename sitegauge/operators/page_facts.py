@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.constants import IMAGE_EXAMPLES, LINK_EXAMPLES, TOP_HOSTS
+from sitegauge.constants import IMAGE_EXAMPLES, LINK_EXAMPLES
 from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import element_text, is_text, last_values, leaf_text, let, runs, strip
 from sitegauge.functions.urls import host_of, hostname, is_absolute, resolve_url
@@ -47,12 +47,12 @@ def _rel(e: Column, part: str) -> Column:
     return F.coalesce(_attr(e, "rel").contains(part), F.lit(False))
 
 
-def _top(hosts: Column, limit: int | None = None) -> Column:
+def _top(hosts: Column) -> Column:
     """Values of an array by frequency as ``(rank, host, n)``, ties by first occurrence."""
     found = runs(F.transform(hosts, lambda h: F.struct(h.alias("host"))), "host")
     counted = F.array_sort(F.transform(found, lambda r: F.struct((-r["n"]).alias("neg"), r["at"].alias("at"), r["key"].alias("host"))))
     return F.transform(
-        counted if limit is None else F.slice(counted, 1, limit),
+        counted,
         lambda c, i: F.struct((i + 1).cast("int").alias("rank"), c["host"].alias("host"), (-c["neg"]).alias("n")),
     )
 
@@ -211,7 +211,7 @@ def heading_facts_column() -> Column:
             *counts,
             levels.alias("levels_used"),
             skipped_levels(levels).alias("skipped_levels"),
-            _first(F.filter(found, lambda h: h["level"] == 1))["text"].substr(1, 120).alias("first_h1"),
+            _first(F.filter(found, lambda h: h["level"] == 1))["text"].alias("first_h1"),
         )
 
     return let(headings_column(), fields)
@@ -284,10 +284,10 @@ def link_facts_column() -> Column:
             count(links, lambda x: x["link_class"] == "javascript").alias("javascript"),
             count(links, lambda x: x["link_class"] == "mailto").alias("mailto"),
             F.size(F.array_distinct(F.transform(internal, lambda x: resolve_url(F.col("base"), x["href"])))).alias("unique_internal"),
-            _top(F.transform(external, lambda x: x["target_host"]), TOP_HOSTS).alias("external_hosts"),
+            _top(F.transform(external, lambda x: x["target_host"])).alias("external_hosts"),
             F.transform(
                 F.slice(internal, 1, LINK_EXAMPLES),
-                lambda x: F.struct(x["href"].alias("href"), x["text"].substr(1, 80).alias("text")),
+                lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text")),
             ).alias("internal_examples"),
         )
 
@@ -335,7 +335,7 @@ def image_facts_column() -> Column:
             count("legacy_format").alias("legacy_format"),
             F.transform(
                 F.slice(F.filter(images, lambda x: x["missing_alt"]), 1, IMAGE_EXAMPLES),
-                lambda x: x["src"].substr(1, 120),
+                lambda x: x["src"],
             ).alias("examples_missing_alt"),
         )
 
@@ -347,7 +347,7 @@ def image_facts_column() -> Column:
 
 @column_cache
 def third_party_column() -> Column:
-    """Most frequent foreign asset hosts: src of script, link and img first, then link href."""
+    """Foreign asset hosts by frequency: src of script, link and img first, then link href."""
     page_host = hostname(F.col("base"))
     urls = F.concat(
         F.transform(_els("script", "link", "img"), lambda e: _attr(e, "src")),
@@ -355,7 +355,7 @@ def third_party_column() -> Column:
     )
     hosts = F.transform(F.filter(urls, is_text), lambda u: hostname(u))
     foreign = F.filter(hosts, lambda h: (h != "") & F.coalesce((page_host != "") & (h != page_host), F.lit(False)))
-    return let(foreign, lambda found: _top(found, TOP_HOSTS))
+    return let(foreign, _top)
 
 
 @column_cache
@@ -477,7 +477,7 @@ def robots(pages: DataFrame) -> DataFrame:
 
 
 def headings(pages: DataFrame) -> DataFrame:
-    """Per page and used level: count, empties and texts (cut at 120 characters)."""
+    """Per page and used level: count, empties and texts."""
     def level(found: Column) -> Column:
         return F.transform(
             F.array_sort(F.array_distinct(F.transform(found, lambda h: h["level"]))),
@@ -486,7 +486,7 @@ def headings(pages: DataFrame) -> DataFrame:
                 lambda same: F.struct(
                     n.alias("level"), F.size(same).alias("n"),
                     F.size(F.filter(same, lambda h: h["text"] == "")).alias("n_empty"),
-                    F.transform(same, lambda h: h["text"].substr(1, 120)).alias("texts"),
+                    F.transform(same, lambda h: h["text"]).alias("texts"),
                 ),
             ),
         )
@@ -522,8 +522,10 @@ def viewport(pages: DataFrame) -> DataFrame:
     return parse_pages(pages, nested=False).select("page_id", viewport_column().alias("v")).select("page_id", "v.*")
 
 
-def third_party_hosts(pages: DataFrame) -> DataFrame:
-    return explode_rows(parse_pages(pages, nested=False), third_party_column(), "page_id")
+def third_party_hosts(pages: DataFrame, top: int | None = None) -> DataFrame:
+    """Foreign asset hosts of every page by frequency; ``top=TOP_HOSTS`` gives the short list of a report."""
+    found = third_party_column() if top is None else F.slice(third_party_column(), 1, top)
+    return explode_rows(parse_pages(pages, nested=False), found, "page_id")
 
 
 def broken_link_candidates(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.constants import PRICE_POINTS
 from sitegauge.functions.prices import currency_of, parse_price, strip_price
+from sitegauge.operators.joins import join_reduced
 
 # Total order of the points of one product, oldest first.
 ORDER = ("captured_at", "store", "price_cents", "l_orderkey", "l_linenumber")
@@ -124,7 +125,7 @@ def price_series(points: DataFrame) -> DataFrame:
     """Readable points as ``(product, date, price)`` with the extrema of the product."""
     readable = points.withColumn("price", strip_price(F.col("price_text"))).where(F.col("price").isNotNull())
     bounds = readable.groupBy("product").agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
-    return readable.select("product", F.to_date("captured_at").alias("date"), "price").join(bounds, "product")
+    return join_reduced(readable.select("product", F.to_date("captured_at").alias("date"), "price"), bounds, "product")
 
 
 def price_csv(points: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def price_report_products(points: DataFrame, order: tuple[str, ...] = ORDER) ->
     """Store comparison: latest price, best-price flag and savings against the dearest store."""
     current = store_prices(points, order)
     bounds = current.groupBy("product").agg(F.min("price").alias("best"), F.max("price").alias("dearest"))
-    return current.join(bounds, "product").select(
+    return join_reduced(current, bounds, "product").select(
         "product", "store", "price", (F.col("price") == F.col("best")).alias("is_best_price"),
         F.round(F.col("dearest") - F.col("price"), 2).alias("savings"), "last_checked",
     )

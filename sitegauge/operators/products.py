@@ -61,8 +61,6 @@ CUSTOM_SELECTORS = {
     "variants": "[data-variant], .variant, select option",
 }
 IMAGE_KEYWORDS = ("product", "main", "large", "zoom")
-DESCRIPTION_CHARS = 500
-MAX_IMAGES = 10
 MAX_LINKS = 50
 
 _SIMPLE = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>\*?=)['"]?(?P<value>[^'"\]]*)['"]?)?\]""")
@@ -175,7 +173,7 @@ def _amazon_product() -> Column:
     return F.struct(
         _first_text(rules["title"]).alias("title"),
         F.coalesce(split_price, _first_text(rules["price"])).alias("price"),
-        _first_text(rules["description"]).substr(1, DESCRIPTION_CHARS).alias("description"),
+        _first_text(rules["description"]).alias("description"),
         _image_urls(rules["images"], "data-old-hires", 1).alias("images"),
         F.filter(texts, lambda v: v != "").alias("variants"),
         F.when(whole.isNotNull(), _first_text(rules["symbol"], "USD")).otherwise("USD").alias("currency"),
@@ -199,30 +197,34 @@ def _generic_product() -> Column:
         return F.lower(u).rlike("|".join(IMAGE_KEYWORDS))
 
     # Preferred images are put in front one by one, hence reversed.
-    images = let(full, lambda urls: F.slice(F.concat(F.reverse(F.filter(urls, preferred)), F.filter(urls, lambda u: ~preferred(u))), 1, MAX_IMAGES))
+    images = let(full, lambda urls: F.concat(F.reverse(F.filter(urls, preferred)), F.filter(urls, lambda u: ~preferred(u))))
     return F.struct(
         _first_text("h1").alias("title"),
         F.coalesce(*[price(s) for s in rules["price"]], F.lit("")).alias("price"),
-        F.coalesce(*[_first_text(s, None) for s in rules["description"]], F.lit("")).substr(1, DESCRIPTION_CHARS).alias("description"),
+        F.coalesce(*[_first_text(s, None) for s in rules["description"]], F.lit("")).alias("description"),
         images.alias("images"), F.array().cast("array<string>").alias("variants"), F.lit("USD").alias("currency"),
     )
 
 
 @column_cache
-def product_column() -> Column:
+def product_column(fields: tuple[str, ...] | None = None) -> Column:
+    """Product struct by platform; ``fields`` leaves out what a caller does not read."""
+    def some(product: Column) -> Column:
+        return product if fields is None else F.struct(*[product[f].alias(f) for f in fields])
+
     platform = F.col("platform")
     return (
-        F.when(platform == "shopify", _store_product("shopify"))
-        .when(platform == "woocommerce", _store_product("woocommerce"))
-        .when(platform == "amazon", _amazon_product())
-        .otherwise(_generic_product())
+        F.when(platform == "shopify", some(_store_product("shopify")))
+        .when(platform == "woocommerce", some(_store_product("woocommerce")))
+        .when(platform == "amazon", some(_amazon_product()))
+        .otherwise(some(_generic_product()))
     )
 
 
-def product_extract(pages: DataFrame) -> DataFrame:
-    """Product fields of every page by the rules of its platform."""
+def product_extract(pages: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Product fields of every page by the rules of its platform, all or the named ones."""
     parsed = parse_pages(pages, tags=None).withColumn("platform", platform_column())
-    return parsed.withColumn("product", product_column()).select("page_id", "url", "platform", "product.*")
+    return parsed.withColumn("product", product_column(fields)).select("page_id", "url", "platform", "product.*")
 
 
 def product_custom(pages: DataFrame, selectors: Mapping[str, str] | None = None) -> DataFrame:
@@ -240,7 +242,7 @@ def product_custom(pages: DataFrame, selectors: Mapping[str, str] | None = None)
     sources = F.filter(F.transform(select_all(rules["images"]), lambda e: e["attrs"]["src"]), is_text)
     return parse_pages(pages, tags=None).select(
         "page_id", "url", first("title"), first("price"), first("description"),
-        F.slice(F.array_distinct(sources), 1, MAX_IMAGES).alias("images"),
+        F.array_distinct(sources).alias("images"),
         F.transform(select_all(rules["variants"]), content).alias("variants"),
     )
 
@@ -258,12 +260,13 @@ def product_links(pages: DataFrame, max_items: int = MAX_LINKS) -> DataFrame:
 
 def competitor_batch(pages: DataFrame) -> DataFrame:
     """Totals of a batch of product pages; a page without title and price counts as failed."""
-    products = product_extract(pages)
+    products = product_extract(pages, ("title", "price"))
     success = (F.col("title") != "") | (F.col("price") != "")
     return products.groupBy("platform").agg(F.count("*").alias("total"), F.count_if(success).alias("successful"))
 
 
 def price_compare(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Products of the listed URLs in list order: ``urls`` has ``(ordinal, url)``."""
-    products = product_extract(pages).select("url", "platform", "title", "price", "currency")
+    listed = pages.join(urls.select("url").distinct(), "url", "left_semi")  # only these are parsed
+    products = product_extract(listed, ("title", "price", "currency")).select("url", "platform", "title", "price", "currency")
     return urls.join(products, "url", "left").select("ordinal", "url", "platform", "title", "price", "currency")

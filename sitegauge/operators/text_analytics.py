@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.constants import COMMERCIAL_MODIFIERS, QUESTION_WORDS, STOP_WORDS, TOP_WORDS
 from sitegauge.functions import text as T
 from sitegauge.functions.cache import column_cache
-from sitegauge.functions.html import collapse, strip
+from sitegauge.functions.html import collapse, runs, strip
 from sitegauge.operators.elements import explode_rows, parse_pages, with_text
 
 
@@ -38,28 +38,19 @@ def keyword_tokens(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
 def top_phrases(pages: DataFrame, n: int, top: int = TOP_WORDS, max_chars: int | None = None) -> DataFrame:
     """Most frequent ``n``-word phrases per page after stop-word removal, ties by first occurrence.
 
-    Phrases are counted map-side before the shuffle, and the rank filter is pushed below the
-    second one as a group limit.
+    A page's phrases are counted inside its row, so nothing is shuffled.
     """
     words = _page_text(pages).select("page_id", content_words(F.col("text"), max_chars).alias("words"))
     phrases = F.transform(
         F.slice(F.col("words"), F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0))),
-        lambda w, i: F.struct(
-            i.cast("int").alias("pos"),
-            F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(n)]).alias("phrase"),
-        ),
+        lambda w, i: F.struct(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(n)]).alias("phrase")),
     )
-    counted = (
-        explode_rows(words, phrases, "page_id")
-        .groupBy("page_id", "phrase")
-        .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    )
-    order = Window.partitionBy("page_id").orderBy(F.desc("n"), "first_pos")
-    return (
-        counted.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("page_id", "phrase", "n", "rank")
+    counted = F.transform(runs(phrases, "phrase"), lambda r: F.struct((-r["n"]).alias("neg"), r["at"].alias("at"), r["key"].alias("phrase")))
+    ranked = F.transform(
+        F.slice(F.array_sort(counted), 1, top),
+        lambda c, i: F.struct(c["phrase"].alias("phrase"), (-c["neg"]).cast("long").alias("n"), (i + 1).cast("int").alias("rank")),
     )
+    return explode_rows(words, ranked, "page_id")
 
 
 def content_stats(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.constants import ALLOWED_PORTS
 from sitegauge.functions import urls as U
 from sitegauge.operators.elements import explode_rows, parse_pages
+from sitegauge.operators.joins import join_reduced
 from sitegauge.operators.page_facts import links_column, links_detail
 
 
@@ -27,7 +28,8 @@ def address_admission(urls: DataFrame, dns: DataFrame, allowed_ports: tuple[int,
     )
     checked = url_admission(urls, allowed_ports)
     literal = F.col("host").rlike(U.IPV4_PATTERN) | F.col("host").contains(":")
-    joined = checked.join(verdicts, F.col("host") == F.col("dns_host"), "left")
+    verdicts = verdicts.select(F.col("dns_host").alias("host"), "dns_host", "bad_address")
+    joined = join_reduced(checked, verdicts, "host", "left", F.xxhash64("url"))
     bad = F.when(literal, F.when(~U.public_address(F.col("host")), F.col("host"))).otherwise(F.col("bad_address"))
     reason = (
         F.when(~F.col("ok"), F.col("reason"))

@@ -184,7 +184,7 @@ hfacts AS (
   FROM src LEFT JOIN (
     SELECT page_id, count(*) AS total, count(*) FILTER (WHERE text = '') AS empty,
       {", ".join(f"count(*) FILTER (WHERE level = {n}) AS h{n}" for n in range(1, 7))},
-      arg_min(substr(text, 1, 120), pos) FILTER (WHERE level = 1) AS first_h1
+      arg_min(text, pos) FILTER (WHERE level = 1) AS first_h1
     FROM hd GROUP BY page_id) h USING (page_id)
   LEFT JOIN (SELECT page_id, count(*) AS skips FROM lvls WHERE nxt - level > 1 GROUP BY page_id) k USING (page_id)
 ),
@@ -275,7 +275,7 @@ tp0 AS (
   UNION ALL SELECT page_id, url, 1, pos, {host(attr('href'))} FROM el WHERE tag = 'link' AND coalesce({attr('href')}, '') <> ''
 ),
 tp1 AS (SELECT page_id, host, count(*) AS n, min(grp * 1000000 + pos) AS first FROM tp0 WHERE host NOT IN ('', {host('url')}) GROUP BY page_id, host),
-tp AS (SELECT page_id, host, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS rank FROM tp1) WHERE rank <= 10),
+tp AS (SELECT page_id, host, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS rank FROM tp1)),
 sig AS (
   SELECT src.page_id, length(src.html) AS dom_size_bytes, s.dom_nodes, s.scripts_count, s.stylesheets_count, s.defer_scripts, s.async_scripts,
     s.inline_script_bytes, s.inline_style_bytes, s.preconnect, s.preload, s.iframes, s.embeds, length(vis.text) AS text_length_chars,
@@ -583,7 +583,9 @@ def oracle_queries() -> dict[str, str]:
     error = ("CASE WHEN refusal IS NOT NULL THEN 'Refused: ' || refusal WHEN status >= 400 THEN 'HTTP ' || status "
              "WHEN content_type NOT LIKE '%html%' AND content_type NOT LIKE '%xml%' THEN 'Not an HTML document (' || content_type || ')' END")
     aug_captures = derived({**D.CAPTURES, "html": D.PAGES_AUG["html"]}, "pages")
-    history = pages("SELECT {cols} FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in D.OWNERS.items()) + " FROM scored)")
+    history = pages("SELECT {cols} FROM (SELECT scored.*, legacy.score AS additive, " + ", ".join(f"{v} AS {k}" for k, v in D.OWNERS.items()) + " FROM scored JOIN legacy USING (page_id))")
+    compact = ("'{\"url\":\"' || url || '\",\"score\":' || additive || ',\"audit\":{\"score\":' || score || ',\"grade\":\"' || grade || '\",\"counts\":{\"critical\":' || critical"
+               " || ',\"warning\":' || warning || ',\"notice\":' || notice || '},\"summary\":\"' || summary || '\"}}' AS analysis")
     events = {k: f"({derived(v, 'events')})" for k, v in (("log", D.REQUEST_LOG), ("acc", D.ACCOUNT_EVENTS), ("visit", D.PAGE_VISITS))}
     accounts = derived(D.ACCOUNTS, "customer", D.ACCOUNTS_FILTER)
     subscription = f"""WITH acc AS ({accounts}), ev AS (SELECT * FROM {events['acc']} WHERE type <> 'invoice.paid'),
@@ -676,10 +678,10 @@ FROM (SELECT *, {error} AS e FROM ({aug_captures})) c JOIN report r USING (page_
         "export_json_csv": f"WITH {products} SELECT page_id, title, price, CASE WHEN variants = '' THEN '[]' ELSE '[\"' || replace(variants, '|', '\",\"') || '\"]' END AS variants FROM prod",
         "price_csv": _points("SELECT strftime(captured_at, '%Y-%m-%dT%H:%M:%S') AS timestamp, price_text AS price, 'part ' || product AS title, CASE WHEN price_value IS NULL THEN 'no price' ELSE '' END AS error FROM pv"),
         "price_json_source": _points("SELECT cast(captured_at AS date) AS date, currency, max(price_value) AS price FROM pv WHERE price_value IS NOT NULL GROUP BY ALL"),
-        "history_append": history.replace("{cols}", "email, url, score, created_at"),
+        "history_append": history.replace("{cols}", "email, url, score, created_at, " + compact),
         "history_latest": pages("SELECT email, rank, url, score, created_at FROM (SELECT email, url, score, created_at, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, url DESC) AS rank FROM (SELECT *, "
                                 + ", ".join(f"{v} AS {k}" for k, v in D.OWNERS.items()) + " FROM scored)) WHERE rank <= 20"),
-        "history_compact": history.replace("{cols}", "email, url, '{\"url\":\"' || url || '\",\"score\":' || score || ',\"audit\":{\"score\":' || score || ',\"grade\":\"' || grade || '\",\"counts\":{\"critical\":' || critical || ',\"warning\":' || warning || ',\"notice\":' || notice || '},\"summary\":\"' || summary || '\"}}' AS analysis"),
+        "history_compact": history.replace("{cols}", "email, url, " + compact),
         "price_append": _points("SELECT product, store, price_text, price_value, currency, captured_at FROM pv"),
         "price_latest": _points("SELECT product, rank, price_text, price_value, currency, captured_at FROM pr WHERE rank <= 60"),
         # extraction
@@ -699,15 +701,15 @@ FROM el e JOIN dep d USING (page_id, pos) LEFT JOIN head h ON h.page_id = e.page
         "hreflang": pages(f"SELECT page_id, lang, href, {host_of('href', 'url')} AS host FROM hre"),
         "robots_directives": pages("""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ordinal, d AS directive FROM (
   SELECT page_id, unnest(ds) AS d, generate_subscripts(ds, 1) AS i FROM (SELECT page_id, list_transform(string_split(robots, ','), lambda d: lower(trim(d))) AS ds FROM meta WHERE robots IS NOT NULL)) WHERE d <> ''"""),
-        "headings": pages("SELECT page_id, level, count(*) AS n, count(*) FILTER (WHERE text = '') AS n_empty, string_agg(substr(text, 1, 120), '|' ORDER BY pos) AS texts FROM hd GROUP BY page_id, level"),
+        "headings": pages("SELECT page_id, level, count(*) AS n, count(*) FILTER (WHERE text = '') AS n_empty, string_agg(text, '|' ORDER BY pos) AS texts FROM hd GROUP BY page_id, level"),
         "heading_skips": pages("SELECT page_id, level AS skipped_from, nxt AS skipped_to FROM lvls WHERE nxt - level > 1"),
         "links_detail": pages("SELECT page_id, pos, href, target_host, link_class, nofollow, empty_anchor, text FROM lks"),
         "links_summary": pages("SELECT page_id, COLUMNS('links_(.*)') AS '\\1' FROM lfacts"),
         "external_hosts": pages("""SELECT page_id, host, n, rank FROM (SELECT page_id, target_host AS host, count(*) AS n, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(pos)) AS rank
-  FROM lks WHERE link_class = 'external' GROUP BY page_id, target_host) WHERE rank <= 10"""),
+  FROM lks WHERE link_class = 'external' GROUP BY page_id, target_host)"""),
         "images_detail": pages("SELECT page_id, pos, src, missing_alt, empty_alt, no_dimensions, lazy, has_srcset, data_uri, legacy_format FROM im"),
         "images_summary": pages("""SELECT i.page_id, COLUMNS(i.* EXCLUDE (page_id)), coalesce(e.examples_missing_alt, '') AS examples_missing_alt FROM (SELECT page_id, COLUMNS('images_(.*)') AS '\\1' FROM ifacts) i LEFT JOIN (
-  SELECT page_id, string_agg(substr(src, 1, 120), '|' ORDER BY pos) AS examples_missing_alt FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM im WHERE missing_alt) WHERE k <= 10 GROUP BY page_id) e USING (page_id)"""),
+  SELECT page_id, string_agg(src, '|' ORDER BY pos) AS examples_missing_alt FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM im WHERE missing_alt) WHERE k <= 10 GROUP BY page_id) e USING (page_id)"""),
         "structured_data": pages("SELECT l.page_id, l.block, l.valid, t.type, coalesce(t.missing, '') AS missing FROM ld l LEFT JOIN tmiss t USING (page_id, block)"),
         "viewport": pages("SELECT * FROM vport"),
         "render_signals": pages("SELECT s.* EXCLUDE (third_party_count), stylesheets_count AS render_blocking_styles, i.images_total AS image_count, i.images_without_dimensions, i.images_lazy AS lazy_images FROM sig s JOIN ifacts i USING (page_id)"),
@@ -800,7 +802,7 @@ def _product_sql() -> str:
     origin = "regexp_extract(url, '^[a-z]+://[^/]*', 0)"
     return f"""SELECT page_id, url, CASE k WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' WHEN 2 THEN 'amazon' ELSE 'generic' END AS platform,
   p_name AS title, CASE k WHEN 0 THEN '$' || p_size || '.50' WHEN 1 THEN '$' || p_size || '.25' WHEN 2 THEN p_size || '.99' WHEN 3 THEN p_size || '.75' ELSE '$' || p_size END AS price,
-  CASE k WHEN 0 THEN 'Fine' || p_type WHEN 1 THEN p_brand WHEN 2 THEN substr(trim(repeat(p_type || ' text ', 60)), 1, 500) WHEN 3 THEN p_brand ELSE '' END AS description,
+  CASE k WHEN 0 THEN 'Fine' || p_type WHEN 1 THEN p_brand WHEN 2 THEN trim(repeat(p_type || ' text ', 60)) WHEN 3 THEN p_brand ELSE '' END AS description,
   CASE k WHEN 0 THEN {origin} || '/img/' || page_id || '.jpg' WHEN 1 THEN {origin} || '/item/a.jpg' WHEN 2 THEN 'https://img.example/' || page_id || '.jpg'
     WHEN 3 THEN {origin} || '/i/zoom.jpg|' || {origin} || '/i/main-two.jpg|' || {origin} || '/i/one.jpg' ELSE '' END AS images,
   CASE k WHEN 0 THEN 'S|Large' WHEN 1 THEN 'Choose|red' WHEN 2 THEN 'Blue' ELSE '' END AS variants, CASE k WHEN 2 THEN '$' ELSE 'USD' END AS currency

@@ -21,7 +21,7 @@ from sitegauge.operators import scores as S
 from sitegauge.operators import text_analytics as TA
 from sitegauge.operators import url_ops as U
 from sitegauge.operators.structured import structured_data
-from sitegauge.plans.page_report import page_report
+from sitegauge.plans.page_report import fact_columns, page_report
 from sitegauge.sources import derived as D
 from sitegauge.sources import files as FS
 from sitegauge.streaming import jobs as J
@@ -125,19 +125,20 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    scored = S.audited(D.pages_aug(spark, sf))
-    return scored.withColumns({k: F.expr(v) for k, v in D.OWNERS.items()})
+    scored = S.audited(D.pages_aug(spark, sf)).withColumns({k: F.expr(v) for k, v in D.OWNERS.items()})
+    flat = scored.select(F.struct("email", "url", "created_at", "audit").alias("kept"), *fact_columns())
+    return flat.select("kept.*", S.legacy_score_column().alias("additive"))
 
 
 def history_append(spark: SparkSession, sf: str) -> DataFrame:
     """Rows go through the append table and come back from it."""
     path = FS.work_folder(spark, "history")
-    FS.append_history(H.history_rows(_scored_accounts(spark, sf)), path)
+    FS.append_history(H.history_rows(_scored_accounts(spark, sf), F.col("additive")), path)
     return spark.read.parquet(path).drop("created_month")
 
 
 def history_compact(spark: SparkSession, sf: str) -> DataFrame:
-    return H.history_compact(_scored_accounts(spark, sf), F.col("audit.score"))
+    return H.history_compact(_scored_accounts(spark, sf), F.col("additive"))
 
 
 def price_append(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +262,7 @@ QUERIES: dict[str, Query] = {
     "price_csv": _points(price_csv),
     "price_json_source": price_json,
     "history_append": history_append,
-    "history_latest": lambda spark, sf: H.history_latest(H.history_rows(_scored_accounts(spark, sf))),
+    "history_latest": lambda spark, sf: H.history_latest(H.history_rows(_scored_accounts(spark, sf), F.col("additive"))),
     "history_compact": history_compact,
     "price_append": price_append,
     "price_latest": _points(lambda p: PR.price_latest(p).select("product", "rank", "price_text", "price_value", "currency", "captured_at")),

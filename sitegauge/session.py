@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def local_session(name: str, cpus: str = "8", **config: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": "8",
+        "sitegauge.inputPartitions": cpus if cpus.isdigit() else "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",

@@ -243,13 +243,9 @@ OWNERS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for inputs of few splits, such as one file with one row group.
-
-    Large tables have more splits than cores and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+#: Session setting: deal the rows of costly tables to so many partitions. For inputs of one row group,
+#: as in tests and the benchmark; unset, tables are read by their splits without a shuffle.
+INPUT_PARTITIONS = "sitegauge.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -258,7 +254,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are costly to process."""
-    return spread(table(spark, sf_dir, name))
+    partitions = spark.conf.get(INPUT_PARTITIONS, None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(partitions)) if partitions else rows
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:

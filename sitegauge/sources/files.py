@@ -13,14 +13,23 @@ from pyspark.sql import types as T
 DAILY_PRICE_SCHEMA = "date string, price double, currency string"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder of the cluster (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing, as in local tests, a temporary folder is used.
+    A temporary folder is used only where that is unset and Spark runs in this one process, as in
+    tests; on a cluster it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "sitegauge")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "sitegauge")
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder of the cluster."""
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
