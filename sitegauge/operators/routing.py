@@ -16,9 +16,9 @@ from sitegauge.constants import (
 from sitegauge.functions.html import let, strip
 from sitegauge.functions.urls import IPV4_PATTERN, admission, public_address, resolve_url
 from sitegauge.operators.scores import audited, legacy_score_column
+from sitegauge.operators.url_ops import judged
 from sitegauge.plans.page_report import fact_columns
 
-
 TOO_MANY = "Refused: Too many redirects"
 
 
@@ -92,10 +92,19 @@ def _refusal(url: Column, ports: tuple[int, ...]) -> Column:
     return F.concat(F.lit("Refused: "), let(admission(url, ports), judge))
 
 
-def redirect_resolve(hops: DataFrame, starts: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
+def _with_refusal(rows: DataFrame, column: str, name: str, dns: DataFrame | None, ports: tuple[int, ...]) -> DataFrame:
+    """The rows with the reason to refuse a URL, by its host's addresses where answers are recorded."""
+    if dns is None:
+        return rows.withColumn(name, _refusal(F.col(column), ports))
+    return judged(rows, column, dns, ports).withColumn(name, F.concat(F.lit("Refused: "), "reason")).select(*rows.columns, name)
+
+
+def redirect_resolve(hops: DataFrame, starts: DataFrame, dns: DataFrame | None = None, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
     """Follow the recorded hops of every start URL: ``(url, final_url, n_hops, error)``.
 
-    ``hops`` has one row per fetched URL. Targets are resolved and judged once per hop; then six
+    ``hops`` has one row per fetched URL, ``dns`` the recorded ``(host, address)`` answers: the start
+    and every hop are refused if their host has none or a non-public one. Without ``dns`` only
+    literal addresses are judged. Targets are resolved and judged once per hop; then six
     requests at most are six equi-joins on the current URL. Many starts may meet at one URL,
     which adaptive skew handling splits on the start side.
     """
@@ -103,11 +112,11 @@ def redirect_resolve(hops: DataFrame, starts: DataFrame, allowed_ports: tuple[in
     edges = (
         hops.where(F.col("status").isin(*REDIRECT_STATUSES))
         .select("from_url", F.when(~missing, resolve_url(F.col("from_url"), F.col("location"))).alias("target"))
-        .select("from_url", "target", F.when(F.col("target").isNull(), TOO_MANY).otherwise(_refusal(F.col("target"), allowed_ports)).alias("problem"))
-    )
-    state = starts.select("url").distinct().select(
-        "url", F.col("url").alias("current"), F.lit(0).alias("n_hops"), _refusal(F.col("url"), allowed_ports).alias("error"),
     )
+    edges = _with_refusal(edges, "target", "refusal", dns, allowed_ports).select(
+        "from_url", "target", F.when(F.col("target").isNull(), TOO_MANY).otherwise(F.col("refusal")).alias("problem"))
+    state = _with_refusal(starts.select("url").distinct(), "url", "error", dns, allowed_ports).select(
+        "url", F.col("url").alias("current"), F.lit(0).alias("n_hops"), "error")
     for request in range(MAX_REDIRECTS + 1):
         # A finished start finds no hop again, a failed one is kept from looking.
         joined = state.join(edges, F.when(F.col("error").isNull(), F.col("current")) == F.col("from_url"), "left")

@@ -17,28 +17,35 @@ def url_admission(urls: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORT
     return urls.select("url", U.admission(F.col("url"), allowed_ports).alias("a")).select("url", "a.*")
 
 
-def address_admission(urls: DataFrame, dns: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
-    """Admission with the recorded addresses: one non-public address refuses the host.
+def judged(rows: DataFrame, column: str, dns: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
+    """The rows with ``host``, ``port`` and ``reason`` (null: admitted) of the URL in ``column``.
 
-    Answers are judged and reduced to one row per host before the join.
+    One non-public address refuses a host, and so does none. Answers are judged and reduced to one
+    row per host before the join; refused URLs have no host and are dealt out.
     """
     verdicts = (
         dns.groupBy(F.lower("host").alias("dns_host"))
         .agg(F.min(F.when(~U.public_address(F.col("address")), F.col("address"))).alias("bad_address"))
     )
-    checked = url_admission(urls, allowed_ports)
+    checked = rows.withColumn("__a", U.admission(F.col(column), allowed_ports)).select(
+        *rows.columns, F.col("__a.ok").alias("ok"), F.col("__a.reason").alias("reason"), F.col("__a.host").alias("host"), F.col("__a.port").alias("port"))
     literal = F.col("host").rlike(U.IPV4_PATTERN) | F.col("host").contains(":")
     verdicts = verdicts.select(F.col("dns_host").alias("host"), "dns_host", "bad_address")
-    joined = join_reduced(checked, verdicts, "host", "left", F.xxhash64("url"))
+    joined = join_reduced(checked, verdicts, "host", "left", F.xxhash64(column))
     bad = F.when(literal, F.when(~U.public_address(F.col("host")), F.col("host"))).otherwise(F.col("bad_address"))
     reason = (
         F.when(~F.col("ok"), F.col("reason"))
         .when(~literal & F.col("dns_host").isNull(), "Could not resolve URL hostname")
         .when(bad.isNotNull(), F.concat(F.lit("Hostname resolves to a non-public address ("), bad, F.lit(")")))
     )
-    ok = reason.isNull()
-    return joined.select(
-        "url", ok.alias("ok"), reason.alias("reason"), F.when(ok, F.col("host")).alias("host"), F.when(ok, F.col("port")).alias("port")
+    return joined.select(*rows.columns, "host", "port", reason.alias("reason"))
+
+
+def address_admission(urls: DataFrame, dns: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
+    """Admission of ``(url)`` with the recorded addresses."""
+    ok = F.col("reason").isNull()
+    return judged(urls.select("url"), "url", dns, allowed_ports).select(
+        "url", ok.alias("ok"), "reason", F.when(ok, F.col("host")).alias("host"), F.when(ok, F.col("port")).alias("port")
     )
 
 

@@ -649,7 +649,11 @@ qp AS (
     ]
     difficulty_mods = f"list_sort(list_distinct(regexp_extract_all(low, '\\b(?:{'|'.join(COMMERCIAL_MODIFIERS)})\\b')))"
     products = f"prod AS ({_product_sql()})"
-    hops = (f"hops AS ({derived(D.HOPS_FIRST, 'pages')} UNION ALL {derived(D.HOPS_SECOND, 'pages', 'page_id % 6 = 2')})")
+    hops = (f"hops AS ({derived(D.HOPS_FIRST, 'pages')} UNION ALL {derived(D.HOPS_SECOND, 'pages', 'page_id % 6 = 2')}), "
+            f"dns AS ({derived(D.HOP_DNS, 'pages')} UNION ALL {derived(D.REDIRECTOR_DNS, 'pages')}), "
+            "verdicts AS (SELECT lower(host) AS dns_host, min(address) FILTER (address LIKE '10.%') AS bad FROM dns WHERE address IS NOT NULL GROUP BY 1)")
+    unsafe = ("WHEN v.dns_host IS NULL THEN 'Refused: Could not resolve URL hostname' "
+              "WHEN v.bad IS NOT NULL THEN 'Refused: Hostname resolves to a non-public address (' || v.bad || ')'")
 
     return {
         "page_intake": f"""SELECT page_id, url, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM (
@@ -659,13 +663,15 @@ qp AS (
         "capture_routing": f"SELECT url, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error FROM (SELECT url, {error} AS error FROM ({captures}))",
         "redirect_resolve": f"""WITH RECURSIVE {hops},
 walk AS (
-  SELECT DISTINCT url, url AS current, 0 AS n_hops, CAST(NULL AS varchar) AS error, false AS done FROM pages
+  SELECT DISTINCT url, url AS current, 0 AS n_hops, CASE {unsafe} END AS error, false AS done FROM pages LEFT JOIN verdicts v ON v.dns_host = {host('url')}
   UNION ALL
   SELECT w.url, coalesce({resolve('w.current', 'h.location')}, w.current), CASE WHEN h.location IS NULL THEN w.n_hops ELSE w.n_hops + 1 END,
     CASE WHEN h.from_url IS NULL THEN NULL WHEN h.location IS NULL THEN 'Refused: Too many redirects'
       WHEN {host(resolve('w.current', 'h.location'))} IN {_in(BLOCKED_HOSTNAMES)} THEN 'Refused: URL hostname is blocked for security reasons'
+      {unsafe}
       WHEN w.n_hops = 5 THEN 'Refused: Too many redirects' END, h.from_url IS NULL
-  FROM walk w LEFT JOIN (SELECT * FROM hops WHERE status IN (301, 302, 303, 307, 308)) h ON h.from_url = w.current WHERE w.error IS NULL AND NOT w.done
+  FROM walk w LEFT JOIN (SELECT * FROM hops WHERE status IN (301, 302, 303, 307, 308)) h ON h.from_url = w.current
+    LEFT JOIN verdicts v ON v.dns_host = {host(resolve('w.current', 'h.location'))} WHERE w.error IS NULL AND NOT w.done
 )
 SELECT url, CASE WHEN error IS NULL THEN current END AS final_url, n_hops, error FROM walk WHERE done OR error IS NOT NULL""",
         "batch_report": f"SELECT count(*) AS total, count(*) FILTER (WHERE e IS NULL) AS ok, count(*) FILTER (WHERE e IS NOT NULL) AS errors FROM (SELECT {error} AS e FROM ({captures}))",

@@ -112,7 +112,7 @@ def _captures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redirects(spark: SparkSession, sf: str) -> DataFrame:
-    return R.redirect_resolve(D.hops(spark, sf), D.table(spark, sf, "pages").select("url"))
+    return R.redirect_resolve(D.hops(spark, sf), D.table(spark, sf, "pages").select("url"), D.hop_dns(spark, sf))
 
 
 def admission(spark: SparkSession, sf: str) -> DataFrame:

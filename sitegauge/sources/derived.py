@@ -230,6 +230,17 @@ DNS = {
     ),
 }
 DNS_FILTER = "page_id % 9 <> 8"
+# Answers for the hosts that redirects start from and lead to: some hosts have a private address
+# beside a public one, and some have no answer (a null address is none).
+HOP_DNS = {
+    "host": "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)",
+    "address": (
+        "case when length(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) % 7 = 0 then null "
+        "when length(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) % 7 = 1 and page_id % 2 = 0 then '10.1.2.3' "
+        "else '93.184.216.34' end"
+    ),
+}
+REDIRECTOR_DNS = {"host": "'r.example.com'", "address": "case when page_id % 2 = 0 then '93.184.216.35' else '2606:2800:220:1::1' end"}
 
 THRESHOLDS = {
     "product": "p_partkey",
@@ -281,5 +292,10 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(pages, HOPS_FIRST).unionByName(second)
 
 
+def hop_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return derive(pages, HOP_DNS).unionByName(derive(pages, REDIRECTOR_DNS)).where("address is not null")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "customer").where(ACCOUNTS_FILTER), ACCOUNTS)

@@ -84,6 +84,20 @@ def test_redirects(spark):
     assert found["c1"] == ("https://example.com/c6", 5, None)
 
 
+def test_every_hop_is_checked_against_dns(spark):
+    hops = frame(spark, [("https://a.example/x", 302, "https://b.example/y"), ("https://c.example/x", 302, "https://d.example/y"),
+                         ("https://e.example/x", 302, "https://f.example/y"), ("https://h.example/x", 302, "https://a.example/z")], "from_url string, status int, location string")
+    dns = frame(spark, [("a.example", "93.184.216.34"), ("B.example", "93.184.216.34"), ("b.example", "10.0.0.1"), ("c.example", "93.184.216.34"),
+                        ("e.example", "93.184.216.34"), ("f.example", "2606:2800:220:1::1"), ("g.example", "169.254.169.254"), ("h.example", "93.184.216.34")], "host string, address string")
+    starts = frame(spark, [(f"https://{h}.example/x",) for h in "aceghz"], "url string")
+    found = {r.url[8]: (r.final_url, r.n_hops, r.error) for r in R.redirect_resolve(hops, starts, dns).collect()}
+    private, nowhere = "Refused: Hostname resolves to a non-public address (%s)", "Refused: Could not resolve URL hostname"
+    assert found == {
+        "a": (None, 1, private % "10.0.0.1"), "c": (None, 1, nowhere), "e": ("https://f.example/y", 1, None),
+        "g": (None, 0, private % "169.254.169.254"), "h": ("https://a.example/z", 1, None), "z": (None, 0, nowhere),
+    }
+
+
 @pytest.mark.parametrize("text, value", [("$99.99", 99.99), ("1 234,50 €", 1234.5), ("$1,234.56", 1.234), (None, None), ("n/a", None)])
 def test_parse_price(spark, text, value):
     assert spark.range(1).select(PF.parse_price(F.lit(text).cast("string"))).first()[0] == value
