@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back.
+
+    For loops: unlike a checkpoint, a file carries no constraints of the plan that made it. Those
+    of equi-joins multiply from round to round and fill the driver.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, group: list[str], bucket_of: Column, order: list[Column]) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... without gaps in each group, with no group in a single task.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import by_slices, cut, slices, texts_of
+from sitegauge.llm.common import by_slices, slices, texts_of, written
 from sitegauge.llm.words import codes
 
 RUN_WORDS, SIMILAR = 5, 0.8
@@ -24,6 +24,8 @@ RUN_WORDS, SIMILAR = 5, 0.8
 BANDS, BAND_REGISTERS = 24, 5
 #: Members that one hub is compared with in one block.
 BLOCK_MEMBERS = 256
+#: How many times as many hubs a bucket names in each further round.
+HUB_GROWTH = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,7 +204,7 @@ def components(links: DataFrame) -> DataFrame:
     its neighbourhood, until nothing changes. The number of rounds grows with the logarithm of a
     component's size; every round is an aggregate with partial sums and a join.
     """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     mark = None
@@ -213,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _rejoin(large, least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = written(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -223,8 +225,8 @@ def components(links: DataFrame) -> DataFrame:
 def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """(node, label) of nodes that have a link, from their bands; the others are classes of their own.
 
-    In a round every bucket names hubs, one in the first round and twice as many in each later
-    one, and all its members of other components are compared with them. Hubs then leave the
+    In a round every bucket names hubs, one in the first round and ``HUB_GROWTH`` times as many in
+    each later one, and all its members of other components are compared with them. Hubs then leave the
     bucket. A bucket is done once the rest of it lies in one component, so each pair of nodes that
     share a bucket has been compared or was already joined: no link is lost, no bucket is capped,
     and a bucket of thousands of near copies costs about one comparison for each.
@@ -236,23 +238,23 @@ def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
         else:
             live = _rejoin(waiting, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             open_ = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-            live = cut(_rejoin(live, open_, "key"))
+            live = written(_rejoin(live, open_, "key"))
             if live.isEmpty():
                 return labels
         rank = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
         hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
         pairs = _rejoin(live, hubs, "key").where("label <> hub_label")
-        pairs = cut(pairs.select("hub", F.col("node").alias("member"), "hub_label", "label").distinct())
-        linked = cut(verified(pairs.select("hub", "member"), words, similar))
+        pairs = written(pairs.select("hub", F.col("node").alias("member"), "hub_label", "label").distinct())
+        linked = written(verified(pairs.select("hub", "member"), words, similar))
         joined = pairs.join(linked, ["hub", "member"], "left_semi").select(F.col("hub_label").alias("u"), F.col("label").alias("v"))
         if labels is None:
             labels = components(joined)
         else:  # components of components, and the old members behind them
             merged = components(joined)
             moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-            labels = cut(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti")))
-        waiting = cut(_rejoin(live.select("key", "node"), hubs.groupBy("key").agg(F.collect_set("hub").alias("hubs")), "key").where(~F.array_contains("hubs", F.col("node"))).select("key", "node"))
-        hubs_each *= 2
+            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+        waiting = written(_rejoin(live.select("key", "node"), hubs.groupBy("key").agg(F.collect_set("hub").alias("hubs")), "key").where(~F.array_contains("hubs", F.col("node"))).select("key", "node"))
+        hubs_each *= HUB_GROWTH
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -260,14 +262,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     class_id is the least id of a class, class_node the node of a row that has it.
     """
-    rows = cut(banded(docs, id_column, text_column))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    rows = written(banded(docs, id_column, text_column))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    bands = cut(_rejoin(buckets, shared, "key").select("key", "node"))
+    bands = written(_rejoin(buckets, shared, "key").select("key", "node"))
     texts = docs.select(words_of(F.col(f"`{text_column}`")).alias("words"))
     texts = texts.withColumn("node", node_of(F.col("words"))).join(bands.select("node").distinct(), "node", "left_semi")
-    words = cut(texts.groupBy("node").agg(F.first("words").alias("words")))
+    words = written(texts.groupBy("node").agg(F.first("words").alias("words")))
     labels = labels_of(bands, words, similar)
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least_id", "copies")
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node"))
