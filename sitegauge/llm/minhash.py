@@ -10,6 +10,7 @@ compared exactly, and those similar enough are linked into classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +164,8 @@ def _rejoin(left: DataFrame, right: DataFrame, column: str, how: str = "inner")
     return left.withColumn("__again", _again(column)).join(right, "__again", how).drop("__again")
 
 
-def verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
-    """The pairs (hub, member) whose texts are similar enough, compared whole.
+def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (hub, member) with their weighted and their plain similarity, over whole texts.
 
     The members of a hub are dealt to blocks of about ``BLOCK_MEMBERS``, each with a copy of the
     hub's words, so a hub of very many members is no single task. The rows of a block pass one
@@ -189,12 +190,13 @@ def verified(pairs: DataFrame, words: DataFrame, similar: float) -> DataFrame:
                     current, own = hub, these
                 elif hub != current:
                     raise ValueError("a block has no hub")
-                elif max(similarities(own, these)) >= similar:
-                    found.append((hub, member))
-            columns = list(zip(*found, strict=True)) if found else [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["hub", "member"])
+                else:
+                    found.append((hub, member, *similarities(own, these)))
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            types = (pa.string(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["hub", "member", "weighted", "plain"])
 
-    return rows.mapInArrow(work, "hub string, member string")
+    return rows.mapInArrow(work, "hub string, member string, weighted double, plain double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _rejoin(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _rejoin(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _rejoin(large, least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
@@ -222,39 +224,69 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def split_by_hub(bands: DataFrame, words: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Labels after every bucket was compared with one hub, and the smaller buckets that remain.
+
+    The hub is the member that shares the most with others, so that copies of one text meet its
+    middle. One minus either similarity is a metric: if x is further than twice the allowed
+    distance from the hub and y no further than once, x and y cannot be similar. A bucket therefore
+    falls into the members not far from the hub and those not near it; pairs of a near and a far
+    one need no comparison, and all others are together in one of the two. Members keep their
+    similarities to the hub, by which later rounds leave out more pairs.
+    """
+    degree = bands.groupBy("node").agg(F.sum("n").alias("degree"))
+    live = _rejoin(bands.select("key", "node"), degree, "node")
+    rank = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
+    hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= 1).select("key", F.col("node").alias("hub"))
+    rows = written(_rejoin(live.select("key", "node"), hubs, "key").where("node <> hub").select("key", "hub", F.col("node").alias("member")))
+    results = written(compared(rows.select("hub", "member").distinct(), words))
+    labels = components(results.where(F.greatest("weighted", "plain") >= similar).select(F.col("hub").alias("u"), F.col("member").alias("v")))
+    not_far = F.when(F.greatest("weighted", "plain") >= 2 * similar - 1, F.col("key"))
+    not_near = F.when(F.least("weighted", "plain") < similar, F.xxhash64("key"))
+    parts = rows.join(results, ["hub", "member"]).select(F.explode(F.array(not_far, not_near)).alias("key"), F.col("member").alias("node"), "weighted", "plain")
+    return labels, written(parts.where("key IS NOT NULL"))
+
+
 def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """(node, label) of nodes that have a link, from their bands; the others are classes of their own.
 
-    In a round every bucket names hubs, one in the first round and ``HUB_GROWTH`` times as many in
-    each later one, and all its members of other components are compared with them. Hubs then leave the
-    bucket. A bucket is done once the rest of it lies in one component, so each pair of nodes that
-    share a bucket has been compared or was already joined: no link is lost, no bucket is capped,
-    and a bucket of thousands of near copies costs about one comparison for each.
+    After ``split_by_hub`` every bucket names hubs round by round, ``HUB_GROWTH`` times as many in
+    each, and all its members of other components are compared with them. Hubs then leave the
+    bucket. Their order is one for all buckets, so a pair in several buckets is mostly compared once.
+    A bucket is done once the rest of it lies in one component. So each pair of nodes that
+    share a bucket has been compared, was already joined, or cannot be similar: no link is lost, no
+    bucket is capped, and a bucket of thousands of near copies costs about one comparison for each.
+    Components are those of the first round until the end, when the few links of later rounds
+    join them; that costs some comparisons within a component and saves the rounds of joining.
     """
-    waiting, labels, hubs_each = bands, None, 1
+    labels, waiting = split_by_hub(bands, words, similar)
+    later, hubs_each = [], 1
     while True:
-        if labels is None:
-            live = waiting.withColumn("label", F.col("node"))
-        else:
-            live = _rejoin(waiting, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-            live = written(_rejoin(live, open_, "key"))
-            if live.isEmpty():
-                return labels
-        rank = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-        hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = _rejoin(live, hubs, "key").where("label <> hub_label")
+        live = _rejoin(waiting, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        live = written(_rejoin(live, open_, "key"))
+        if live.isEmpty():
+            break
+        rank = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select(
+            "key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("weighted").alias("hub_weighted"), F.col("plain").alias("hub_plain"))
+        # Distances to one point that differ by more than the allowed one, in both measures, exclude a pair.
+        apart = 1 - similar + 1e-9
+        may = (F.abs(F.col("weighted") - F.col("hub_weighted")) <= apart) | (F.abs(F.col("plain") - F.col("hub_plain")) <= apart)
+        pairs = _rejoin(live, hubs, "key").where(F.expr("label <> hub_label") & may)
         pairs = written(pairs.select("hub", F.col("node").alias("member"), "hub_label", "label").distinct())
-        linked = written(verified(pairs.select("hub", "member"), words, similar))
+        linked = compared(pairs.select("hub", "member"), words).where(F.greatest("weighted", "plain") >= similar)
         joined = pairs.join(linked, ["hub", "member"], "left_semi").select(F.col("hub_label").alias("u"), F.col("label").alias("v"))
-        if labels is None:
-            labels = components(joined)
-        else:  # components of components, and the old members behind them
-            merged = components(joined)
-            moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti")))
-        waiting = written(_rejoin(live.select("key", "node"), hubs.groupBy("key").agg(F.collect_set("hub").alias("hubs")), "key").where(~F.array_contains("hubs", F.col("node"))).select("key", "node"))
+        later.append(written(joined))
+        left = hubs.groupBy("key").agg(F.collect_set("hub").alias("hubs"))
+        waiting = written(_rejoin(live, left, "key").where(~F.array_contains("hubs", F.col("node"))).select("key", "node", "weighted", "plain"))
         hubs_each *= HUB_GROWTH
+    if not later:
+        return labels
+    # Components of components, and the old members behind them.
+    merged = components(reduce(DataFrame.unionByName, later))
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti"))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -265,8 +297,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = written(banded(docs, id_column, text_column))
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    bands = written(_rejoin(buckets, shared, "key").select("key", "node"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    bands = written(_rejoin(buckets, shared, "key").select("key", "node", "n"))
     texts = docs.select(words_of(F.col(f"`{text_column}`")).alias("words"))
     texts = texts.withColumn("node", node_of(F.col("words"))).join(bands.select("node").distinct(), "node", "left_semi")
     words = written(texts.groupBy("node").agg(F.first("words").alias("words")))
