@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled rows: the first by hash of their id.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality; null labels are skipped, and of
-    several labels of an id the lower counts. Only their statistics reach the driver.
+    several labels of an id the lower counts. The chosen ids, at most ``most``, are broadcast, so no
+    text is shuffled, and only statistics reach the driver.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     named = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in named.items()])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in named.items()])
     got = rows.orderBy(F.xxhash64("doc_id"), *named).limit(most).toPandas()
     return fit(got[list(named)].to_numpy(np.float64), got["quality"].to_numpy(np.float64), list(named))
 
