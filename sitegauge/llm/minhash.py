@@ -3,8 +3,9 @@
 A text is its runs of five words, each weighted by how often it occurs. ProbMinHash lets every
 run arrive in a Poisson process whose rate is its weight, each arrival at a random register; a
 register keeps the run that arrived first. Two texts agree in a register with the probability
-Jaccard similarity of their weights. Registers are joined to bands; texts that share a band are
-compared exactly, and those similar enough are linked into classes.
+Jaccard similarity of their weights. A second set of registers, with every weight 1, stands for the
+plain Jaccard similarity. Registers are joined to bands; texts that share a band are compared
+exactly, and those similar enough are linked into classes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from sitegauge.llm.common import by_slices, slices, texts_of, written
 from sitegauge.llm.words import codes
 
 RUN_WORDS, SIMILAR = 5, 0.8
-#: 24 bands of 5 registers: of pairs at similarity 0.8, one in 14,000 shares no band.
+#: 24 bands of 5 registers in each of the two sets: of pairs at similarity 0.8 in either, one in 14,000 shares no band.
 BANDS, BAND_REGISTERS = 24, 5
 #: Members that one hub is compared with in one block.
 BLOCK_MEMBERS = 256
@@ -113,6 +114,25 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def band_lists(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of all texts one after the other, and where each text's end; none without words.
+
+    A text has the bands of its weighted registers and those of its plain ones that differ. Both
+    sets share their keys, so a text without repeated runs has each band once.
+    """
+    text, run, weight = weighted_runs(texts)
+    some = np.bincount(text, minlength=len(texts)) > 0
+    keys = band_keys(signatures(text, run, weight, len(texts), BANDS * BAND_REGISTERS))
+    plain, repeats = keys.copy(), np.zeros(len(texts), bool)
+    repeats[text[weight > 1]] = True
+    if repeats.any():
+        of = repeats[text]
+        number = np.cumsum(repeats)[text[of]] - 1
+        plain[repeats] = band_keys(signatures(number, run[of], np.ones(len(number)), int(repeats.sum()), BANDS * BAND_REGISTERS))
+    taken = np.concatenate([np.ones(keys.shape, bool), plain != keys], axis=1) & some[:, None]
+    return np.concatenate([keys, plain], axis=1)[taken], np.cumsum(taken.sum(axis=1))
+
+
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Probability Jaccard similarity of the weighted runs, and plain Jaccard similarity of the runs."""
     (runs, x), (others, y) = a, b
@@ -142,11 +162,8 @@ def banded(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = rows.withColumn("node", node_of(F.col("words")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch, "words")
-        keys = band_keys(signatures(*weighted_runs(texts), len(texts), BANDS * BAND_REGISTERS))
-        some = np.array([bool(t) for t in texts])
-        ends = np.concatenate([[0], np.cumsum(some) * BANDS])
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].reshape(-1)))
+        keys, ends = band_lists(texts_of(batch, "words"))
+        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), bands], ["doc_id", "node", "bands"])
 
     return by_slices(rows, "words", work, "doc_id long, node string, bands array<long>")

@@ -64,6 +64,18 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert got == jaccard_classes(dict(rows)) and len({got[i] for i in range(60)}) == 1
 
 
+def test_copies_with_a_repeated_line(spark):
+    """Plain similarity 0.92, weighted 0.25: one copy repeats a line many times."""
+    rows = []
+    for i in range(12):
+        text = " ".join(f"t{i}w{k}" for k in range(104))
+        rows += [(2 * i, text), (2 * i + 1, text + f" menu{i} home about shop contact" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == jaccard_classes(dict(rows)) and got[23] == 22
+    assert minhash.kept_rows(docs).count() == 12
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
