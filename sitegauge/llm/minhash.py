@@ -258,8 +258,9 @@ def split_by_hub(bands: DataFrame, words: DataFrame, similar: float) -> tuple[Da
     rows = written(_rejoin(live.select("key", "node"), hubs, "key").where("node <> hub").select("key", "hub", F.col("node").alias("member")))
     results = written(compared(rows.select("hub", "member").distinct(), words))
     labels = components(results.where(F.greatest("weighted", "plain") >= similar).select(F.col("hub").alias("u"), F.col("member").alias("v")))
-    not_far = F.when(F.greatest("weighted", "plain") >= 2 * similar - 1, F.col("key"))
-    not_near = F.when(F.least("weighted", "plain") < similar, F.xxhash64("key"))
+    # Rounding must not put a member at the very edge on the wrong side: edges belong to both parts.
+    not_far = F.when(F.greatest("weighted", "plain") >= 2 * similar - 1 - 1e-9, F.col("key"))
+    not_near = F.when(F.least("weighted", "plain") < similar + 1e-9, F.xxhash64("key"))
     parts = rows.join(results, ["hub", "member"]).select(F.explode(F.array(not_far, not_near)).alias("key"), F.col("member").alias("node"), "weighted", "plain")
     return labels, written(parts.where("key IS NOT NULL"))
 

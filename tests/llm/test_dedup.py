@@ -76,6 +76,15 @@ def test_copies_with_a_repeated_line(spark):
     assert minhash.kept_rows(docs).count() == 12
 
 
+def test_link_at_the_edges_of_a_bucket(spark):
+    """h-y and x-y are 0.8, h-x is 0.6; h is the hub, and neither x nor y may miss the other."""
+    words = TEXT.split()[:14]
+    texts = spark.createDataFrame([("h", " ".join(words[:12])), ("x", " ".join(words[2:])), ("y", " ".join(words))], "node string, words string")
+    bands = spark.createDataFrame([(1, "h", 9), (1, "x", 3), (1, "y", 3)], "key long, node string, n long")
+    labels = {r["node"]: r["label"] for r in minhash.labels_of(bands, texts, 0.8).collect()}
+    assert labels.get("h", "h") == labels["x"] == labels["y"] == "h"
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
