@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 from sitegauge.llm.common import cut
 
 #: Wanted vectors of a cell, most cells, and sampled vectors for each cell.
-CELL_SIZE, MOST_CELLS, SAMPLE_PER_CELL = 256, 4096, 16
-#: Links of a centroid in the graph, and how many candidates a walk opens at once.
+CELL_SIZE, MOST_CELLS, SAMPLE_PER_CELL = 256, 4096, 64
+#: Links of a centroid in the graph, and how many candidates a walk opens at once, or a 16th of its beam.
 LINKS, OPENED = 16, 4
 #: A vector is listed in its nearest cells: at least two, then those up to this ratio of the nearest
 #: distance, and at most so many. The last number is what its walk keeps.
 LIST_RATIO, LEAST_LISTS, MOST_LISTS, LIST_BEAM = 1.15, 2, 6, 24
 #: A query reads the lists of its nearest cells by the same rule. The least number keeps up recall
-#: where a query lies on a centroid and every other cell is far by ratio.
+#: where a query lies on a centroid and every other cell is far by ratio. Both numbers grow with the
+#: cells: vectors without clusters have their neighbours in a share of all cells, not in a number of them.
 PROBE_RATIO, LEAST_PROBES, MOST_PROBES, PROBE_BEAM = 1.2, 32, 48, 64
+LEAST_SHARE, MOST_SHARE, BEAM_SHARE = 1 / 8, 1 / 4, 1 / 3
 #: Vectors of a list, and queries for it, that one group compares.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 2048
 
@@ -96,7 +98,7 @@ class Graph:
             rows, closed = rows[going], closed[going]
             if not len(rows):
                 break
-            several = min(OPENED, beam)
+            several = min(max(OPENED, beam // 16), beam)
             pick = np.argpartition(closed, several - 1, axis=1)[:, :several]
             first = closed.argmin(axis=1)[:, None]
             pick = np.where(np.take_along_axis(closed, pick, axis=1) < np.inf, pick, first)
@@ -140,9 +142,16 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def probes_of(cells: int) -> tuple[int, int, int]:
+    """Least and most lists that a query reads of an index of so many cells, and what its walk keeps."""
+    bounds = ((LEAST_PROBES, LEAST_SHARE), (MOST_PROBES, MOST_SHARE), (PROBE_BEAM, BEAM_SHARE))
+    return tuple(max(number, int(np.ceil(cells * share))) for number, share in bounds)
+
+
 def _lists(df: DataFrame, graph: Graph, width: int, longest: float, query: bool) -> DataFrame:
     """(rep_id, embedding, cell) for each list that a vector is in, or that a query reads."""
-    ratio, least, most, beam = (PROBE_RATIO, LEAST_PROBES, MOST_PROBES, PROBE_BEAM) if query else (LIST_RATIO, LEAST_LISTS, MOST_LISTS, LIST_BEAM)
+    probes = PROBE_RATIO, *probes_of(len(graph.centroids))
+    ratio, least, most, beam = probes if query else (LIST_RATIO, LEAST_LISTS, MOST_LISTS, LIST_BEAM)
     shared = df.sparkSession.sparkContext.broadcast(graph)
 
     def work(batches):
@@ -221,8 +230,8 @@ def search(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = reps.agg(F.count("*"), F.sqrt(F.max(square))).first()
     cells = int(np.clip(-(-n // CELL_SIZE), 1, MOST_CELLS))
-    chosen = reps.orderBy(F.xxhash64("rep_id"), "rep_id").select("embedding").limit(cells * SAMPLE_PER_CELL * 4 if cells < 512 else cells * SAMPLE_PER_CELL)
-    points = np.array([r["embedding"] for r in chosen.toLocalIterator()], np.float64)
+    chosen = reps.orderBy(F.xxhash64("rep_id"), "rep_id").select("embedding").limit(cells * SAMPLE_PER_CELL)
+    points = _matrix(chosen.toArrow().column("embedding"), width)
     lift = np.sqrt(np.maximum(longest**2 - (points**2).sum(axis=1), 0))
     graph = graph_of(balanced_cells(np.column_stack([points, lift]), cells))
 
