@@ -53,6 +53,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this job wrote to the shared folder and no longer needs."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def numbered(df: DataFrame, name: str, group: list[str], bucket_of: Column, order: list[Column]) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... without gaps in each group, with no group in a single task.
 
