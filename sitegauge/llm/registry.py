@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sitegauge.llm import queries_ann, queries_chat, queries_conversation_repair, queries_exact_dedup, queries_language_id, queries_line_dedup, queries_minhash, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
+from sitegauge.llm import queries_ann, queries_chat, queries_collocations, queries_conversation_repair, queries_exact_dedup, queries_language_id, queries_line_dedup, queries_minhash, queries_packing, queries_pieces, queries_quality, queries_sharding, queries_token_counts
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_salted_exact_dedup": queries_exact_dedup.op9_salted_exact_dedup,
     "op10_balanced_posting_lists": queries_ann.op10_balanced_posting_lists,
     "op11_levelled_line_runs": queries_line_dedup.op11_levelled_line_runs,
+    "op12_multikey_collocations": queries_collocations.op12_multikey_collocations,
     "op13_grammar_conversation_repair": queries_conversation_repair.op13_grammar_conversation_repair,
 }
 
@@ -26,5 +27,6 @@ ORACLE = {
     "op2_token_level_chat": queries_chat.ORACLE,
     "op9_salted_exact_dedup": queries_exact_dedup.ORACLE,
     "op11_levelled_line_runs": queries_line_dedup.ORACLE,
+    "op12_multikey_collocations": queries_collocations.ORACLE,
     "op13_grammar_conversation_repair": queries_conversation_repair.ORACLE,
 }
