@@ -20,11 +20,11 @@ def url_admission(urls: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORT
 def judged(rows: DataFrame, column: str, dns: DataFrame, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
     """The rows with ``host``, ``port`` and ``reason`` (null: admitted) of the URL in ``column``.
 
-    One non-public address refuses a host, and so does none. Answers are judged and reduced to one
+    One non-public address refuses a host, and so does none (a null address is none). Answers are judged and reduced to one
     row per host before the join; refused URLs have no host and are dealt out.
     """
     verdicts = (
-        dns.groupBy(F.lower("host").alias("dns_host"))
+        dns.where(F.col("address").isNotNull()).groupBy(F.lower("host").alias("dns_host"))
         .agg(F.min(F.when(~U.public_address(F.col("address")), F.col("address"))).alias("bad_address"))
     )
     checked = rows.withColumn("__a", U.admission(F.col(column), allowed_ports)).select(

@@ -587,7 +587,7 @@ def oracle_queries() -> dict[str, str]:
     compact = ("'{\"url\":\"' || url || '\",\"score\":' || additive || ',\"audit\":{\"score\":' || score || ',\"grade\":\"' || grade || '\",\"counts\":{\"critical\":' || critical"
                " || ',\"warning\":' || warning || ',\"notice\":' || notice || '},\"summary\":\"' || summary || '\"}}' AS analysis")
     events = {k: f"({derived(v, 'events')})" for k, v in (("log", D.REQUEST_LOG), ("acc", D.ACCOUNT_EVENTS), ("visit", D.PAGE_VISITS))}
-    accounts = derived(D.ACCOUNTS, "customer", D.ACCOUNTS_FILTER)
+    accounts = derived(D.ACCOUNTS, "customer")
     subscription = f"""WITH acc AS ({accounts}), ev AS (SELECT * FROM {events['acc']} WHERE type <> 'invoice.paid'),
 co AS (SELECT email, max({{'ts': ts, 'event_id': event_id, 'customer': customer}}) AS co FROM ev WHERE type = 'checkout.session.completed' GROUP BY email),
 a2 AS (SELECT acc.email, premium, acc.customer_id AS old_id, coalesce(co.customer, acc.customer_id) AS customer_id, co FROM acc LEFT JOIN co USING (email)),
@@ -760,7 +760,7 @@ LEFT JOIN (SELECT category, sum(issues) AS issues, count(*) FILTER (WHERE issues
         "is_external": pages(f"SELECT page_id, pos, href, NOT (href LIKE '#%' OR href LIKE 'javascript:%' OR href LIKE 'mailto:%' OR href LIKE 'tel:%') AND target_host <> {host('url')} AS is_external FROM lks"),
         "resolve_url": pages(f"SELECT page_id, pos, href, {resolve('url', 'href')} AS resolved FROM lks"),
         "url_admission": f"SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END AS host, CASE WHEN reason IS NULL THEN port END AS port FROM (SELECT url, {_admission('url')} FROM ({derived(D.FETCH_URLS, 'pages')}))",
-        "address_admission": f"""WITH dns AS ({derived(D.DNS, 'pages', D.DNS_FILTER)}), v AS (SELECT host, min(CASE WHEN NOT ({_public('address')}) THEN address END) AS bad FROM dns GROUP BY host),
+        "address_admission": f"""WITH dns AS ({derived(D.DNS, 'pages')}), v AS (SELECT host, min(CASE WHEN NOT ({_public('address')}) THEN address END) AS bad FROM dns WHERE address IS NOT NULL GROUP BY host),
 j AS (SELECT a.url, a.reason AS r0, a.host, a.port, v.host AS known, v.bad FROM (SELECT url, {_admission('url')} FROM pages) a LEFT JOIN v ON v.host = a.host),
 r AS (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN known IS NULL THEN 'Could not resolve URL hostname' WHEN bad IS NOT NULL THEN 'Hostname resolves to a non-public address (' || bad || ')' END AS reason FROM j)
 SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END AS host, CASE WHEN reason IS NULL THEN port END AS port FROM r""",
@@ -796,8 +796,13 @@ WINDOW w AS (PARTITION BY product ORDER BY date RANGE BETWEEN INTERVAL 30 DAYS P
         "monthly_quota": f"SELECT client AS account, cast(date_trunc('month', ts) AS date) AS month, count(*) AS n, count(*) > 50 AS over_quota FROM {events['log']} WHERE route = 'analyze' GROUP BY ALL",
         # streams
         "stream_page_audit": pages("SELECT * FROM scored"),
-        "stream_price_alerts": _points("SELECT product, captured_at, prev, price AS curr, CASE WHEN price < prev THEN 'drop' ELSE 'increase' END AS direction FROM (SELECT *, lead(price) OVER (PARTITION BY product ORDER BY prank) AS prev FROM ok) WHERE prev <> price"),
-        "stream_capture_dedup": f"SELECT DISTINCT url, date_trunc('hour', fetched_at) AS slot_start FROM {events['visit']}",
+        "stream_price_alerts": _points(f"""SELECT product, captured_at, prev, price AS curr, CASE WHEN price < prev THEN 'drop' ELSE 'increase' END AS direction, NULL::DOUBLE AS threshold
+FROM (SELECT *, lead(price) OVER (PARTITION BY product ORDER BY prank) AS prev FROM ok) WHERE prev <> price
+UNION ALL SELECT o.product, captured_at, NULL, price, 'threshold', t.threshold FROM ok o JOIN ({derived(D.THRESHOLDS, 'part')}) t ON t.product = o.product WHERE t.threshold > 0 AND price <= t.threshold"""),
+        "stream_capture_dedup": f"""WITH RECURSIVE v AS (SELECT * FROM {events['visit']}),
+kept AS (SELECT url, min(fetched_at) AS fetched_at FROM v GROUP BY url
+  UNION ALL SELECT kept.url, min(v.fetched_at) FROM kept JOIN v ON v.url = kept.url AND v.fetched_at >= kept.fetched_at + INTERVAL 1 HOUR GROUP BY kept.url, kept.fetched_at)
+SELECT url, fetched_at FROM kept""",
         "stream_rate_breaches": breaches,
         "stream_subscription_state": f"{subscription} SELECT email, customer_id, premium, since FROM fin WHERE follows OR co IS NOT NULL",
     }

@@ -121,7 +121,7 @@ def admission(spark: SparkSession, sf: str) -> DataFrame:
 
 def addresses(spark: SparkSession, sf: str) -> DataFrame:
     pages = D.table(spark, sf, "pages")
-    return U.address_admission(pages.select("url"), D.derive(pages.where(D.DNS_FILTER), D.DNS))
+    return U.address_admission(pages.select("url"), D.derive(pages, D.DNS))
 
 
 def _scored_accounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +217,9 @@ def _event_stream(spark: SparkSession, sf: str, columns: dict[str, str]) -> Data
 
 
 def stream_capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    captures = _event_stream(spark, sf, D.PAGE_VISITS)
-    return spark.read.parquet(J.run_available(J.capture_dedup(captures), FS.work_folder(spark, "dedup")))
+    J.use_rocksdb(spark)
+    captures = J.capture_dedup(_event_stream(spark, sf, D.PAGE_VISITS))
+    return spark.read.parquet(J.run_available(captures, FS.work_folder(spark, "dedup"), "update")).drop("batch_id")
 
 
 def stream_rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +230,8 @@ def stream_rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_price_alerts(spark: SparkSession, sf: str) -> DataFrame:
     stream = J.read_stream(spark, f"{sf}/lineitem.parquet").where("l_quantity > 0")
-    output = J.price_changes(D.derive(stream, D.PRICE_POINTS), FS.work_folder(spark, "alerts"))
+    limits = D.derive(J.read_stream(spark, f"{sf}/part.parquet"), D.THRESHOLDS)
+    output = J.price_changes(D.derive(stream, D.PRICE_POINTS), FS.work_folder(spark, "alerts"), thresholds=limits)
     return spark.read.parquet(output).drop("batch_id")
 
 

@@ -175,12 +175,12 @@ KEYWORDS = {
     "url": "'https://shop.example.com/' || p_partkey",
 }
 
+# Accounts in debt have an address that no event names.
 ACCOUNTS = {
-    "email": "'u' || c_custkey || '@example.com'",
+    "email": "case when c_acctbal >= 0 then 'u' || c_custkey || '@example.com' else 'u' || c_custkey || '@example.org' end",
     "premium": "false",
     "customer_id": "case when c_custkey % 3 = 0 then 'cus_' || c_custkey end",
 }
-ACCOUNTS_FILTER = "c_acctbal >= 0"
 
 ACCOUNT_EVENTS = {
     "event_id": "event_id",
@@ -190,7 +190,7 @@ ACCOUNT_EVENTS = {
         "when 'purchase' then 'customer.subscription.updated' when 'view' then 'customer.subscription.updated' else 'invoice.paid' end"
     ),
     "customer": "'cus_' || user_id",
-    "email": "'u' || user_id || '@example.com'",
+    "email": "case when event_type = 'signup' or user_id % 4 = 0 then 'u' || user_id || '@example.com' end",
     "status": "case event_type when 'purchase' then 'active' when 'view' then 'past_due' end",
 }
 
@@ -224,12 +224,11 @@ FETCH_URLS = {
 DNS = {
     "host": "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)",
     "address": (
-        "case page_id % 10 when 1 then '10.0.0.' || (page_id % 250) when 2 then '::1' when 3 then '2606:2800:220:1::1' "
+        "case when page_id % 9 = 8 then null else case page_id % 10 when 1 then '10.0.0.' || (page_id % 250) when 2 then '::1' when 3 then '2606:2800:220:1::1' "
         "when 4 then '::ffff:127.0.0.1' when 5 then '100.100.100.200' when 6 then '172.32.0.1' when 7 then '172.31.0.1' "
-        "else '93.184.216.' || (page_id % 250) end"
+        "else '93.184.216.' || (page_id % 250) end end"
     ),
 }
-DNS_FILTER = "page_id % 9 <> 8"
 # Answers for the hosts that redirects start from and lead to: some hosts have a private address
 # beside a public one, and some have no answer (a null address is none).
 HOP_DNS = {
@@ -298,4 +297,4 @@ def hop_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "customer").where(ACCOUNTS_FILTER), ACCOUNTS)
+    return derive(table(spark, sf_dir, "customer"), ACCOUNTS)

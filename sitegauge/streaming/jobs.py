@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -17,7 +20,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from sitegauge.functions.prices import strip_price
 from sitegauge.operators.accounts import COMPLETED, DELETED, UPDATED, rate_limit_column
-from sitegauge.operators.prices import ORDER, with_previous
+from sitegauge.operators.prices import ORDER
 from sitegauge.operators.scores import page_score
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,16 +68,6 @@ def page_audit(pages: DataFrame) -> DataFrame:
 # --- event time ----------------------------------------------------------------------------
 
 
-def capture_dedup(captures: DataFrame, every: str = "1 hour") -> DataFrame:
-    """One capture per URL and clock interval; late captures beyond one interval are dropped."""
-    return (
-        captures.withWatermark("fetched_at", every)
-        .withColumn("slot", F.window("fetched_at", every))
-        .dropDuplicates(["url", "slot"])
-        .select("url", F.col("slot.start").alias("slot_start"))
-    )
-
-
 def rate_counts(log: DataFrame, window: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
     """Requests per client, route and window; rows later than ``lateness`` are dropped."""
     return (
@@ -94,42 +87,242 @@ def final_breaches(spark: SparkSession, output: str, limit: Column | None = None
 # --- keyed state ---------------------------------------------------------------------------
 
 
-def price_changes(points: DataFrame, folder: str, order: tuple[str, ...] = ORDER) -> str:
-    """Alert per readable point that differs from the one before, over the whole stream.
+def _groups(table: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+    """First rows of the runs of equal keys in sorted rows, and the offsets of the runs."""
+    codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return pa.array(starts), np.append(starts, len(codes)).astype(np.int32)
+
+
+def _sorted(batches: Iterator[pa.RecordBatch], names: list[str]) -> pa.Table | None:
+    """All rows of a task in order; a task holds one range of a micro-batch."""
+    held = list(batches)
+    return pa.Table.from_batches(held).sort_by([(n, "ascending") for n in names]) if any(b.num_rows for b in held) else None
+
+
+#: What a packed row of the price state is: all points of a product in the batch, the points of a
+#: product that other slices may have too, the first and last of those, a new threshold.
+WHOLE, INNER, EDGE, THRESHOLD = range(4)
+#: Keys over which the slices of one product are dealt.
+SALTS = 8
+
+
+def price_slices(points: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Points of a batch packed by product and slice, in order.
+
+    Rows are range-partitioned by product and order. A product inside a slice is complete there
+    and becomes one row. One at the border of a slice may go on in the next: its points become a
+    row of a salted key, which needs no state before it, and only its first and last point go to
+    the key that holds its state. So a product may fill a batch by itself.
+    """
+    names = ["product", *[c for c in order if c != "product"]]
+    rows = points.select(*names, "price", F.unix_micros("captured_at").alias("_at"))
+    product = rows.schema["product"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _sorted(batches, names)
+        if table is None:
+            return
+        part = TaskContext.get().partitionId()
+        first, offsets = _groups(table, "product")
+        n = len(first)
+        prices, times = (table.column(c).combine_chunks() for c in ("price", "_at"))
+        border = np.unique([0, n - 1])
+        edges = [np.unique([offsets[g], offsets[g + 1] - 1]) for g in border]
+        ends, edge_offsets = pa.array(np.concatenate(edges)), pa.array(np.cumsum([0, *map(len, edges)]).astype(np.int32))
+        order_of = pa.array(np.concatenate([np.arange(1, n - 1), border, border]) if n > 1 else np.array([0, 0]))
+        plain = pa.array(np.concatenate([np.arange(1, n - 1), border]) if n > 1 else np.array([0]))
+
+        def lists(values: pa.Array) -> pa.Array:
+            whole = pa.ListArray.from_arrays(pa.array(offsets), values).take(plain)
+            return pa.concat_arrays([whole, pa.ListArray.from_arrays(edge_offsets, values.take(ends))])
+
+        inside, at_border = max(n - 2, 0), len(border)
+        kinds = np.repeat([WHOLE, INNER, EDGE], [inside, at_border, at_border]).astype(np.int32)
+        batch = pa.RecordBatch.from_arrays(
+            [
+                table.column("product").combine_chunks().take(first).take(order_of),
+                pa.array(np.where(kinds == INNER, part % SALTS, 0).astype(np.int32)), pa.array(kinds),
+                pa.array(np.full(len(kinds), part, np.int32)), lists(prices), lists(times), pa.nulls(len(kinds), pa.float64()),
+            ],
+            ["product", "salt", "kind", "slice", "prices", "times", "threshold"],
+        )
+        yield from (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000))
+
+    return rows.repartitionByRange(*names).mapInArrow(
+        pack, f"product {product}, salt int, kind int, slice int, prices array<double>, times array<bigint>, threshold double"
+    )
+
+
+class PriceState(StatefulProcessor):
+    """Last price and threshold of a product; alerts of the points of a batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.price = handle.getValueState("price", "price double")
+        self.threshold = handle.getValueState("threshold", "threshold double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        packed, edges, limits = [], [], []
+        for chunk in rows:
+            for row in chunk.itertuples():
+                if row.kind == THRESHOLD:
+                    limits.append(row.threshold)
+                elif row.kind == EDGE:
+                    edges.append((row.slice, np.asarray(row.prices, float), np.asarray(row.times, np.int64)))
+                else:
+                    packed.append((row.kind, np.asarray(row.prices, float), np.asarray(row.times, np.int64)))
+        if limits:
+            (limit,) = limits[-1:]
+            if limit is not None and limit > 0:
+                self.threshold.update((float(limit),))
+            else:
+                self.threshold.clear()
+        if not packed and not edges:
+            return
+        limit = self.threshold.get() if packed else None
+        before = self.price.get() if edges or any(kind == WHOLE for kind, *_ in packed) else None
+        last = np.nan if before is None else before[0]
+        found = []
+        for kind, prices, times in packed:
+            found.append(_changes(last if kind == WHOLE else np.nan, prices, times))
+            if kind == WHOLE:
+                last = prices[-1]
+            if limit is not None:
+                low = prices <= limit[0]
+                found.append((times[low], np.full(low.sum(), np.nan), prices[low], np.full(low.sum(), "threshold"), np.full(low.sum(), limit[0])))
+        for _, prices, times in sorted(edges, key=lambda e: e[0]):
+            found.append(_changes(last, prices[:1], times[:1]))
+            last = prices[-1]
+        if not np.isnan(last):
+            self.price.update((float(last),))
+        at, prev, curr, direction, threshold = (np.concatenate(c) for c in zip(*found, strict=True))
+        if len(at):
+            yield pd.DataFrame({"product": [key[0]] * len(at), "at": at, "prev": prev, "curr": curr, "direction": direction, "threshold": threshold})
+
+    def close(self) -> None:
+        pass
+
+
+def _changes(last: float, prices: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Points that differ from the one before; the first is compared with ``last``, NaN for none."""
+    prev = np.concatenate([[last], prices[:-1]])
+    changed = ~np.isnan(prev) & (prev != prices)
+    prev, curr = prev[changed], prices[changed]
+    return times[changed], prev, curr, np.where(curr < prev, "drop", "increase"), np.full(len(curr), np.nan)
+
+
+def price_alerts(points: DataFrame, thresholds: DataFrame | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Alerts of every readable point of a stream: product, captured_at, prev, curr, direction, threshold.
 
-    State is a table with the last price per product, written anew by every batch under its
-    batch id, so a repeated batch reads the same state and overwrites its own output. The work
-    of a batch is cut by range (:func:`with_previous`): a product may fill a batch by itself.
+    ``drop`` or ``increase``: the price differs from that of the point before; ``threshold``: it is
+    not above the product's threshold. Points are taken batch by batch, in a batch by ``order``.
+    ``thresholds`` is a stream of product and threshold: a later one replaces the one before, 0 and
+    null remove it, and it holds from its own batch on. Price and threshold of a product are keyed
+    state in RocksDB, so a batch costs what its own products cost, however many are known.
     """
     readable = points.withColumn("price", strip_price(F.col("price_text"))).where(F.col("price").isNotNull())
-    columns = ("product", "price", *order)
-    output = f"{folder}/output"
+    packed = price_slices(readable, order)
+    if thresholds is not None:
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        packed = packed.unionByName(
+            thresholds.select(
+                F.col("product").cast(packed.schema["product"].dataType).alias("product"), salts.alias("salt"), F.lit(THRESHOLD).alias("kind"),
+                F.lit(0).alias("slice"), F.lit(None).cast("array<double>").alias("prices"),
+                F.lit(None).cast("array<bigint>").alias("times"), F.col("threshold").cast("double").alias("threshold"),
+            )
+        )
+    product = packed.schema["product"].dataType.simpleString()
+    alerts = packed.groupBy("product", "salt").transformWithStateInPandas(
+        PriceState(), f"product {product}, at bigint, prev double, curr double, direction string, threshold double", "Update", "none"
+    )
+    given = {c: F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("prev", "threshold")}
+    return alerts.select("product", F.timestamp_micros("at").alias("captured_at"), given["prev"], "curr", "direction", given["threshold"])
+
+
+def price_changes(points: DataFrame, folder: str, order: tuple[str, ...] = ORDER, thresholds: DataFrame | None = None) -> str:
+    """Run :func:`price_alerts` over the files present; returns the output path."""
+    use_rocksdb(points.sparkSession)
+    return run_available(price_alerts(points, thresholds, order), folder, "update")
+
+
+class LastCapture(StatefulProcessor):
+    """Time of the last capture that was kept; gone by a timer when it can no longer refuse one."""
+
+    def __init__(self, every: int) -> None:
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at bigint")
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*columns, F.lit(batch_id).alias("seen"))
-        if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{folder}/state/{batch_id - 1}"))
-        rows = rows.persist()
-        position = ("seen", *order)
-        changed = with_previous(rows, ("product",), position, "price", "prev").where(
-            (F.col("seen") == batch_id) & (F.col("prev") != F.col("price"))
+    def _expiry(self, at: int) -> int:
+        return -(-(at + self.every) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrays = [np.asarray(times, np.int64) for chunk in rows for times in chunk["times"]]
+        times = np.sort(np.concatenate(arrays))
+        times = times[times >= timerValues.getCurrentWatermarkInMs() * 1000]
+        before = self.kept.get()
+        found, last, at = [], None if before is None else before[0], 0
+        while at < len(times):
+            if last is not None:
+                at = int(np.searchsorted(times, last + self.every))
+                if at == len(times):
+                    break
+            last = int(times[at])
+            found.append(last)
+        if found:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before[0]))
+            self.kept.update((last,))
+            self.handle.registerTimer(self._expiry(last))
+            yield pd.DataFrame({"url": [key[0]] * len(found), "at": found})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def capture_dedup(captures: DataFrame, seconds: int = 3600) -> DataFrame:
+    """One capture per URL until ``seconds`` have passed since the kept one: url, fetched_at.
+
+    The state of a URL is the time of its last kept capture and a timer that removes it. Captures
+    that come later than ``seconds`` behind the stream are dropped; one before the kept capture is
+    a repetition of it. Files in order of time give the same rows however they are cut into
+    batches. Captures of a batch are packed by URL and slice of time first.
+    """
+    rows = captures.select("url", F.unix_micros("fetched_at").alias("_at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _sorted(batches, ["url", "_at"])
+        if table is None:
+            return
+        first, offsets = _groups(table, "url")
+        times = table.column("_at").combine_chunks()
+        batch = pa.RecordBatch.from_arrays(
+            [
+                table.column("url").combine_chunks().take(first), pa.ListArray.from_arrays(pa.array(offsets), times),
+                times.take(pa.array(offsets[1:] - 1)).cast(pa.timestamp("us", "UTC")),
+            ],
+            ["url", "times", "newest"],
         )
-        changed.select(
-            "product", "captured_at", "prev", F.col("price").alias("curr"),
-            F.when(F.col("price") < F.col("prev"), "drop").otherwise("increase").alias("direction"),
-        ).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-        last = F.max_by(F.struct(*columns, "seen"), F.struct(*position)).alias("last")
-        rows.groupBy("product").agg(last).select("last.*").write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
-        rows.unpersist()
+        yield from (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000))
 
-    return run_available(readable, folder, "append", write_batch)
+    packed = rows.repartitionByRange("url", "_at").mapInArrow(pack, "url string, times array<bigint>, newest timestamp")
+    kept = packed.withWatermark("newest", f"{seconds} seconds").groupBy("url").transformWithStateInPandas(
+        LastCapture(seconds * 1_000_000), "url string, at bigint", "Update", "EventTime"
+    )
+    return kept.select("url", F.timestamp_micros("at").alias("fetched_at"))
 
 
 class Subscriptions(StatefulProcessor):
     """Latest subscription state per customer; events older than the state are ignored."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "premium boolean, since timestamp, ts timestamp, event_id long")
+        self.state = handle.getValueState("state", "premium boolean, since timestamp, ts timestamp, event_id long, email string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # Only the newest checkout and the newest event of the batch can decide.
@@ -150,9 +343,10 @@ class Subscriptions(StatefulProcessor):
             return
         active = newest.type == COMPLETED or (newest.type == UPDATED and newest.status == "active")
         since = newest.ts.to_pydatetime() if active else None
-        self.state.update((bool(active), since, newest.ts.to_pydatetime(), int(newest.event_id)))
+        email = checkout.email if checkout is not None else seen[4] if seen is not None else newest.email
+        self.state.update((bool(active), since, newest.ts.to_pydatetime(), int(newest.event_id), email))
         yield pd.DataFrame({
-            "customer_id": [key[0]], "email": [newest.email], "premium": [bool(active)], "since": [since],
+            "customer_id": [key[0]], "email": [email], "premium": [bool(active)], "since": [since],
             "ts": [newest.ts], "event_id": [int(newest.event_id)],
         })
 
@@ -161,10 +355,22 @@ class Subscriptions(StatefulProcessor):
 
 
 def subscription_updates(events: DataFrame, accounts: DataFrame) -> DataFrame:
-    """State changes per customer; events of unknown accounts are ignored by the join."""
+    """State changes per customer; events of unknown accounts are ignored.
+
+    As in the batch fold, a completed checkout is matched by e-mail, a deleted or updated
+    subscription by customer id: one that the accounts know or that a checkout has set. The latter
+    need not carry an e-mail.
+    """
     relevant = events.where(F.col("type").isin(COMPLETED, DELETED, UPDATED))
-    known = accounts.select("email", F.coalesce(F.col("customer_id").isNotNull(), F.lit(False)).alias("known_customer"))
-    return relevant.join(known, "email").groupBy("customer").transformWithStateInPandas(
+    columns = ("customer", "email", "type", "status", "ts", "event_id")
+    owners = accounts.select("email", F.col("customer_id").alias("owner")).where(F.col("owner").isNotNull())
+    checkouts = relevant.where(F.col("type") == COMPLETED).select(*columns).join(
+        accounts.select("email", F.col("customer_id").alias("owner")), "email")
+    changes = relevant.where(F.col("type") != COMPLETED).select(*[c for c in columns if c != "email"]).join(
+        owners, F.col("customer") == F.col("owner"), "left")
+    known = F.col("owner").isNotNull().alias("known_customer")
+    both = checkouts.select(*columns, known).unionByName(changes.select(*columns, known))
+    return both.groupBy("customer").transformWithStateInPandas(
         Subscriptions(), "customer_id string, email string, premium boolean, since timestamp, ts timestamp, event_id long", "Update", "none"
     )
 
@@ -176,5 +382,6 @@ def latest_state(spark: SparkSession, output: str) -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state of arbitrary size lives in RocksDB, not on the executor heap."""
+    """Keyed state of arbitrary size lives in RocksDB, not on the executor heap; a batch uploads what it changed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
