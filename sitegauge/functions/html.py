@@ -31,7 +31,7 @@ ATTR_PATTERN = r"""([a-zA-Z_:@][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"
 TOKENS_TYPE = "array<struct<pos:int,kind:string,tag:string,raw:string>>"
 
 # Character references: numeric, named, and what stands between them.
-REFERENCE_PATTERN = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&[a-zA-Z][a-zA-Z0-9]{1,31};?|[^&]++|&"
+REFERENCE_PATTERN = r"&#(?:0*+[0-9]{1,7}|[xX]0*+[0-9a-fA-F]{1,6}|0++|[xX]0++);?|&[a-zA-Z][a-zA-Z0-9]{1,31};?|[^&]++|&"
 # Names of the HTML standard that are also read without a semicolon, longest first.
 BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 # Numbers 128 to 159 mean the characters of Windows-1252, as browsers read them.
@@ -83,7 +83,7 @@ def unescape(text: Column, bare: bool = True) -> Column:
     query parameter, go without. What is no reference stays as it is.
     """
     def numeric(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#([0-9]+|[xX][0-9a-fA-F]+)", 1)
+        digits = F.regexp_replace(F.regexp_extract(piece, r"^&#([0-9]+|[xX][0-9a-fA-F]+)", 1), "^([xX]?)0+(?=[0-9a-fA-F])", "$1")
         code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -193,16 +193,29 @@ def _is_leaf(token: Column) -> Column:
     return token["tag"].isin(*VOID_TAGS) | token["raw"].endswith("/>") | whole
 
 
-def nested_ends(toks: Column) -> Column:
-    """End of every opening tag by order, then its depth in boilerplate, in one array."""
+def tag_marks(toks: Column) -> tuple[Column, Column, Column]:
+    """What the stack machine reads: tags as one string, their positions, the end of the page."""
     marks = F.filter(toks, lambda t: t["kind"].isin("open", "close"))
     spelt = F.transform(marks, lambda t: F.when(t["kind"] == "close", F.concat(F.lit(CLOSE), t["tag"])).when(
         _is_leaf(t), F.concat(t["tag"], F.lit(LEAF))).otherwise(t["tag"]))
-    return nesting(F.array_join(spelt, " "), F.transform(marks, lambda t: t["pos"]), F.size(toks))
+    return F.array_join(spelt, " "), F.transform(marks, lambda t: t["pos"]), F.size(toks)
+
+
+def nested_ends(toks: Column) -> Column:
+    """End of every opening tag by order, then its depth in boilerplate, then its parent, in one array."""
+    return nesting(*tag_marks(toks))
+
+
+def nested(opened: Column, ends: Column) -> Column:
+    """Elements of all tags, read without ends, with the ends of :func:`nested_ends`."""
+    third = F.floor(F.size(ends) / 3).cast("int")
+    return F.transform(opened, lambda e, i: F.struct(
+        e["pos"].alias("pos"), e["tag"].alias("tag"), e["attrs"].alias("attrs"), F.get(ends, i).alias("close_pos"), e["raw"].alias("raw"),
+        F.get(ends, i + third).alias("depth"), F.get(ends, i + third * 2).alias("parent")))
 
 
 def elements(toks: Column, ends: Column | None, tags: tuple[str, ...] | None = None) -> Column:
-    """Opening tags in document order as ``(pos, tag, attrs, close_pos, raw, depth)``.
+    """Opening tags in document order as ``(pos, tag, attrs, close_pos, raw, depth, parent)``.
 
     ``ends`` is the result of :func:`nested_ends`; without it, for uses that read no content, every
     element ends where it starts. ``tags`` keeps the listed names only, so that attribute parsing
@@ -212,7 +225,8 @@ def elements(toks: Column, ends: Column | None, tags: tuple[str, ...] | None = N
     placed = F.transform(opened, lambda t, i: F.struct(
         t["pos"].alias("pos"), t["tag"].alias("tag"), t["raw"].alias("raw"),
         (t["pos"] if ends is None else F.get(ends, i)).alias("close_pos"),
-        (F.lit(0) if ends is None else F.get(ends, i + F.floor(F.size(ends) / 2).cast("int"))).alias("depth"),
+        (F.lit(0) if ends is None else F.get(ends, i + F.floor(F.size(ends) / 3).cast("int"))).alias("depth"),
+        (F.lit(-1) if ends is None else F.get(ends, i + F.floor(F.size(ends) / 3).cast("int") * 2)).alias("parent"),
     ))
     if tags is not None:
         placed = F.filter(placed, lambda e: e["tag"].isin(*tags))
@@ -220,7 +234,7 @@ def elements(toks: Column, ends: Column | None, tags: tuple[str, ...] | None = N
         placed,
         lambda e: F.struct(
             e["pos"].alias("pos"), e["tag"].alias("tag"), attributes(e["raw"]).alias("attrs"),
-            e["close_pos"].alias("close_pos"), e["raw"].alias("raw"), e["depth"].alias("depth"),
+            e["close_pos"].alias("close_pos"), e["raw"].alias("raw"), e["depth"].alias("depth"), e["parent"].alias("parent"),
         ),
     )
 

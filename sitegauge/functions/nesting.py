@@ -2,7 +2,7 @@
 
 A stack needs time linear in the page only if it can be changed in place. Column expressions copy
 arrays instead, which costs the square of the number of elements, so this one step runs in Arrow
-batches: it gets the tags of a page as one string and gives back two numbers an element.
+batches: it gets the tags of a page as one string and gives back three numbers an element.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ CLOSE, LEAF = "/", ">"
 
 
 def nest(marks: str, positions: list[int], end: int) -> list[int]:
-    """End of every opening tag, then how many boilerplate elements are open around each.
+    """End of every opening tag, then how many boilerplate elements are open around each, then the
+    number of its parent among the opening tags (-1: none).
 
     A closing tag ends the nearest open element of its name together with everything opened
     inside it, and is ignored if none is open; elements left open end with the page; an element
@@ -26,6 +27,7 @@ def nest(marks: str, positions: list[int], end: int) -> list[int]:
     """
     ends: list[int] = []
     depths: list[int] = []
+    parents: list[int] = []
     stack: list[tuple[str, int]] = []
     heights: dict[str, list[int]] = {}
     hidden = 0
@@ -41,6 +43,7 @@ def nest(marks: str, positions: list[int], end: int) -> list[int]:
                     hidden -= tag in BOILERPLATE_TAGS
         else:
             depths.append(hidden)
+            parents.append(stack[-1][1] if stack else -1)
             if mark[-1] == LEAF:
                 ends.append(position)
             else:
@@ -48,7 +51,7 @@ def nest(marks: str, positions: list[int], end: int) -> list[int]:
                 stack.append((mark, len(ends)))
                 ends.append(end)
                 hidden += mark in BOILERPLATE_TAGS
-    return ends + depths
+    return ends + depths + parents
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

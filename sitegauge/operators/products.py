@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions import selectors as S
 from sitegauge.functions.cache import column_cache
-from sitegauge.functions.html import element_text, is_text, let, strip
+from sitegauge.functions.html import element_text, elements, is_text, let, nested, strip
 from sitegauge.functions.urls import authority_of, resolve_url
-from sitegauge.operators.elements import explode_rows, parse_pages
+from sitegauge.operators.elements import explode_rows, tokens_column
 
 # --- fixed values: selectors per platform and field; a comma group takes document order,
 # --- a tuple is tried in order
@@ -61,54 +61,36 @@ CUSTOM_SELECTORS = {
     "variants": "[data-variant], .variant, select option",
 }
 IMAGE_KEYWORDS = ("product", "main", "large", "zoom")
-MAX_LINKS = 50
-
-_SIMPLE = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>\*?=)['"]?(?P<value>[^'"\]]*)['"]?)?\]""")
-
-
-def _matches(e: Column, simple: str) -> Column:
-    """Predicate of one compound selector: tag, classes, id and attribute tests."""
-    if "".join(m.group(0) for m in _SIMPLE.finditer(simple)) != simple:
-        raise ValueError(f"selector form not supported: {simple!r}")
-    test = F.lit(True)
-    for m in _SIMPLE.finditer(simple):
-        if m["tag"]:
-            test = test & (e["tag"] == m["tag"].lower())
-        elif m["cls"]:
-            test = test & F.array_contains(F.split(F.coalesce(e["attrs"]["class"], F.lit("")), r"\s+"), m["cls"])
-        elif m["id"]:
-            test = test & (e["attrs"]["id"] == m["id"])
-        elif m["op"] == "=":
-            test = test & (e["attrs"][m["attr"].lower()] == m["value"])
-        elif m["op"] == "*=":
-            test = test & e["attrs"][m["attr"].lower()].contains(m["value"])
-        else:
-            test = test & e["attrs"][m["attr"].lower()].isNotNull()
-    return F.coalesce(test, F.lit(False))
+
+#: Selectors by which the fields of a platform are read.
+PROGRAMS = {
+    name: tuple(dict.fromkeys([*(s for rule in rules.values() for s in ((rule,) if isinstance(rule, str) else rule)), *extra]))
+    for (name, rules), extra in zip(SELECTORS.items(), (("h1",), (), (), ("h1", "img")), strict=True)
+}
+
+
+@column_cache
+def _opened() -> Column:
+    return elements(F.col("tokens"), None)
 
 
 @column_cache
-def select_all(selector: str) -> Column:
-    """Elements of the page that match a selector group, in document order."""
-    els = F.col("els")
+def _found(programs: tuple[tuple[str, ...], ...], which: str | None) -> Column:
+    return S.matches(F.col("tokens"), F.col("opened"), programs, F.lit(0) if which is None else F.col(which))
+
 
-    def inside(scope: Column, simple: str) -> Column:
-        def holds(e: Column) -> Column:
-            return _matches(e, simple) & F.exists(scope, lambda a: (a["pos"] < e["pos"]) & (e["pos"] < a["close_pos"]))
+def with_matches(pages: DataFrame, programs: tuple[tuple[str, ...], ...], which: str | None = None) -> DataFrame:
+    """Pages with tokens, all elements and ``found``: the matches of the selectors of the row's program.
 
-        return F.filter(els, holds)
+    ``which`` names the column with the number of the program.
+    """
+    read = pages.withColumn("tokens", tokens_column()).withColumn("opened", _opened())
+    return read.withColumn("found", _found(programs, which)).withColumn("els", nested(F.col("opened"), F.get("found", F.lit(0)))).drop("opened")
 
-    def descend(chain: list[str]) -> Column:
-        found = F.filter(els, lambda e: _matches(e, chain[0]))
-        for simple in chain[1:]:
-            found = let(found, lambda scope: inside(scope, simple))
-        return found
 
-    groups = [part.split() for part in selector.split(",")]
-    if len(groups) == 1:
-        return descend(groups[0])
-    positions = F.flatten(F.array(*[F.transform(descend(g), lambda e: e["pos"]) for g in groups]))
-    return let(positions, lambda hits: F.filter(els, lambda e: F.array_contains(hits, e["pos"])))
+def select_all(program: tuple[str, ...], selector: str) -> Column:
+    """Elements of the page that a selector of its program matches, in document order."""
+    return F.transform(F.get(F.col("found"), F.lit(program.index(selector) + 1)), lambda i: F.get(F.col("els"), i))
 
 
 def _first(items: Column) -> Column:
@@ -119,22 +101,22 @@ def _text(e: Column) -> Column:
     return element_text(F.col("tokens"), e, "")
 
 
-def _first_text(selector: str, default: str | None = "") -> Column:
+def _first_text(program: tuple[str, ...], selector: str, default: str | None = "") -> Column:
     """Text of the first match, the default without match."""
-    texts = F.transform(F.slice(select_all(selector), 1, 1), _text)
+    texts = F.transform(F.slice(select_all(program, selector), 1, 1), _text)
     found = _first(texts)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def _image_urls(selector: str, fallback: str = "data-src", limit: int | None = None) -> Column:
-    matched = select_all(selector) if limit is None else F.slice(select_all(selector), 1, limit)
+def _image_urls(program: tuple[str, ...], selector: str, fallback: str = "data-src", limit: int | None = None) -> Column:
+    matched = select_all(program, selector) if limit is None else F.slice(select_all(program, selector), 1, limit)
     sources = F.transform(matched, lambda e: F.coalesce(F.nullif(e["attrs"]["src"], F.lit("")), e["attrs"][fallback], F.lit("")))
     kept = F.filter(sources, lambda s: (s != "") & ~s.startswith("data:"))
     return F.transform(kept, lambda s: resolve_url(F.col("url"), s))
 
 
-def _option_values(selector: str) -> Column:
-    values = F.transform(select_all(selector), lambda e: F.coalesce(F.nullif(e["attrs"]["value"], F.lit("")), _text(e)))
+def _option_values(program: tuple[str, ...], selector: str) -> Column:
+    values = F.transform(select_all(program, selector), lambda e: F.coalesce(F.nullif(e["attrs"]["value"], F.lit("")), _text(e)))
     return F.filter(values, lambda v: v != "")
 
 
@@ -153,43 +135,43 @@ def platform_detect(pages: DataFrame) -> DataFrame:
 
 
 def _store_product(platform: str) -> Column:
-    rules = SELECTORS[platform]
-    title = _first_text(rules["title"], None)
+    rules, program = SELECTORS[platform], PROGRAMS[platform]
+    title = _first_text(program, rules["title"], None)
     if platform == "shopify":
-        title = F.coalesce(title, _first_text("h1", None))
+        title = F.coalesce(title, _first_text(program, "h1", None))
     return F.struct(
-        F.coalesce(title, F.lit("")).alias("title"), _first_text(rules["price"]).alias("price"),
-        _first_text(rules["description"]).alias("description"), _image_urls(rules["images"]).alias("images"),
-        _option_values(rules["variants"]).alias("variants"), F.lit("USD").alias("currency"),
+        F.coalesce(title, F.lit("")).alias("title"), _first_text(program, rules["price"]).alias("price"),
+        _first_text(program, rules["description"]).alias("description"), _image_urls(program, rules["images"]).alias("images"),
+        _option_values(program, rules["variants"]).alias("variants"), F.lit("USD").alias("currency"),
     )
 
 
 def _amazon_product() -> Column:
-    rules = SELECTORS["amazon"]
-    fraction = _first_text(rules["fraction"], None)
-    whole = _first_text(rules["whole"], None)
+    rules, program = SELECTORS["amazon"], PROGRAMS["amazon"]
+    fraction = _first_text(program, rules["fraction"], None)
+    whole = _first_text(program, rules["whole"], None)
     split_price = F.concat(whole, F.coalesce(F.concat(F.lit("."), fraction), F.lit("")))
-    texts = F.transform(select_all(rules["variants"]), _text)
+    texts = F.transform(select_all(program, rules["variants"]), _text)
     return F.struct(
-        _first_text(rules["title"]).alias("title"),
-        F.coalesce(split_price, _first_text(rules["price"])).alias("price"),
-        _first_text(rules["description"]).alias("description"),
-        _image_urls(rules["images"], "data-old-hires", 1).alias("images"),
+        _first_text(program, rules["title"]).alias("title"),
+        F.coalesce(split_price, _first_text(program, rules["price"])).alias("price"),
+        _first_text(program, rules["description"]).alias("description"),
+        _image_urls(program, rules["images"], "data-old-hires", 1).alias("images"),
         F.filter(texts, lambda v: v != "").alias("variants"),
-        F.when(whole.isNotNull(), _first_text(rules["symbol"], "USD")).otherwise("USD").alias("currency"),
+        F.when(whole.isNotNull(), _first_text(program, rules["symbol"], "USD")).otherwise("USD").alias("currency"),
     )
 
 
 def _generic_product() -> Column:
-    rules = SELECTORS["generic"]
+    rules, program = SELECTORS["generic"], PROGRAMS["generic"]
 
     def price(selector: str) -> Column:
         values = F.transform(
-            F.slice(select_all(selector), 1, 1), lambda e: F.coalesce(F.nullif(e["attrs"]["content"], F.lit("")), _text(e))
+            F.slice(select_all(program, selector), 1, 1), lambda e: F.coalesce(F.nullif(e["attrs"]["content"], F.lit("")), _text(e))
         )
         return F.nullif(_first(values), F.lit(""))
 
-    sources = F.transform(select_all("img"), lambda e: F.coalesce(F.nullif(e["attrs"]["src"], F.lit("")), e["attrs"]["data-src"], F.lit("")))
+    sources = F.transform(select_all(program, "img"), lambda e: F.coalesce(F.nullif(e["attrs"]["src"], F.lit("")), e["attrs"]["data-src"], F.lit("")))
     kept = F.array_distinct(F.filter(sources, lambda s: (s != "") & ~s.startswith("data:")))
     full = F.transform(kept, lambda s: resolve_url(F.col("url"), s))
 
@@ -199,9 +181,9 @@ def _generic_product() -> Column:
     # Preferred images are put in front one by one, hence reversed.
     images = let(full, lambda urls: F.concat(F.reverse(F.filter(urls, preferred)), F.filter(urls, lambda u: ~preferred(u))))
     return F.struct(
-        _first_text("h1").alias("title"),
+        _first_text(program, "h1").alias("title"),
         F.coalesce(*[price(s) for s in rules["price"]], F.lit("")).alias("price"),
-        F.coalesce(*[_first_text(s, None) for s in rules["description"]], F.lit("")).alias("description"),
+        F.coalesce(*[_first_text(program, s, None) for s in rules["description"]], F.lit("")).alias("description"),
         images.alias("images"), F.array().cast("array<string>").alias("variants"), F.lit("USD").alias("currency"),
     )
 
@@ -223,39 +205,60 @@ def product_column(fields: tuple[str, ...] | None = None) -> Column:
 
 def product_extract(pages: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Product fields of every page by the rules of its platform, all or the named ones."""
-    parsed = parse_pages(pages, tags=None).withColumn("platform", platform_column())
-    return parsed.withColumn("product", product_column(fields)).select("page_id", "url", "platform", "product.*")
+    number = F.lit(0)
+    for i, name in enumerate(PROGRAMS):
+        number = F.when(F.col("platform") == name, i).otherwise(number)
+    known = pages.withColumn("platform", platform_column()).withColumn("program", number)
+    found = with_matches(known, tuple(PROGRAMS.values()), "program")
+    return found.withColumn("product", product_column(fields)).select("page_id", "url", "platform", "product.*")
+
+
+def _content(e: Column) -> Column:
+    """All text of an element, stripped as a whole."""
+    inner = F.slice(F.col("tokens"), e["pos"] + 2, F.greatest(e["close_pos"] - e["pos"] - 1, F.lit(0)))
+    raw = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: t["raw"])
+    return strip(F.array_join(raw, ""))
 
 
 def product_custom(pages: DataFrame, selectors: Mapping[str, str] | None = None) -> DataFrame:
-    """Product fields by the caller's selectors, defaults for the others; null when absent."""
-    rules = {**CUSTOM_SELECTORS, **(selectors or {})}
+    """Product fields by the caller's selectors, defaults for the others; null when absent.
 
-    def content(e: Column) -> Column:
-        inner = F.slice(F.col("tokens"), e["pos"] + 2, F.greatest(e["close_pos"] - e["pos"] - 1, F.lit(0)))
-        raw = F.transform(F.filter(inner, lambda t: t["kind"] == "text"), lambda t: t["raw"])
-        return strip(F.array_join(raw, ""))
+    Selectors may use all forms of :mod:`sitegauge.functions.selectors`; what is no selector raises
+    ``ValueError`` before a job starts.
+    """
+    rules = {**CUSTOM_SELECTORS, **(selectors or {})}
+    program = tuple(dict.fromkeys(rules.values()))
 
     def first(field: str) -> Column:
-        return _first(F.transform(F.slice(select_all(rules[field]), 1, 1), content)).alias(field)
+        return _first(F.transform(F.slice(select_all(program, rules[field]), 1, 1), _content)).alias(field)
 
-    sources = F.filter(F.transform(select_all(rules["images"]), lambda e: e["attrs"]["src"]), is_text)
-    return parse_pages(pages, tags=None).select(
+    sources = F.filter(F.transform(select_all(program, rules["images"]), lambda e: e["attrs"]["src"]), is_text)
+    return with_matches(pages, (program,)).select(
         "page_id", "url", first("title"), first("price"), first("description"),
         F.array_distinct(sources).alias("images"),
-        F.transform(select_all(rules["variants"]), content).alias("variants"),
+        F.transform(select_all(program, rules["variants"]), _content).alias("variants"),
     )
 
 
-def product_links(pages: DataFrame, max_items: int = MAX_LINKS) -> DataFrame:
-    """Product links of collection pages, by selector priority, distinct by href."""
-    hrefs = F.concat(*[F.transform(select_all(s), lambda e: e["attrs"]["href"]) for s in LINK_SELECTORS])
+def select_elements(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
+    """Matches of any selectors: page_id, url, selector, n, texts (of all matches in document order)."""
+    program = tuple(dict.fromkeys(selectors))
+    items = F.array(*[
+        F.struct(F.lit(s).alias("selector"), F.transform(select_all(program, s), _content).alias("texts")) for s in program
+    ])
+    rows = explode_rows(with_matches(pages, (program,)), items, "page_id", "url")
+    return rows.select("page_id", "url", "selector", F.size("texts").alias("n"), "texts")
+
+
+def product_links(pages: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Product links of collection pages, by selector priority, distinct by href; all or the first ``max_items``."""
+    hrefs = F.concat(*[F.transform(select_all(LINK_SELECTORS, s), lambda e: e["attrs"]["href"]) for s in LINK_SELECTORS])
     kept = F.array_distinct(F.filter(hrefs, lambda h: F.coalesce(h.contains("/product"), F.lit(False))))
     ranked = F.transform(
-        F.slice(kept, 1, max_items),
+        kept if max_items is None else F.slice(kept, 1, max_items),
         lambda h, i: F.struct((i + 1).cast("int").alias("rank"), resolve_url(F.col("url"), h).alias("link")),
     )
-    return explode_rows(parse_pages(pages, tags=None), ranked, "page_id", "url")
+    return explode_rows(with_matches(pages, (LINK_SELECTORS,)), ranked, "page_id", "url")
 
 
 def competitor_batch(pages: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def trim(x: str) -> str:
 def unescape(x: str) -> str:
     for entity, char in (("&#8364;", "€"), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                          ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&iuml;", "ï"), ("&Eacute;", "É"),
-                         ("&uuml;", "ü"), ("&#150;", "–"), ("&szlig;", "ß"), ("&frac12;", "½"), ("&amp;", "&")):
+                         ("&uuml;", "ü"), ("&#150;", "–"), ("&#00000065;", "A"), ("&#x0000000042;", "B"), ("&szlig;", "ß"), ("&frac12;", "½"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 
@@ -771,6 +771,7 @@ SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END
         "competitor_batch": f"WITH {products} SELECT platform, count(*) AS total, count(*) FILTER (WHERE title <> '' OR price <> '') AS successful FROM prod GROUP BY platform",
         "price_compare": f"WITH {products} SELECT page_id AS ordinal, url, platform, title, price, currency FROM prod",
         "product_custom": _custom_sql(),
+        "product_selectors": _selector_sql(),
         # prices
         "parse_price": _points("SELECT DISTINCT price_text, price_value AS parsed, price AS stripped, dollar_price AS stripped_dollar, currency FROM pv"),
         "parse_price_locale": _points(f"SELECT DISTINCT price_text, {_locale('price_text')} AS value FROM pv"),
@@ -820,6 +821,27 @@ def _product_sql() -> str:
 FROM (SELECT *, page_id % 5 AS k FROM ({derived(D.PRODUCT_PAGES, 'part')}) JOIN part ON p_partkey = page_id)"""
 
 
+def _selector_sql() -> str:
+    """Matches by construction of the product pages: selector, kind of page, number and texts."""
+    empty4 = "'|||'"
+    rows = [
+        ("div.summary > p.price > span", 1, 1, "'$' || p_size || '.25'"), ("h1 + h1", 0, 1, "p_name"), ("h1 ~ img", 0, 2, "'|'"), ("h1 ~ img", 3, 4, empty4),
+        ("img:not([data-src])", 0, 1, "''"), ("img:not([data-src])", 1, 1, "''"), ("img:not([data-src])", 2, 1, "''"), ("img:not([data-src])", 3, 4, empty4),
+        ("li:first-child", 4, 1, "'p'"), ("li:nth-child(2n+1)", 4, 2, "'p|ox'"),
+        ('[class^="a-price"]', 2, 4, "'$' || p_size || '99|$|' || p_size || '|99'"), ('span[class|="a"]', 2, 4, "'$' || p_size || '99|$|' || p_size || '|99'"),
+        ('img[src$=".jpg"]', 0, 1, "''"), ('img[src$=".jpg"]', 1, 1, "''"), ('img[src$=".jpg"]', 2, 1, "''"), ('img[src$=".jpg"]', 3, 4, empty4),
+        ('[class~="price"]', 1, 1, "'$' || p_size || '.25'"), ('[class~="price"]', 3, 1, "''"), ('[class~="price"]', 4, 1, "'$' || p_size"),
+        ("option:last-child", 0, 1, "'Large'"), ("option:last-child", 1, 1, "'Red'"),
+        ("ul > li:not(.product-card) > a.product-link + a", 4, 1, "'x'"),
+    ]
+    union = " UNION ALL ".join(
+        f"SELECT page_id, '{s}' AS selector, {n} AS n, {t} AS texts FROM prod WHERE k = {k}" for s, k, n, t in rows)
+    every = ", ".join(f"('{s}')" for s in dict.fromkeys(r[0] for r in rows))
+    return f"""WITH prod AS (SELECT p_partkey AS page_id, p_partkey % 5 AS k, p_name, p_size FROM part), hits AS ({union})
+SELECT prod.page_id, s.selector, coalesce(n, 0) AS n, coalesce(texts, '') AS texts
+FROM prod, (VALUES {every}) s(selector) LEFT JOIN hits ON hits.page_id = prod.page_id AND hits.selector = s.selector"""
+
+
 def _custom_sql() -> str:
     return f"""SELECT page_id, url, CASE k WHEN 0 THEN 'Shop' ELSE p_name END AS title,
   CASE k WHEN 1 THEN '$' || p_size || '.25' WHEN 3 THEN '' WHEN 4 THEN '$' || p_size END AS price, CASE k WHEN 3 THEN p_brand END AS description,

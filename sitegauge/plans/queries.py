@@ -242,6 +242,13 @@ def stream_subscription_state(spark: SparkSession, sf: str) -> DataFrame:
     return J.latest_state(spark, output)
 
 
+#: A caller's selectors of all forms.
+SELECTOR_FORMS = (
+    "div.summary > p.price > span", "h1 + h1", "h1 ~ img", "img:not([data-src])", "li:first-child", "li:nth-child(2n+1)", '[class^="a-price"]',
+    'span[class|="a"]', 'img[src$=".jpg"]', '[class~="price"]', "option:last-child", "ul > li:not(.product-card) > a.product-link + a",
+)
+
+
 # --- registry ------------------------------------------------------------------------------
 
 
@@ -329,6 +336,7 @@ QUERIES: dict[str, Query] = {
     "platform_detect": _products(PD.platform_detect),
     "product_extract": _products(lambda p: _joined(PD.product_extract(p), "images", "variants")),
     "product_custom": _products(lambda p: _joined(PD.product_custom(p, {"title": "h1, #productTitle"}), "images", "variants")),
+    "product_selectors": _products(lambda p: _joined(PD.select_elements(p, SELECTOR_FORMS), "texts").drop("url")),
     "product_links": _products(PD.product_links),
     "competitor_batch": _products(PD.competitor_batch),
     "price_compare": compare,

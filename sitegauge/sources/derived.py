@@ -58,7 +58,7 @@ _BODY = [
        when 2 then '<a rel="nofollow noopener" href="https://ext.example.org/a">ext</a><a href="https://ext.example.org/b"> </a><a href="https://Two.example.org/">two</a>'
        when 3 then '<a href="contact.html">contact</a><a href="?page=3">next</a><a href="../up">up</a><a href="//cdn.example.org/x">cdn</a><a href="/pic"><img src="/img/t.webp" alt="t" width="1" height="1"></a><a href="/The#x">again</a>' else '' end""",
     """case when page_id % 10 = 1 then '<iframe src="https://video.example.org/v"></iframe><embed src="/e.swf">' else '' end""",
-    """case when page_id % 9 = 4 then '<p>&#8364; 5 &#x27;ok&#x27; &lt;b&gt; na&iuml;ve &Eacute;tat &uuml;ber &#150; Stra&szlig;e &frac12;</p>' else '' end""",
+    """case when page_id % 9 = 4 then '<p>&#8364; 5 &#x27;ok&#x27; &lt;b&gt; na&iuml;ve &Eacute;tat &uuml;ber &#150; Stra&szlig;e &frac12; &#00000065;&#x0000000042;</p>' else '' end""",
     """case when page_id % 5 = 2 then '<aside>side <form>form<input name="q"></form> end</aside>' else '' end""",
     """case when page_id % 8 = 5 then repeat('<a href="https://ext.example.org/list">item</a> ', 101) else '' end""",
 ]

@@ -159,7 +159,7 @@ def test_selectors(spark, page):
     r = PD.product_custom(page(markup), {"price": ".price .amount", "title": "h1, h2"}).first()
     assert (r.price, r.title, r.images, r.variants, r.description) == ("$12.50", "Second", ["/product/1.jpg"], ["S"], None)
     with pytest.raises(ValueError):
-        PD.product_custom(page(markup), {"price": "a > b"})
+        PD.product_custom(page(markup), {"price": "a >> b"})
 
 
 def test_generic_images_put_preferred_first(page):
