@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters that one numpy step works on at most, unless a single text is longer.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,23 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written`, once nothing refers to them any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -101,6 +117,7 @@ def by_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             yield work(batch)
+        pa.default_memory_pool().release_unused()  # the worker serves other stages next
 
     return df.mapInArrow(run, schema)
 

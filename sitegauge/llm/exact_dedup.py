@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.llm.common import fresh
+
 #: Salts over which the rows of one text are dealt before their winners meet.
 SALTS = 16
 
@@ -88,6 +90,7 @@ def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     def key(member: Column, id_: Column) -> Column:
         return F.concat_ws(":", member, F.coalesce(id_.cast("string"), F.lit("null")))
 
-    stay = winners(docs, id_column, text_column, salts).select(key(F.col("member"), F.col("keep_id")).alias("__key"))
-    marked = docs.withColumn("__key", key(member_of(text_column), F.col(f"`{id_column}`")))
-    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    name = fresh(docs, "__key")
+    stay = winners(docs, id_column, text_column, salts).select(key(F.col("member"), F.col("keep_id")).alias(name))
+    marked = docs.withColumn(name, key(member_of(text_column), F.col(f"`{id_column}`")))
+    return marked.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

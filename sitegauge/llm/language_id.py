@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import by_slices, texts_of
+from sitegauge.llm.common import by_slices, fresh, texts_of
 
 #: Rows of the embedding table, and its width.
 BUCKETS, WIDTH = 1 << 15, 16
@@ -155,13 +155,14 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     the three is replaced, others pass through.
     """
     added = "lang_pred string, score double, rejected boolean"
-    rest = docs.drop("lang_pred", "score", "rejected", "__lettered")
-    rows = rest.withColumn("__lettered", has_letter(F.col(f"`{text_column}`")))
+    rest = docs.drop("lang_pred", "score", "rejected")
+    mark = fresh(rest, "__lettered")
+    rows = rest.withColumn(mark, has_letter(F.col(f"`{text_column}`")))
     names = rest.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = [], []
-        for text, lettered in zip(texts_of(batch, text_column), batch.column("__lettered").to_pylist(), strict=True):
+        for text, lettered in zip(texts_of(batch, text_column), batch.column(mark).to_pylist(), strict=True):
             if lettered and model.languages:
                 p = model.scores(text)
                 best = int(p.argmax())

@@ -16,14 +16,14 @@ from sitegauge.llm.common import by_slices, cut, numbered, texts_of
 from sitegauge.llm.token_counts import special_strings
 from sitegauge.llm.words import Words
 
-#: Words whose ids a worker remembers before it starts anew.
-MOST_WORDS = 1_500_000
+#: Bytes of words that a worker remembers with their ids before it starts anew.
+MOST_WORD_BYTES = 4_000_000
 #: Buckets that number the pieces of one length.
 RANK_BUCKETS = 256
 
 
 class Vocabulary:
-    """Ids of words by the tokenizer library, remembered by word code."""
+    """Ids of words by the tokenizer library, remembered by the words themselves."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -31,21 +31,21 @@ class Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.codes = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def learn(self, words: Words, index: np.ndarray, codes: np.ndarray) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode words that are not known yet."""
-        data = words.data.tobytes()
-        spelt = [data[s : s + n].decode() for s, n in zip(words.start[index].tolist(), words.length[index].tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(spelt, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
         begin = len(self.flat) + np.cumsum(size) - size
-        order = np.argsort(all_codes := np.concatenate([self.codes, codes]), kind="stable")
-        self.codes, self.flat = all_codes[order], np.concatenate([self.flat, flat])
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.held += sum(map(len, words))
+        self.flat = np.concatenate([self.flat, flat])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text ends in it.
@@ -53,19 +53,15 @@ class Vocabulary:
         Words are encoded apart, as the tokenizer does after cutting a text into them; a text with
         a special string goes to the tokenizer whole.
         """
-        whole = {i for i, t in enumerate(texts) if self.special and "<|" in t and self.special.search(t)}
+        whole = {i for i, t in enumerate(texts) if self.special and self.special.search(t)}
         words = Words(["" if i in whole else t for i, t in enumerate(texts)])
         index, number = words.distinct()
-        if len(self.codes) > MOST_WORDS:
+        if self.held > MOST_WORD_BYTES:
             self.clear()
-        codes = words.code[index]
-        place = np.searchsorted(self.codes, codes)
-        known = place < len(self.codes)
-        known[known] = self.codes[place[known]] == codes[known]
-        if not known.all():
-            self.learn(words, index[~known], codes[~known])
-            place = np.searchsorted(self.codes, codes)
-        at = place[number]
+        spelt = words.spelt(index)
+        if new := [w for w in spelt if w not in self.known]:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, spelt), np.int64, len(spelt))[number]
         size = self.size[at]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import by_slices, texts_of
-from sitegauge.llm.words import codes
+from sitegauge.llm.words import groups
 
 #: White space marker of the pieces.
 MARKER = "▁"
@@ -199,7 +199,7 @@ class Pieces:
             opening[1:-1] |= space[1:] & ~space[:-1]
         start = np.flatnonzero(opening[:-1])
         length = np.diff(start, append=len(data))
-        _, index, number = np.unique(codes(data, start, length), return_index=True, return_inverse=True)
+        index, number = groups(data, start, length)
         short = length[index] <= LONG
         ids, n = self.segment(data, start[index][short], length[index][short])
         size = np.zeros(len(index), np.int64)

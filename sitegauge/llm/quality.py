@@ -186,7 +186,7 @@ def rate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     whatever their names: the statistics live in a struct of their own.
     """
     named = statistics(F.col(f"`{text_column}`"))
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     kept = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
     scored = docs.select(kept, *[c.alias(n) for n, c in named.items()]).select("__row", model.score().alias("__score"))
     return scored.select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

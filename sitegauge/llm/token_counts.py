@@ -207,7 +207,7 @@ def counts(texts: list[str], path: str) -> np.ndarray:
     special = special_strings(path)
     parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        pieces = special.split(text) if special and "<|" in text else [text]
+        pieces = special.split(text) if special else [text]
         extra[i] = len(pieces) - 1
         parts += pieces
         owner += [i] * len(pieces)

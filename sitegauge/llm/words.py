@@ -146,30 +146,72 @@ class Words:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Index of one occurrence of each distinct word, and each word's number among them."""
-        code = codes(self.data, self.start, self.length)
-        self.code = code
-        _, index, number = np.unique(code, return_index=True, return_inverse=True)
-        return index, number
+        return groups(self.data, self.start, self.length)
+
+    def spelt(self, index: np.ndarray) -> list[bytes]:
+        """Bytes of some words."""
+        data = self.data.tobytes()
+        return [data[s : s + n] for s, n in zip(self.start[index].tolist(), self.length[index].tolist(), strict=True)]
 
 
 #: Odd factor of the polynomial code of a word, and its inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Powers that a worker keeps for the next batch: those of a slice.
+KEPT_POWERS = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the factor and of its inverse; kept for the next batch."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 21)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (FACTOR, INVERSE)]
+    """Powers 0 to n of the factor and of its inverse; kept for the next batch unless a text is longer than a slice."""
+    def up_to(size: int) -> list[np.ndarray]:
+        return [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (FACTOR, INVERSE)]
+
+    if n > KEPT_POWERS:
+        return tuple(up_to(n))
+    if not _POWERS:
+        _POWERS[:] = up_to(KEPT_POWERS)
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
 def codes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit code of each span of the bytes: a polynomial read off prefix sums, mixed with the length."""
+    """64-bit code of each span of the bytes: a polynomial read off prefix sums, mixed with the length.
+
+    Different spans may share a code (there are known pairs for every factor): see :func:`groups`.
+    """
     powers, inverse = _powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
     code = (sums[start + length] - sums[start]) * inverse[start]
     code ^= code >> np.uint64(29)
     return code * np.uint64(0xBF58476D1CE4E5B9) ^ (length.astype(np.uint64) << np.uint64(40))
+
+
+def groups(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one span of each content, and each span's number among them.
+
+    Spans are grouped by code and then compared byte by byte with the first of their group; those
+    that differ are grouped by their content.
+    """
+    _, index, number = np.unique(codes(data, start, length), return_index=True, return_inverse=True)
+    first = index[number]
+    same = length == length[first]
+    check = np.flatnonzero(same & (np.arange(len(start)) != first))
+    if len(check):
+        n = length[check]
+        ends = np.cumsum(n)
+        step = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(ends - n, n)
+        differs = data[np.repeat(start[check], n) + step] != data[np.repeat(start[first[check]], n) + step]
+        if differs.any():
+            same[check[np.searchsorted(ends, np.flatnonzero(differs), side="right")]] = False
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        known: dict[bytes, int] = {}
+        added, number = [], number.copy()
+        for i in odd.tolist():
+            content = data[start[i] : start[i] + length[i]].tobytes()
+            if content not in known:
+                known[content] = len(index) + len(known)
+                added.append(i)
+            number[i] = known[content]
+        index = np.concatenate([index, np.array(added, index.dtype)])
+    return index, number

@@ -19,11 +19,22 @@ def library():
     return Tokenizer.from_file(WORD_PATH)
 
 
+def morse_texts():
+    """Pairs of words whose polynomial codes are equal, alone and together."""
+    out = []
+    for letters, order in (("ab", 11), ("th", 10)):
+        a, b = letters
+        for _ in range(order):
+            a, b = a + b, b + a
+        out += [a, b, f"{a} {b} {a}", f"{b} {a}"]
+    return out
+
+
 @pytest.fixture(scope="module")
 def odd_texts():
     draw = random.Random(4)
     texts = ["".join(draw.choice(LETTERS) for _ in range(draw.randint(0, 90))) for _ in range(600)]
-    return [*texts, "a<|endoftext|>b <|startoftext|>", "<|endoftext", "", "   ", "x" * 3000, "it's we'll THEY'RE don't 've'll'r e " * 30, "ab" * BLOCK]
+    return [*texts, "a<|endoftext|>b <|startoftext|>", "<|endoftext", "", "   ", "x" * 3000, "it's we'll THEY'RE don't 've'll'r e " * 30, "ab" * BLOCK, *morse_texts()]
 
 
 def test_machines_count_what_the_library_counts(library, odd_texts):
@@ -116,3 +127,12 @@ def test_packing_of_odd_rows(odd_docs, no_docs, library):
         assert ends <= 2048
     assert len(spans) == len(one_by_one({n: sum(r["length"] == n for r in rows) for n in {r["length"] for r in rows}}, 2048))
     assert pack_documents(no_docs, WORD_PATH, 2048).count() == 0
+
+
+def test_pieces_of_words_with_equal_codes_come_back():
+    model = pieces(PIECE_PATH)
+    texts = morse_texts()
+    flat, upto = model.encode(texts)
+    assert model.decode(flat, upto) == texts
+    alone = [model.encode([t])[0].tolist() for t in texts]
+    assert [x.tolist() for x in np.split(flat, upto[:-1])] == alone
