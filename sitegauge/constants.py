@@ -76,6 +76,7 @@ BLOCKED_HOST_SUFFIXES = (".local", ".internal", ".localhost", ".home.arpa", ".in
 METADATA_ADDRESSES = ("169.254.169.254", "169.254.170.2", "100.100.100.200")
 MAX_URL_LENGTH = 2048
 MAX_REDIRECTS = 5
+BATCH_URLS = 50
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
 
 # --- fixed values: intake bounds ---

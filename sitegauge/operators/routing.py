@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.constants import (
     ALLOWED_PORTS,
+    BATCH_URLS,
     MAX_HTML_BYTES,
     MAX_REDIRECTS,
     MAX_URL_LENGTH,
@@ -18,16 +19,17 @@ from sitegauge.functions.urls import IPV4_PATTERN, admission, public_address, re
 from sitegauge.operators.scores import audited, legacy_score_column
 from sitegauge.operators.url_ops import judged
 from sitegauge.plans.page_report import fact_columns
+from sitegauge.sources.files import work_folder
 
 TOO_MANY = "Refused: Too many redirects"
 
 
-def page_intake(submissions: DataFrame) -> DataFrame:
+def page_intake(submissions: DataFrame, most_bytes: int = MAX_HTML_BYTES, longest_url: int = MAX_URL_LENGTH, least_chars: int = MIN_HTML_CHARS) -> DataFrame:
     """``(page_id, url, status, reason)``: rejected rows carry the first reason."""
     reason = (
-        F.when(F.octet_length("html") > MAX_HTML_BYTES, "HTML content exceeds maximum size of 5 MB")
-        .when(F.length("url") > MAX_URL_LENGTH, "URL exceeds maximum length of 2048 characters")
-        .when(F.coalesce(F.length(strip(F.col("html"))), F.lit(0)) < MIN_HTML_CHARS, "HTML content too short or empty")
+        F.when(F.octet_length("html") > most_bytes, "HTML content exceeds maximum size of 5 MB")
+        .when(F.length("url") > longest_url, "URL exceeds maximum length of 2048 characters")
+        .when(F.coalesce(F.length(strip(F.col("html"))), F.lit(0)) < least_chars, "HTML content too short or empty")
     )
     return submissions.select(
         "page_id", "url", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason")
@@ -57,6 +59,42 @@ def batch_report(captures: DataFrame) -> DataFrame:
     )
 
 
+def batch_numbers(rows: DataFrame, order: tuple[str, ...], size: int = BATCH_URLS) -> DataFrame:
+    """The columns of ``order`` with ``batch``: rows in order, ``size`` a batch, from 0 and without gaps.
+
+    No global sort: rows are range-partitioned, numbered inside their range, and the counts of the
+    ranges before are added. The numbered keys are written first, so that both uses see the same ranges.
+    """
+    path = work_folder(rows.sparkSession, "ranges")
+    ranged = rows.select(*order).repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    ranged.withColumn("place", inside).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("range", before.alias("start"))
+    return placed.join(starts, "range").select(*order, F.floor((F.col("start") + F.col("place")) / size).alias("batch"))
+
+
+def batch_documents(captures: DataFrame, size: int = BATCH_URLS) -> DataFrame:
+    """Reports of captures in batches of at most ``size``: batch, total, results (JSON).
+
+    ``captures`` has page_id (unique), url and a fetch outcome. Batches go by page_id. A result is
+    ``{url, status, error}`` of a failed capture, else ``{url, score, audit, status}``: the additive
+    score, and score, grade, counts and summary of the audit.
+    """
+    routed = captures.withColumn("error", routing_error())
+    readable = routed.withColumn("html", F.when(F.col("error").isNull(), F.col("html")).otherwise("")).drop("status")
+    scored = audited(readable).select("page_id", "url", "error", "audit", *[c for c in fact_columns()]).withColumn("score", legacy_score_column())
+    audit = F.struct(*[F.col(f"audit.{k}").alias(k) for k in ("score", "grade", "counts", "summary")])
+    result = F.when(F.col("error").isNotNull(), F.to_json(F.struct("url", F.lit("error").alias("status"), "error"))).otherwise(
+        F.to_json(F.struct("url", "score", audit.alias("audit"), F.lit("ok").alias("status")), {"ignoreNullFields": "false"}))
+    results = scored.select("page_id", result.alias("result")).join(batch_numbers(captures, ("page_id",), size), "page_id")
+    in_order = F.sort_array(F.collect_list(F.struct("page_id", "result")))
+    return results.groupBy("batch").agg(F.count("*").alias("total"), in_order.alias("rows")).select(
+        "batch", "total", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["result"]), ","), F.lit("]")).alias("results"))
+
+
 def report_csv(captures: DataFrame) -> DataFrame:
     """The 20 report columns of every capture; failed ones keep url and status only."""
     routed = captures.withColumn("error", routing_error())

@@ -551,6 +551,22 @@ def _public(x: str) -> str:
             f"WHEN {x} LIKE '::ffff:%' THEN false WHEN {x} = '::1' THEN false ELSE {x} LIKE '2%' END")
 
 
+#: Numbers of addresses: an IPv4 address maps to an IPv6 one; first two groups of an IPv6 address.
+_V4 = ("(281470681743360::HUGEINT + split_part({x}, '.', 1)::HUGEINT * 16777216 + split_part({x}, '.', 2)::HUGEINT * 65536"
+       " + split_part({x}, '.', 3)::HUGEINT * 256 + split_part({x}, '.', 4)::HUGEINT)")
+_V6 = "(10752::HUGEINT * 5192296858534827628530496329220096 + ('0x' || split_part({x}, ':', 2))::HUGEINT * 79228162514264337593543950336)"
+
+
+def _networks_sql() -> str:
+    """Readable networks as ranges of numbers, equal ones once."""
+    return f"""given AS ({derived(D.NETWORKS, 'customer')}),
+sized AS (SELECT network, public, k % 5 AS form, CASE k % 5 WHEN 0 THEN 256::HUGEINT WHEN 1 THEN 131072 WHEN 3 THEN 1
+    ELSE CASE k % 2 WHEN 0 THEN 79228162514264337593543950336 ELSE 1208925819614629174706176 END END AS span,
+  CASE WHEN k % 5 = 2 THEN {_V6.format(x='network')} ELSE {_V4.format(x="split_part(network, '/', 1)")} END AS n FROM given WHERE k % 5 < 4),
+nets AS (SELECT n // span * span AS lo, n // span * span + span - 1 AS hi, min({{'network': network, 'public': public}}).network AS network,
+  min({{'network': network, 'public': public}}).public AS public FROM sized GROUP BY ALL)"""
+
+
 def _admission(url: str) -> str:
     """Columns reason, host, port of a table with ``url``."""
     authority = f"regexp_extract({url}, '^[a-z]+://([^/?#]*)', 1)"
@@ -675,6 +691,11 @@ walk AS (
 )
 SELECT url, CASE WHEN error IS NULL THEN current END AS final_url, n_hops, error FROM walk WHERE done OR error IS NOT NULL""",
         "batch_report": f"SELECT count(*) AS total, count(*) FILTER (WHERE e IS NULL) AS ok, count(*) FILTER (WHERE e IS NOT NULL) AS errors FROM (SELECT {error} AS e FROM ({captures}))",
+        "batch_documents": pages(f"""SELECT batch, count(*) AS total, '[' || string_agg(result, ',' ORDER BY page_id) || ']' AS results FROM (
+  SELECT c.page_id, (row_number() OVER (ORDER BY c.page_id) - 1) // 50 AS batch, CASE WHEN e IS NOT NULL THEN '{{"url":"' || c.url || '","status":"error","error":"' || e || '"}}'
+    ELSE '{{"url":"' || c.url || '","score":' || l.score || ',"audit":{{"score":' || s.score || ',"grade":"' || s.grade || '","counts":{{"critical":' || s.critical
+      || ',"warning":' || s.warning || ',"notice":' || s.notice || '}},"summary":"' || s.summary || '"}},"status":"ok"}}' END AS result
+  FROM (SELECT *, {error} AS e FROM ({aug_captures})) c JOIN legacy l USING (page_id) JOIN scored s USING (page_id)) GROUP BY batch"""),
         "report_csv": pages(f"""SELECT c.url, CASE WHEN e IS NULL THEN 'ok' ELSE 'error' END AS status, {", ".join(f"CASE WHEN e IS NULL THEN {v} END AS {k}" for k, v in (
             ('score', 'l.score'), ('critical_issues', 's.critical'), ('warnings', 's.warning'), ('title', 'r.title'), ('title_length', 'r.title_length'),
             ('description_length', 'r.description_length'), ('h1_count', 'r.headings_h1_count'), ('word_count', 'r.word_count'), ('images_total', 'r.images_total'),
@@ -682,6 +703,16 @@ SELECT url, CASE WHEN error IS NULL THEN current END AS final_url, n_hops, error
             ('flesch_kincaid_grade', 'r.grade'), ('internal_links', 'r.links_internal'), ('external_links', 'r.links_external'), ('lcp', 'r.lcp'), ('fcp', 'r.fcp'), ('cls', 'r.cls')))}
 FROM (SELECT *, {error} AS e FROM ({aug_captures})) c JOIN report r USING (page_id) JOIN legacy l USING (page_id) JOIN sev s USING (page_id)"""),
         "export_json_csv": f"WITH {products} SELECT page_id, title, price, CASE WHEN variants = '' THEN '[]' ELSE '[\"' || replace(variants, '|', '\",\"') || '\"]' END AS variants FROM prod",
+        "document_rows": f"""WITH d AS (SELECT p_partkey AS doc_id, p_partkey % 5 AS k, p_name, p_size FROM part)
+SELECT doc_id, r.pos, r.name, r.value FROM d, LATERAL (VALUES
+  (0, 0, 'url', 'https://a.example/' || doc_id), (0, 0, 'price', '$' || p_size || '.50'), (0, 0, 'tags', '["x","y"]'), (0, 1, 'url', 'https://b.example/'), (0, 1, 'error', 'HTTP 404'),
+  (1, 0, 'name', p_name), (1, 0, 'size', p_size || ''), (1, 0, 'note', 'a, b'), (1, 1, 'size', '7'), (1, 1, 'name', NULL),
+  (2, 0, 'id', doc_id || ''), (2, 0, 'b', '1.5'), (2, 1, 'b', 'true'), (2, 1, 'id', '2')) r(kind, pos, name, value) WHERE kind = k""",
+        "export_documents_csv": """WITH d AS (SELECT p_partkey AS doc_id, p_partkey % 5 AS k, p_name, p_size FROM part)
+SELECT doc_id, 2 AS n_rows, replace(CASE k WHEN 0 THEN 'url,price,tags~https://a.example/' || doc_id || ',$' || p_size || '.50,"[""x"",""y""]"~https://b.example/,,~'
+  WHEN 1 THEN 'name,size,note~' || p_name || ',' || p_size || ',"a, b"~,7,~' ELSE 'id,b~' || doc_id || ',1.5~2,true~' END, '~', chr(13) || chr(10)) AS csv FROM d WHERE k < 3""",
+        "export_documents_header": """SELECT 'https://a.example/' || p_partkey AS url, '$' || p_size || '.50' AS price, '["x","y"]' AS tags FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT 'https://b.example/', NULL, NULL FROM part WHERE p_partkey % 5 = 0""",
         "price_csv": _points("SELECT strftime(captured_at, '%Y-%m-%dT%H:%M:%S') AS timestamp, price_text AS price, 'part ' || product AS title, CASE WHEN price_value IS NULL THEN 'no price' ELSE '' END AS error FROM pv"),
         "price_json_source": _points("SELECT cast(captured_at AS date) AS date, currency, max(price_value) AS price FROM pv WHERE price_value IS NOT NULL GROUP BY ALL"),
         "history_append": history.replace("{cols}", "email, url, score, created_at, " + compact),
@@ -764,6 +795,18 @@ LEFT JOIN (SELECT category, sum(issues) AS issues, count(*) FILTER (WHERE issues
 j AS (SELECT a.url, a.reason AS r0, a.host, a.port, v.host AS known, v.bad FROM (SELECT url, {_admission('url')} FROM pages) a LEFT JOIN v ON v.host = a.host),
 r AS (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN known IS NULL THEN 'Could not resolve URL hostname' WHEN bad IS NOT NULL THEN 'Hostname resolves to a non-public address (' || bad || ')' END AS reason FROM j)
 SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END AS host, CASE WHEN reason IS NULL THEN port END AS port FROM r""",
+        "address_admission_networks": f"""WITH {_networks_sql()}, dns AS ({derived(D.DNS, 'pages')}),
+listed AS (SELECT address, arg_max(public, lo) AS listed FROM (SELECT DISTINCT address FROM dns WHERE regexp_matches(address, '^[0-9.]+$')) a
+  JOIN nets ON {_V4.format(x='a.address')} BETWEEN lo AND hi GROUP BY address),
+v AS (SELECT host, min(CASE WHEN NOT coalesce(listed, {_public('address')}) THEN address END) AS bad FROM dns LEFT JOIN listed USING (address) WHERE address IS NOT NULL GROUP BY host),
+j AS (SELECT a.url, a.reason AS r0, a.host, a.port, v.host AS known, v.bad FROM (SELECT url, {_admission('url')} FROM pages) a LEFT JOIN v ON v.host = a.host),
+r AS (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN known IS NULL THEN 'Could not resolve URL hostname' WHEN bad IS NOT NULL THEN 'Hostname resolves to a non-public address (' || bad || ')' END AS reason FROM j)
+SELECT url, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN host END AS host, CASE WHEN reason IS NULL THEN port END AS port FROM r""",
+        "network_lookup": f"""WITH {_networks_sql()}, a AS (SELECT DISTINCT address FROM ({derived(D.ADDRESSES, 'orders')})),
+n AS (SELECT address, CASE WHEN address LIKE 'host%' THEN NULL WHEN address LIKE '11.%' THEN {_V4.format(x='address')}
+  ELSE {_V6.format(x='address')} + ('0x' || split_part(address, ':', 3))::HUGEINT * 1208925819614629174706176 + ('0x' || split_part(address, ':', 5))::HUGEINT END AS n FROM a),
+hits AS (SELECT address, arg_min({{'network': network, 'public': public}}, hi - lo) AS best FROM n JOIN nets ON n.n BETWEEN lo AND hi GROUP BY address)
+SELECT a.address, best.network AS network, best.public AS public FROM a LEFT JOIN hits USING (address)""",
         # products
         "platform_detect": f"WITH {products} SELECT page_id, url, platform FROM prod",
         "product_extract": f"WITH {products} SELECT * FROM prod",

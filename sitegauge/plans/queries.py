@@ -124,6 +124,35 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
     return U.address_admission(pages.select("url"), D.derive(pages, D.DNS))
 
 
+def networks(spark: SparkSession, sf: str) -> DataFrame:
+    return D.derive(D.table(spark, sf, "customer"), D.NETWORKS).select("network", "public")
+
+
+def network_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return U.networks_of(D.derive(D.table(spark, sf, "orders"), D.ADDRESSES), networks(spark, sf))
+
+
+def addresses_in_networks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = D.table(spark, sf, "pages")
+    return U.address_admission(pages.select("url"), D.derive(pages, D.DNS), networks=networks(spark, sf))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return D.derive(D.table(spark, sf, "part"), D.JSON_DOCUMENTS)
+
+
+def document_fields(spark: SparkSession, sf: str) -> DataFrame:
+    rows = FS.document_rows(_documents(spark, sf))
+    return rows.select("doc_id", "pos", F.explode("fields").alias("name", "value"))
+
+
+def export_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of documents with results written under the header of the first, and read back by it."""
+    path = FS.work_folder(spark, "documents")
+    FS.export_documents(_documents(spark, sf).where("doc_id % 5 = 0"), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 def _scored_accounts(spark: SparkSession, sf: str) -> DataFrame:
     scored = S.audited(D.pages_aug(spark, sf)).withColumns({k: F.expr(v) for k, v in D.OWNERS.items()})
     flat = scored.select(F.struct("email", "url", "created_at", "audit").alias("kept"), *fact_columns())
@@ -266,8 +295,12 @@ QUERIES: dict[str, Query] = {
     "capture_routing": lambda spark, sf: R.capture_routing(_captures(spark, sf)),
     "redirect_resolve": redirects,
     "batch_report": lambda spark, sf: R.batch_report(_captures(spark, sf)),
+    "batch_documents": lambda spark, sf: R.batch_documents(_aug_captures(spark, sf)),
     "report_csv": lambda spark, sf: R.report_csv(_aug_captures(spark, sf)),
     "export_json_csv": export_csv,
+    "document_rows": document_fields,
+    "export_documents_csv": lambda spark, sf: FS.documents_csv(_documents(spark, sf)),
+    "export_documents_header": export_header,
     "price_csv": _points(price_csv),
     "price_json_source": price_json,
     "history_append": history_append,
@@ -332,6 +365,8 @@ QUERIES: dict[str, Query] = {
     "resolve_url": _pages(U.link_resolved),
     "url_admission": admission,
     "address_admission": addresses,
+    "address_admission_networks": addresses_in_networks,
+    "network_lookup": network_lookup,
     # products
     "platform_detect": _products(PD.platform_detect),
     "product_extract": _products(lambda p: _joined(PD.product_extract(p), "images", "variants")),

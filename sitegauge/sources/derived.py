@@ -241,6 +241,36 @@ HOP_DNS = {
 }
 REDIRECTOR_DNS = {"host": "'r.example.com'", "address": "case when page_id % 2 = 0 then '93.184.216.35' else '2606:2800:220:1::1' end"}
 
+# Networks that a caller lists, IPv4 and IPv6, some inside others, some given twice, some unreadable.
+NETWORKS = {
+    "k": "c_custkey",
+    "network": (
+        "case c_custkey % 5 when 0 then '11.' || (c_custkey % 256) || '.' || (cast(floor(c_custkey / 256) as bigint) % 256) || '.77/24' "
+        "when 1 then '11.' || (c_custkey % 256) || '.0.0/15' when 2 then '2A00:' || (c_custkey % 10000) || '::/' || (32 + c_custkey % 2 * 16) "
+        "when 3 then '93.184.216.' || (c_custkey % 250) else 'net' || c_custkey end"
+    ),
+    "public": "c_custkey % 2 = 0",
+}
+ADDRESSES = {
+    "address": (
+        "case when o_orderkey % 50 = 9 then 'host' || o_orderkey when o_orderkey % 2 = 0 "
+        "then '11.' || (o_orderkey % 256) || '.' || (cast(floor(o_orderkey / 7) as bigint) % 8) || '.' || (o_orderkey % 200) "
+        "else '2a00:' || (o_orderkey % 10000) || ':' || (o_orderkey % 3) || '::' || (o_orderkey % 99) end"
+    ),
+}
+
+# JSON documents of several forms: an object with results, a list, an object of lists, no rows, none.
+JSON_DOCUMENTS = {
+    "doc_id": "p_partkey",
+    "body": (
+        "case p_partkey % 5 when 0 then '{\"total\": 2, \"results\": [{\"url\": \"https://a.example/' || p_partkey || '\", \"price\": \"$' || p_size || '.50\", "
+        "\"tags\": [\"x\", \"y\"]}, {\"url\": \"https://b.example/\", \"error\": \"HTTP 404\"}]}' "
+        "when 1 then ' [{\"name\": \"' || p_name || '\", \"size\": ' || p_size || ', \"note\": \"a, b\"}, {\"size\": 7, \"name\": null}]' "
+        "when 2 then '{\"note\": \"n\", \"shopify\": [{\"id\": ' || p_partkey || ', \"b\": 1.5}, 5, \"s\"], \"amazon\": [{\"b\": true, \"id\": 2}]}' "
+        "when 3 then '{\"results\": []}' else '[{broken' end"
+    ),
+}
+
 THRESHOLDS = {
     "product": "p_partkey",
     "threshold": "case p_size % 4 when 0 then cast(0 as double) when 1 then null else p_retailprice * 2 end",

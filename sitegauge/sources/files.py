@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +69,59 @@ def export(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError("format must be json or csv")
 
 
-def unwrap_results(df: DataFrame) -> DataFrame:
-    """Rows of a ``results`` array column, as exported from a batch document."""
-    return df.select(F.explode("results").alias("r")).select("r.*")
+def document_rows(documents: DataFrame) -> DataFrame:
+    """Rows of JSON documents of any form: doc_id, pos (from 0), fields, header.
+
+    ``documents`` has doc_id and body. A list gives its objects; an object with ``results`` gives those;
+    of any other object the items of all its lists are taken that are objects, in document order.
+    ``fields`` maps names to values, nested values as JSON text; ``header`` has the names of the
+    document's first row in their order. Unreadable and empty documents give no rows.
+    """
+    def items(body: Column) -> Column:
+        return F.filter(F.from_json(body, "array<string>"), lambda x: x.startswith("{"))
+
+    lists = F.filter(F.map_values("parts"), lambda v: v.startswith("["))
+    rows = (
+        F.when(F.ltrim("body").startswith("["), items(F.col("body")))
+        .when(F.map_contains_key("parts", F.lit("results")), items(F.try_element_at("parts", F.lit("results"))))
+        .otherwise(F.flatten(F.transform(lists, items)))
+    )
+    read = documents.withColumn("parts", F.when(F.ltrim("body").startswith("{"), F.from_json("body", "map<string,string>"))).withColumn("rows", rows)
+    header = F.json_object_keys(F.get("rows", F.lit(0)))
+    return read.select("doc_id", header.alias("header"), F.posexplode("rows").alias("pos", "row")).select(
+        "doc_id", "pos", F.from_json("row", "map<string,string>").alias("fields"), "header")
+
+
+def csv_cell(value: Column) -> Column:
+    """A CSV cell: quoted only where it holds a quote, comma or line end; null is empty."""
+    return F.when(value.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(value, F.lit("")))
+
+
+def documents_csv(documents: DataFrame) -> DataFrame:
+    """One CSV text a JSON document: doc_id, n_rows, csv (lines end with CR LF).
+
+    The header is the first row's names. A name that only later rows have is no column of the
+    export, as it has no place in the header; :func:`document_rows` has all of them.
+    """
+    def line(cells: Column) -> Column:
+        return F.array_join(F.transform(cells, csv_cell), ",")
+
+    row = line(F.transform("header", lambda name: F.try_element_at("fields", name)))
+    grouped = document_rows(documents).select("doc_id", "pos", "header", row.alias("row")).groupBy("doc_id").agg(
+        F.count("*").alias("n_rows"), F.min_by("header", "pos").alias("header"), F.sort_array(F.collect_list(F.struct("pos", "row"))).alias("rows"))
+    text = F.concat(F.array(line(F.col("header"))), F.transform("rows", lambda r: r["row"]))
+    return grouped.select("doc_id", "n_rows", F.concat(F.array_join(text, "\r\n"), F.lit("\r\n")).alias("csv"))
+
+
+def export_documents(documents: DataFrame, path: str) -> list[str]:
+    """Write the rows of JSON documents as CSV files of one header, that of the first row; returns its names."""
+    rows = document_rows(documents)
+    first = rows.orderBy("doc_id", "pos").limit(1).select("header").first()
+    names = list(first["header"]) if first else []
+    if names:
+        columns = [F.try_element_at("fields", F.lit(n)).alias(n) for n in names]
+        rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return names
 
 
 def read_daily_prices(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
