@@ -1,16 +1,19 @@
 """Phrases that occur more often than their parts suggest, by multikey three-way quicksort.
 
-Every word is a pointer to the words that follow it in its piece, five at most. A task combines
-equal pointers and packs them in blocks by their two leading words. Blocks are routed by leading
-words over the cluster; a task sorts what it gets by multikey three-way quicksort down to the last
-word. The size of a partition of equal words is the count of that phrase, and a partition below the
-least count is abandoned together with all its longer phrases. Leading words that hold a large share
-of all pointers are routed by one word more, as often as needed.
+Every word is a pointer to the words that follow it in its piece, five at most. Leading words, one
+and two, are first routed over the cluster by 40 bits of hash; those with fewer pointers than the
+least count are abandoned before any words are sorted. A task then combines equal pointers and packs
+them in blocks by their two leading words. Blocks are routed by these over the cluster; a task sorts
+what it gets by multikey three-way quicksort down to the last word. The size of a partition of equal
+words is the count of that phrase, and a partition below the least count is abandoned together with
+all its longer phrases. Leading words that hold a large share of all pointers are routed by one word
+more, as often as needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,14 @@ CHUNK = 1_500_000
 #: Leading words that hold more than one of so many pointers are routed by one more word. So at most
 #: this many are broadcast; raise it with the cluster.
 ROUTES = 4096
+#: Bits of the hash of leading words, of the places in the map of frequent ones, which the driver
+#: gets (4 MB), and of the rows in which hashes are sent.
+HASH_BITS, MAP_BITS, ROW_BITS = 40, 25, 12
+LOW_BITS = HASH_BITS - ROW_BITS
+#: Hashes of one row that a task merges at once.
+PENDING = 2_000_000
+#: Odd factors of the hash of a pair, from the golden ratio and two square roots.
+FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xB504F333F9DE6485, 0xDDB3D742C265539D))
 #: A byte that no UTF-8 text holds: the end of a piece.
 BREAK = b"\xff"
 _TABLE = bytes.maketrans(
@@ -121,57 +132,30 @@ def _taken(vocabulary: pa.Array, ids: np.ndarray) -> pa.Array:
     return vocabulary.take(pa.array(np.maximum(ids, 0), mask=ids < 0))
 
 
-def _suffix_blocks(langs: list[str], lang: np.ndarray, ids: np.ndarray, vocabulary: pa.Array, stop: int) -> Iterator[pa.RecordBatch]:
-    """Counted words, and blocks by two leading words, of a sequence of word ids in which ``stop`` ends pieces."""
-    words = [ids.astype(np.int64)]
-    words[0][ids == stop] = -1
-    for k in range(1, LONGEST):
-        nxt = np.full(len(ids), -1, np.int64)
-        nxt[:-k or None] = words[0][k:]
-        nxt[words[k - 1] < 0] = -1
-        words.append(nxt)
-    size = len(vocabulary)
-    names = pa.array(langs, pa.string())
-    single = np.flatnonzero(words[0] >= 0)
-    found, counts = np.unique(lang[single] * size + words[0][single], return_counts=True)
-    yield from _batches(
-        pa.RecordBatch.from_arrays(
-            [
-                names.take(pa.array(found // size)), vocabulary.take(pa.array(found % size)), pa.array(counts.astype(np.int64)),
-                pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.list_(pa.int32())),
-            ],
-            ["lang", "prefix", "total", "tails", "counts"],
-        )
-    )
-    ptr = np.flatnonzero(words[1] >= 0)
-    keys = (lang * size + words[0]) * size + words[1]
-    ptr = ptr[np.argsort(keys[ptr], kind="stable")]
-    if not len(ptr):
-        return
-    sizes = np.diff(np.append(np.flatnonzero(np.diff(keys[ptr], prepend=-1)), len(ptr)))
-    parts = [
-        (one, n) for depth, ended, one, n in three_way(words[2:], np.ones(len(ids), np.int64), ptr, sizes, 1)
-        if ended or depth == LONGEST - 3
-    ]
-    one, weights = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    spaced = pc.binary_join_element_wise(*[_taken(vocabulary, w[one]) for w in words[2:]], " ", null_handling="replace", null_replacement="")
-    tails = pc.ascii_rtrim(spaced, characters=" ")
-    prefix = pc.binary_join_element_wise(*[_taken(vocabulary, w[one]) for w in words[:2]], " ")
-    yield from _batches(_pack(names.take(pa.array(lang[one])), prefix, keys[one], tails, weights))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the texts of a task."""
-    held, langs, n = [], {}, 0
+class Words:
+    """Words of texts in order: language, id, and the pairs with the word after in the same piece."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def __init__(self, held: list[tuple[int, pa.DictionaryArray]], langs: list[str]) -> None:
         encoded = pa.chunked_array([w for _, w in held]).combine_chunks()
-        lang = np.concatenate([np.full(len(w), k, np.int64) for k, w in held])
-        ids = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        stop = encoded.dictionary.index(pa.scalar(BREAK, pa.binary())).as_py()
-        readable = pc.if_else(pc.equal(encoded.dictionary, pa.scalar(BREAK, pa.binary())), pa.scalar(b"", pa.binary()), encoded.dictionary)
-        yield from _suffix_blocks(list(langs), lang, ids, readable.cast(pa.string()), stop)
-
+        self.lang = np.concatenate([np.full(len(w), k, np.int64) for k, w in held])
+        self.langs = langs
+        self.ids = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = encoded.dictionary.to_pylist()
+        stop = raw.index(BREAK)
+        raw[stop] = b""
+        self.ids[self.ids == stop] = -1
+        self.vocabulary = pa.array(raw, pa.binary()).cast(pa.string())
+        self.is_word = self.ids >= 0
+        self.pairs = self.is_word[:-1] & self.is_word[1:] & (self.lang[:-1] == self.lang[1:])
+        own = np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw))[self.ids]
+        of_lang = np.fromiter((zlib.crc32(x.encode()) for x in langs), np.uint64, len(langs))[self.lang] * FACTORS[2]
+        self.word_hash = (own * FACTORS[0] + of_lang) >> np.uint64(64 - HASH_BITS)
+        self.pair_hash = (own[:-1] * FACTORS[0] + own[1:] * FACTORS[1] + of_lang[:-1] + FACTORS[1]) >> np.uint64(64 - HASH_BITS)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Words of the texts of a task, some at a time."""
+    held, langs, n = [], {}, 0
     for whole in batches:
         for batch in slices(iter([whole]), "text"):
             texts: dict[str, list[bytes]] = {}
@@ -184,10 +168,118 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((langs.setdefault(name, len(langs)), words))
                 n += len(words)
             if n >= CHUNK:
-                yield from flush()
+                yield Words(held, list(langs))
                 held, langs, n = [], {}, 0
     if n:
-        yield from flush()
+        yield Words(held, list(langs))
+
+
+def _routed(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of a task's words and pairs with their counts, in rows by the leading bits; counts stop at ``least``."""
+    small = np.min_scalar_type(least)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _words(batches):
+            hashes = np.concatenate([words.word_hash[words.is_word], words.pair_hash[words.pairs]])
+            found, counts = np.unique(hashes, return_counts=True)
+            low = (found & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
+            counts = np.minimum(counts, least).astype(small)
+            ends = np.searchsorted(found, np.arange(1, (1 << ROW_BITS) + 1, dtype=np.uint64) << np.uint64(LOW_BITS))
+            starts = np.append(0, ends[:-1])
+            rows = np.flatnonzero(ends > starts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(starts[rows], ends[rows])], pa.binary()),
+                    pa.array([counts[a:b].tobytes() for a, b in zip(starts[rows], ends[rows])], pa.binary()),
+                ],
+                ["row", "hashes", "counts"],
+            )
+
+    return work
+
+
+def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of every row, in order and from all tasks, its part of the map: one bit for all hashes of a place, set by a frequent one."""
+    small = np.min_scalar_type(least)
+    places = 1 << (MAP_BITS - ROW_BITS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, hashes, counts, size = None, [], [], 0
+
+        def merge() -> None:
+            nonlocal hashes, counts, size
+            if hashes:
+                found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                sums = np.minimum(np.bincount(at, weights=np.concatenate(counts)), least)
+                hashes, counts, size = [found], [sums], 0
+
+        def done() -> pa.RecordBatch:
+            merge()
+            bits = np.zeros(places, bool)
+            bits[hashes[0][counts[0] >= least] >> np.uint32(HASH_BITS - MAP_BITS)] = True
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["row", "bits"])
+
+        for batch in batches:
+            for at, some, n in zip(batch.column("row").to_pylist(), batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if row is not None and at != row:
+                    yield done()
+                    hashes, counts, size = [], [], 0
+                row = at
+                hashes.append(np.frombuffer(some, np.uint32))
+                counts.append(np.frombuffer(n, small).astype(np.float64))
+                size += len(hashes[-1])
+                if size > PENDING:
+                    merge()
+        if row is not None:
+            yield done()
+
+    return work
+
+
+def _suffix_blocks(chunk: Words, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted words, and blocks by two leading words, of the pointers that were not abandoned; and the words of each language."""
+    size = len(chunk.vocabulary)
+    names = pa.array(chunk.langs, pa.string())
+    totals = np.bincount(chunk.lang[chunk.is_word], minlength=len(names))
+    yield pa.RecordBatch.from_arrays(
+        [names, pa.nulls(len(names), pa.string()), pa.array(totals), pa.nulls(len(names), pa.string()), pa.nulls(len(names), pa.list_(pa.int32()))],
+        ["lang", "prefix", "total", "tails", "counts"],
+    )
+    place = np.uint64(HASH_BITS - MAP_BITS)
+    single = np.flatnonzero(chunk.is_word & often[chunk.word_hash >> place])
+    found, counts = np.unique(chunk.lang[single] * size + chunk.ids[single], return_counts=True)
+    yield from _batches(
+        pa.RecordBatch.from_arrays(
+            [
+                names.take(pa.array(found // size)), chunk.vocabulary.take(pa.array(found % size)), pa.array(counts.astype(np.int64)),
+                pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.list_(pa.int32())),
+            ],
+            ["lang", "prefix", "total", "tails", "counts"],
+        )
+    )
+    paired = chunk.pairs & often[chunk.pair_hash >> place]
+    ptr = np.flatnonzero(paired)
+    if not len(ptr):
+        return
+    # From here on only the words of these pointers: a phrase goes on while its last two words are a pair.
+    words, going, last = [chunk.ids[ptr], chunk.ids[ptr + 1]], np.ones(len(ptr), bool), len(paired)
+    for k in range(1, LONGEST - 1):
+        at = np.minimum(ptr + k, last - 1)
+        going = going & (ptr + k < last) & paired[at]
+        words.append(np.where(going, chunk.ids[np.minimum(at + 1, last)], -1))
+    lang = chunk.lang[ptr]
+    keys = (lang * size + words[0]) * size + words[1]
+    order = np.argsort(keys, kind="stable")
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order)))
+    parts = [
+        (one, n) for depth, ended, one, n in three_way(words[2:], np.ones(len(ptr), np.int64), order, sizes, 1)
+        if ended or depth == LONGEST - 3
+    ]
+    one, weights = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    spaced = pc.binary_join_element_wise(*[_taken(chunk.vocabulary, w[one]) for w in words[2:]], " ", null_handling="replace", null_replacement="")
+    tails = pc.ascii_rtrim(spaced, characters=" ")
+    prefix = pc.binary_join_element_wise(*[_taken(chunk.vocabulary, w[one]) for w in words[:2]], " ")
+    yield from _batches(_pack(names.take(pa.array(lang[one])), prefix, keys[one], tails, weights))
 
 
 def _tails(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], pa.Array, np.ndarray, pa.Array]:
@@ -286,25 +378,35 @@ def frequent_phrases(docs: DataFrame, least: int, text_column: str = "text", lan
     The first frame has lang, phrase, n_words and f, the second lang and n (all its words). Texts
     are cut into pieces at line ends and ``. , ; : ! ?`` and these into words at spaces and tabs; A-Z
     are lower-cased. Overlapping occurrences count. A null text is empty, a null language ``und``.
-    Other columns are not read; no rows give no rows.
+    Other columns are not read; no rows give no rows. What is abandoned by hash changes only the
+    work: leading words of at least ``least`` occurrences never are.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text_column}`").alias("text"))
-    blocks = written(texts.mapInArrow(_cut, BLOCKS))
-    totals = blocks.groupBy("lang", "prefix", F.col("tails").isNull().alias("single")).agg(F.sum("total").alias("f"))
-    counted = written(totals.where((F.col("f") >= least) | F.col("single")))
-    languages = counted.where("single").groupBy("lang").agg(F.sum("f").alias("n"))
+    rows = texts.mapInArrow(_routed(least), "row int, hashes binary, counts binary").repartition("row").sortWithinPartitions("row")
+    often = np.zeros((1 << ROW_BITS, 1 << (MAP_BITS - ROW_BITS - 3)), np.uint8)
+    for row in rows.mapInArrow(_frequent(least), "row int, bits binary").collect():
+        often[row["row"]] = np.frombuffer(row["bits"], np.uint8)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(often.reshape(-1)).astype(bool)
+        for words in _words(batches):
+            yield from _suffix_blocks(words, wanted)
+
+    blocks = written(texts.mapInArrow(cut, BLOCKS))
+    languages = blocks.where("prefix IS NULL").groupBy("lang").agg(F.sum("total").alias("n"))
     share = (languages.agg(F.sum("n")).first()[0] or 0) // routes
-    found = counted.where(F.col("f") >= least).select("lang", F.col("prefix").alias("phrase"), F.when(F.col("single"), 1).otherwise(2).alias("n_words"), "f")
+    totals = blocks.where("prefix IS NOT NULL").groupBy("lang", "prefix", F.col("tails").isNull().alias("single")).agg(F.sum("total").alias("f"))
+    counted = written(totals.where(F.col("f") >= least))
+    found = counted.select("lang", F.col("prefix").alias("phrase"), F.when(F.col("single"), 1).otherwise(2).alias("n_words"), "f")
     pairs, level = counted.where("NOT single").select("lang", "prefix", "f"), blocks.where("tails IS NOT NULL")
     for n_words in range(3, LONGEST + 2):
-        hot = pairs.where(F.col("f") > share).select("lang", "prefix")
-        if n_words > LONGEST or hot.isEmpty():
-            hot = None
-        cold = level if hot is None else level.join(F.broadcast(hot), ["lang", "prefix"], "left_anti")
-        found = found.unionByName(_sorted_counts(cold, least))
-        if hot is None:
+        # Each holds more than a share of all pointers, so there are at most ``routes`` of them.
+        hot = [] if n_words > LONGEST else [f"{r['lang']}\n{r['prefix']}" for r in pairs.where(F.col("f") > share).select("lang", "prefix").collect()]
+        is_hot = F.concat_ws("\n", "lang", "prefix").isin(hot) if hot else F.lit(False)
+        found = found.unionByName(_sorted_counts(level.where(~is_hot), least))
+        if not hot:
             break
-        level = written(level.join(F.broadcast(hot), ["lang", "prefix"], "left_semi").mapInArrow(_deeper, BLOCKS))
+        level = written(level.where(is_hot).mapInArrow(_deeper, BLOCKS))
         pairs = written(level.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= least))
         found = found.unionByName(pairs.select("lang", F.col("prefix").alias("phrase"), F.lit(n_words).alias("n_words"), "f"))
     return written(found), languages
