@@ -5,7 +5,8 @@ run arrive in a Poisson process whose rate is its weight, each arrival at a rand
 register keeps the run that arrived first. Two texts agree in a register with the probability
 Jaccard similarity of their weights. A second set of registers, with every weight 1, stands for the
 plain Jaccard similarity. Registers are joined to bands; texts that share a band are compared
-exactly, and those similar enough are linked into classes.
+exactly, and those similar enough are linked into classes. Members of a bucket that one comparison
+each does not settle must also share one of their rarest runs, as all similar texts do.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import by_slices, slices, texts_of, written
-from sitegauge.llm.words import codes
+from sitegauge.llm.common import by_slices, discard, fresh, slices, texts_of, written
+from sitegauge.llm.words import groups
 
 RUN_WORDS, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers in each of the two sets: of pairs at similarity 0.8 in either, one in 14,000 shares no band.
@@ -28,6 +30,8 @@ BANDS, BAND_REGISTERS = 24, 5
 BLOCK_MEMBERS = 256
 #: How many times as many hubs a bucket names in each further round.
 HUB_GROWTH = 16
+#: Bits of the table that tells how rare a run is, and of its rows; counts in it stop at 255.
+RARITY_BITS, RARITY_ROW_BITS = 22, 12
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,7 +67,10 @@ def weighted_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     stop = np.flatnonzero(data == 32)
     start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
     owner = np.searchsorted(np.cumsum([len(p) for p in parts]), start, side="right")
-    word = mix(codes(data, start, stop - start))
+    index, number = groups(data, start, stop - start)
+    raw = data.tobytes()
+    spelt = (raw[s:e] for s, e in zip(start[index].tolist(), stop[index].tolist(), strict=True))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, spelt), np.uint64, len(index))[number]
     held = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(held) - held
     n = np.where(held > 0, np.maximum(held - RUN_WORDS + 1, 1), 0)
@@ -234,7 +241,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _rejoin(large, least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct())
+        edges, before = written(small.where("u <> v").distinct()), edges
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -261,43 +269,129 @@ def split_by_hub(bands: DataFrame, words: DataFrame, similar: float) -> tuple[Da
     # Rounding must not put a member at the very edge on the wrong side: edges belong to both parts.
     not_far = F.when(F.greatest("weighted", "plain") >= 2 * similar - 1 - 1e-9, F.col("key"))
     not_near = F.when(F.least("weighted", "plain") < similar + 1e-9, F.xxhash64("key"))
-    parts = rows.join(results, ["hub", "member"]).select(F.explode(F.array(not_far, not_near)).alias("key"), F.col("member").alias("node"), "weighted", "plain")
-    return labels, written(parts.where("key IS NOT NULL"))
+    parts = rows.join(results, ["hub", "member"]).select(F.explode(F.array(not_far, not_near)).alias("key"), F.col("member").alias("node"))
+    waiting = written(parts.where("key IS NOT NULL"))
+    discard(rows, results)
+    return labels, waiting
+
+
+def rarity(words: DataFrame) -> np.ndarray:
+    """How often runs occur, by the leading bits of their code; 255 and more count as 255.
+
+    Tasks add up tables of fixed size, whose rows are then added over all tasks; the driver gets
+    4 MB. Runs that share a place only seem less rare.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in slices(batches, "words"):
+            sizes += np.bincount((weighted_runs(texts_of(batch, "words"))[1] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(sizes))
+        rows = np.minimum(sizes, 255).astype(np.uint8).reshape(-1, 1 << RARITY_ROW_BITS)
+        filled = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([rows[i].tobytes() for i in filled], pa.binary())], ["row", "sizes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, sums = None, np.zeros(1 << RARITY_ROW_BITS, np.uint16)
+        done: list[tuple[int, bytes]] = []
+        for batch in batches:
+            for at, sizes in zip(batch.column("row").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                if row is not None and at != row:
+                    done.append((row, sums.astype(np.uint8).tobytes()))
+                    sums = np.zeros(1 << RARITY_ROW_BITS, np.uint16)
+                row, sums = at, np.minimum(sums + np.frombuffer(sizes, np.uint8), 255)
+        if row is not None:
+            done.append((row, sums.astype(np.uint8).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.binary())], ["row", "sizes"])
+
+    table = np.zeros((1 << (RARITY_BITS - RARITY_ROW_BITS), 1 << RARITY_ROW_BITS), np.uint8)
+    counted = words.select("words").mapInArrow(count, "row int, sizes binary").repartition("row").sortWithinPartitions("row")
+    for row in counted.mapInArrow(add, "row int, sizes binary").collect():
+        table[row["row"]] = np.frombuffer(row["sizes"], np.uint8)
+    return table.reshape(-1)
+
+
+def rarest_runs(text: np.ndarray, run: np.ndarray, weight: np.ndarray, texts: int, often: np.ndarray, similar: float) -> np.ndarray:
+    """Which runs are among the rarest of their text, so many that texts with a similarity of ``similar`` share one.
+
+    Runs are taken in one order for all texts: rare ones first, ties by code. Plain: of n runs the
+    first n - ceil(similar * n) + 1, as similar texts share at least similar * n. Weighted: probability
+    Jaccard is at most the common part of the two normalised weights, so the runs that a similar
+    text lacks weigh at most 1 - similar; the first runs that weigh more hold a common one. The
+    first common run in the order is then among the first of both texts. Both bounds are kept.
+    """
+    order = np.lexsort((run, often, text))
+    n = np.bincount(text, minlength=texts)
+    first = np.cumsum(n) - n
+    place = np.arange(len(text)) - first[text]
+    plain = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
+    total = np.bincount(text, weights=weight, minlength=texts)
+    sums = np.concatenate([[0.0], np.cumsum(weight[order])])
+    before = (sums[:-1] - sums[first[text]]) / total[text]
+    kept = np.zeros(len(text), bool)
+    kept[order] = (place < plain[text]) | (before <= 1 - similar + 1e-9)
+    return kept
+
+
+def rare_buckets(words: DataFrame, similar: float) -> DataFrame:
+    """(key, node): nodes that have one of their rarest runs in common; all pairs of similar nodes share a key."""
+    often = rarity(words)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, run, weight = weighted_runs(texts_of(batch, "words"))
+        seen = often[run >> np.uint64(64 - RARITY_BITS)]
+        kept = rarest_runs(text, run, weight, batch.num_rows, seen, similar) & (seen > 1)  # a run that occurs once is shared with none
+        return pa.RecordBatch.from_arrays([pa.array(run[kept].view(np.int64)), batch.column("node").take(pa.array(text[kept]))], ["key", "node"])
+
+    rows = by_slices(words.select("node", "words"), "words", work, "key long, node string")
+    buckets = written(rows)
+    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    return _rejoin(buckets, shared, "key")
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets whose members are in more than one component."""
+    live = _rejoin(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(_rejoin(live, several, "key"))
 
 
 def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """(node, label) of nodes that have a link, from their bands; the others are classes of their own.
 
-    After ``split_by_hub`` every bucket names hubs round by round, ``HUB_GROWTH`` times as many in
-    each, and all its members of other components are compared with them. Hubs then leave the
-    bucket. Their order is one for all buckets, so a pair in several buckets is mostly compared once.
-    A bucket is done once the rest of it lies in one component. So each pair of nodes that
-    share a bucket has been compared, was already joined, or cannot be similar: no link is lost, no
-    bucket is capped, and a bucket of thousands of near copies costs about one comparison for each.
-    Components are those of the first round until the end, when the few links of later rounds
-    join them; that costs some comparisons within a component and saves the rounds of joining.
+    After ``split_by_hub`` only nodes wait whose bucket holds several components. From here on
+    buckets are the rarest runs of these nodes (``rare_buckets``), which every similar pair shares and
+    texts that only have a passage in common do not. A bucket names hubs round by round,
+    ``HUB_GROWTH`` times as many in each, and its members of other components are compared with
+    them. Hubs then leave the bucket. Their order is one for all buckets, so a pair is compared in
+    one direction, and mostly once. A bucket is done once the rest of it lies in one component. So
+    each pair of nodes that share a band was compared, was already joined, or cannot be similar: of
+    these no link is lost, and no bucket is capped. (A pair at exactly 0.8 shares no band once in
+    14,000 times.) Components are those of the first round until the end, when the few links of
+    later rounds join them; that costs some comparisons within a component and saves the rounds of joining.
     """
     labels, waiting = split_by_hub(bands, words, similar)
     later, hubs_each = [], 1
-    while True:
-        live = _rejoin(waiting, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        live = written(_rejoin(live, open_, "key"))
-        if live.isEmpty():
-            break
+    opened = _open(waiting, labels)
+    discard(waiting)
+    live = None
+    if not opened.isEmpty():
+        some = written(words.join(opened.select("node").distinct(), "node", "left_semi"))
+        live = _open(rare_buckets(some, similar), labels)
+        discard(some)
+    discard(opened)
+    while live is not None and not live.isEmpty():
         rank = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select(
-            "key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("weighted").alias("hub_weighted"), F.col("plain").alias("hub_plain"))
-        # Distances to one point that differ by more than the allowed one, in both measures, exclude a pair.
-        apart = 1 - similar + 1e-9
-        may = (F.abs(F.col("weighted") - F.col("hub_weighted")) <= apart) | (F.abs(F.col("plain") - F.col("hub_plain")) <= apart)
-        pairs = _rejoin(live, hubs, "key").where(F.expr("label <> hub_label") & may)
+        hubs = written(live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select(
+            "key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+        onwards = F.struct(F.xxhash64("hub"), F.col("hub")) < F.struct(F.xxhash64("node"), F.col("node"))
+        pairs = _rejoin(live, hubs, "key").where(F.expr("label <> hub_label") & onwards)
         pairs = written(pairs.select("hub", F.col("node").alias("member"), "hub_label", "label").distinct())
         linked = compared(pairs.select("hub", "member"), words).where(F.greatest("weighted", "plain") >= similar)
         joined = pairs.join(linked, ["hub", "member"], "left_semi").select(F.col("hub_label").alias("u"), F.col("label").alias("v"))
         later.append(written(joined))
-        left = hubs.groupBy("key").agg(F.collect_set("hub").alias("hubs"))
-        waiting = written(_rejoin(live, left, "key").where(~F.array_contains("hubs", F.col("node"))).select("key", "node", "weighted", "plain"))
+        waiting = written(live.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
+        discard(hubs, pairs, live)
+        live = _open(waiting, labels)
+        discard(waiting)
         hubs_each *= HUB_GROWTH
     if not later:
         return labels
@@ -325,7 +419,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node"))
     whole = labelled.groupBy("label").agg(first.alias("first"), F.sum("copies").alias("class_size"))
     whole = whole.select("label", F.col("first.least_id").alias("class_id"), F.col("first.node").alias("class_node"), "class_size")
-    return _rejoin(labelled.select("node", "label"), whole, "label").drop("label")
+    found = written(_rejoin(labelled.select("node", "label"), whole, "label").drop("label"))
+    discard(rows, nodes, bands, words)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -351,6 +447,7 @@ def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     def key(node: Column, id_: Column) -> Column:
         return F.concat_ws(":", node, F.coalesce(id_.cast("string"), F.lit("null")))
 
-    stay = classes(docs, id_column, text_column, similar).where("node = class_node").select(key(F.col("class_node"), F.col("class_id")).alias("__key"))
-    marked = docs.withColumn("__key", key(node_of(words_of(F.col(f"`{text_column}`"))), F.col(f"`{id_column}`")))
-    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    name = fresh(docs, "__key")
+    stay = classes(docs, id_column, text_column, similar).where("node = class_node").select(key(F.col("class_node"), F.col("class_id")).alias(name))
+    marked = docs.withColumn(name, key(node_of(words_of(F.col(f"`{text_column}`"))), F.col(f"`{id_column}`")))
+    return marked.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

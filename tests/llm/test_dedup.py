@@ -18,6 +18,8 @@ def test_exact_odd_rows(odd_docs, no_docs):
     want = sorted((len(ids), max((i for i in ids if i is not None), default=-1)) for ids in groups.values())
     assert sorted((rs[0]["group_size"], -1 if rs[0]["keep_id"] is None else rs[0]["keep_id"]) for rs in by_digest.values()) == want
     assert all(sum(r["kept"] for r in rs) == 1 and len(rs) == rs[0]["group_size"] for rs in by_digest.values())
+    kept = exact_dedup.kept_rows(odd_docs.withColumn("__key", odd_docs.doc_id))
+    assert kept.columns == [*odd_docs.columns, "__key"]
     kept = exact_dedup.kept_rows(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r["text"] or "" for r in kept.collect()) == sorted(groups)
@@ -85,6 +87,60 @@ def test_link_at_the_edges_of_a_bucket(spark):
     assert labels.get("h", "h") == labels["x"] == labels["y"] == "h"
 
 
+def thue_morse(letters, order):
+    a, b = letters
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_with_equal_polynomial_codes(spark):
+    """Such words are different words: texts of them are no near copies."""
+    a, b = thue_morse("ab", 10)
+    rows = [(1, " ".join([a] * 3 + ["x", "y"])), (2, " ".join([b] * 3 + ["x", "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["class_id"] for r in minhash.near_duplicates(docs).collect()} == {1, 2}
+
+
+def test_similar_texts_share_one_of_their_rarest_runs():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    checked = [0, 0]
+    for trial in range(400):
+        often = draw.integers(1, 9, 400)
+        n = int(draw.integers(1, 60))
+        base = draw.choice(400, n, replace=False)
+        a = {int(k): float(draw.integers(1, 1 + trial % 6 + 1)) for k in base}
+        b = {k: w + float(draw.integers(0, 2)) for k, w in a.items() if draw.random() > 0.1} | {int(k): 1.0 for k in draw.choice(400, int(draw.integers(0, n // 6 + 1)))}
+        if not b:
+            continue
+        arrays = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+        weighted, plain = minhash.similarities(*arrays)
+        sets = []
+        for runs, weights in arrays:
+            kept = minhash.rarest_runs(np.zeros(len(runs), int), runs, weights, 1, often[runs.astype(int)], 0.8)
+            sets.append(set(runs[kept].tolist()))
+        if max(weighted, plain) >= 0.8:
+            checked[0] += 1
+            assert sets[0] & sets[1]
+        checked[1] += 1
+    assert checked[0] > 50
+
+
+def test_family_with_a_common_passage_needs_few_comparisons(spark, monkeypatch):
+    """300 texts at about 0.7 to each other through one passage, with near copies of some among them."""
+    passage = " ".join(f"shared{k}" for k in range(174))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(66))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, plain = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, words: seen.append(pairs.count()) or plain(pairs, words))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == jaccard_classes(dict(rows))
+    assert sum(seen) < 30 * len(rows), seen
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
