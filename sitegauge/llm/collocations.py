@@ -3,11 +3,11 @@
 Every word is a pointer to the words that follow it in its piece, five at most. Leading words, one
 and two, are first routed over the cluster by 40 bits of hash; those with fewer pointers than the
 least count are abandoned before any words are sorted. A task then combines equal pointers and packs
-them in blocks by their two leading words. Blocks are routed by these over the cluster; a task sorts
-what it gets by multikey three-way quicksort down to the last word. The size of a partition of equal
+them in blocks by the route of their two leading words. Blocks go to their routes over the cluster; a
+task sorts what it gets by multikey three-way quicksort down to the last word. The size of a partition of equal
 words is the count of that phrase, and a partition below the least count is abandoned together with
-all its longer phrases. Leading words that hold a large share of all pointers are routed by one word
-more, as often as needed.
+all its longer phrases. A route that holds a large share of all pointers is routed by one word more,
+as often as needed.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ UNKNOWN = "und"
 LONGEST = 5
 #: Words that a task sorts at once.
 CHUNK = 1_500_000
-#: Leading words that hold more than one of so many pointers are routed by one more word. So at most
-#: this many are broadcast; raise it with the cluster.
-ROUTES = 4096
+#: Routes of a language; raise the number with the cluster. A route with over ``CROWDED`` times its
+#: share of all pointers is routed by one more word, so less than a ``CROWDED``-th of them are.
+ROUTES, CROWDED = 1024, 4
 #: Bits of the hash of leading words, of the places in the map of frequent ones, which the driver
 #: gets (4 MB), and of the rows in which hashes are sent.
 HASH_BITS, MAP_BITS, ROW_BITS = 40, 25, 12
@@ -45,7 +45,10 @@ BREAK = b"\xff"
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + PIECE_ENDS.encode(), b"abcdefghijklmnopqrstuvwxyz " + BREAK * len(PIECE_ENDS)
 )
-BLOCKS = "lang string, prefix string, total long, tails string, counts array<int>"
+#: Phrases of a language and route with their counts, one a line. Of ``exact`` blocks all phrases have
+#: ``k`` words; of the others the first ``k`` are the leading ones, and longer phrases are counted too.
+BLOCKS = "lang string, k int, exact boolean, route int, total long, phrases string, counts array<int>"
+KEY = ("lang", "k", "exact", "route")
 COUNTED = "lang string, phrase string, n_words int, f long"
 
 
@@ -110,23 +113,39 @@ def _batches(table: pa.Table | pa.RecordBatch, rows: int = 20_000) -> Iterator[p
         yield part if isinstance(part, pa.RecordBatch) else part.combine_chunks().to_batches()[0]
 
 
-def _pack(lang: pa.Array, prefix: pa.Array, keys: np.ndarray, tails: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
-    """Blocks of the tails that share a key; ``lang`` and ``prefix`` are those of each tail."""
+def _pack(names: pa.Array, lang: np.ndarray, k: int, exact: bool, route: np.ndarray, phrases: pa.Array, weights: np.ndarray) -> pa.RecordBatch:
+    """Blocks of phrases by language (a place in ``names``) and route."""
+    keys = lang * (1 << 32) + route
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
     offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
-    first = pa.array(order[starts])
-    sorted_weights = weights[order]
+    first, n = order[starts], len(starts)
+    weights = weights[order]
     return pa.RecordBatch.from_arrays(
         [
-            lang.take(first), prefix.take(first), pa.array(np.add.reduceat(sorted_weights, starts) if len(starts) else np.zeros(0, np.int64)),
-            pc.binary_join(pa.ListArray.from_arrays(offsets, tails.take(pa.array(order))), "\n"),
-            pa.ListArray.from_arrays(offsets, pa.array(sorted_weights.astype(np.int32))),
+            names.take(pa.array(lang[first])), pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, exact)), pa.array(route[first].astype(np.int32)),
+            pa.array(np.add.reduceat(weights, starts) if n else np.zeros(0, np.int64)),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, phrases.take(pa.array(order))), "\n"),
+            pa.ListArray.from_arrays(offsets, pa.array(weights.astype(np.int32))),
         ],
-        ["lang", "prefix", "total", "tails", "counts"],
+        ["lang", "k", "exact", "route", "total", "phrases", "counts"],
     )
 
 
+def _phrases(vocabulary: pa.Array, words: list[np.ndarray]) -> pa.Array:
+    """Phrases of word ids; -1 stands after the last word."""
+    spaced = pc.binary_join_element_wise(*[_taken(vocabulary, w) for w in words], " ", null_handling="replace", null_replacement="")
+    return pc.ascii_rtrim(spaced, characters=" ")
+
+
+def _combined(words: list[np.ndarray], weights: np.ndarray, ptr: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pointer of equal ones, and the sum of their weights."""
+    parts = [(one, n) for depth, ended, one, n in three_way(words, weights, ptr, sizes, 1) if ended or depth == len(words) - 1]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def _taken(vocabulary: pa.Array, ids: np.ndarray) -> pa.Array:
     """Words of ids, null for -1."""
     return vocabulary.take(pa.array(np.maximum(ids, 0), mask=ids < 0))
@@ -236,27 +255,19 @@ def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return work
 
 
-def _suffix_blocks(chunk: Words, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counted words, and blocks by two leading words, of the pointers that were not abandoned; and the words of each language."""
+def _suffix_blocks(chunk: Words, often: np.ndarray, routes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of words and of phrases by two leading words, without abandoned ones; and the words of each language (k = 0)."""
     size = len(chunk.vocabulary)
     names = pa.array(chunk.langs, pa.string())
+    every, none = np.arange(len(names)), np.zeros(len(names), np.int64)
     totals = np.bincount(chunk.lang[chunk.is_word], minlength=len(names))
-    yield pa.RecordBatch.from_arrays(
-        [names, pa.nulls(len(names), pa.string()), pa.array(totals), pa.nulls(len(names), pa.string()), pa.nulls(len(names), pa.list_(pa.int32()))],
-        ["lang", "prefix", "total", "tails", "counts"],
-    )
+    yield _pack(names, every, 0, True, none, pa.array([""] * len(names), pa.string()), totals)
     place = np.uint64(HASH_BITS - MAP_BITS)
     single = np.flatnonzero(chunk.is_word & often[chunk.word_hash >> place])
-    found, counts = np.unique(chunk.lang[single] * size + chunk.ids[single], return_counts=True)
-    yield from _batches(
-        pa.RecordBatch.from_arrays(
-            [
-                names.take(pa.array(found // size)), chunk.vocabulary.take(pa.array(found % size)), pa.array(counts.astype(np.int64)),
-                pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.list_(pa.int32())),
-            ],
-            ["lang", "prefix", "total", "tails", "counts"],
-        )
-    )
+    found, first, counts = np.unique(chunk.lang[single] * size + chunk.ids[single], return_index=True, return_counts=True)
+    route = (chunk.word_hash[single[first]] % np.uint64(routes)).astype(np.int64)
+    yield from _batches(_pack(names, found // size, 1, True, route, chunk.vocabulary.take(pa.array(found % size)), counts))
+
     paired = chunk.pairs & often[chunk.pair_hash >> place]
     ptr = np.flatnonzero(paired)
     if not len(ptr):
@@ -271,28 +282,19 @@ def _suffix_blocks(chunk: Words, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     keys = (lang * size + words[0]) * size + words[1]
     order = np.argsort(keys, kind="stable")
     sizes = np.diff(np.append(np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order)))
-    parts = [
-        (one, n) for depth, ended, one, n in three_way(words[2:], np.ones(len(ptr), np.int64), order, sizes, 1)
-        if ended or depth == LONGEST - 3
-    ]
-    one, weights = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    spaced = pc.binary_join_element_wise(*[_taken(chunk.vocabulary, w[one]) for w in words[2:]], " ", null_handling="replace", null_replacement="")
-    tails = pc.ascii_rtrim(spaced, characters=" ")
-    prefix = pc.binary_join_element_wise(*[_taken(chunk.vocabulary, w[one]) for w in words[:2]], " ")
-    yield from _batches(_pack(names.take(pa.array(lang[one])), prefix, keys[one], tails, weights))
-
-
-def _tails(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], pa.Array, np.ndarray, pa.Array]:
-    """Of all tails of blocks: block, words as ids (-1 after the last), vocabulary, counts, and the tails."""
-    parts = pc.split_pattern(batch.column("tails"), "\n")
-    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    tails = parts.flatten()
-    cut = pc.split_pattern(tails, " ")
+    one, weights = _combined(words[2:], np.ones(len(ptr), np.int64), order, sizes)
+    route = (chunk.pair_hash[ptr[one]] % np.uint64(routes)).astype(np.int64)
+    yield from _batches(_pack(names, lang[one], 2, False, route, _phrases(chunk.vocabulary, [w[one] for w in words]), weights))
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], pa.Array, np.ndarray]:
+    """Of all phrases of blocks: block, words as ids (-1 after the last), vocabulary, and counts."""
+    lines = pc.split_pattern(batch.column("phrases"), "\n")
+    sizes = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = pc.split_pattern(lines.flatten(), " ")
     n = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
     encoded = cut.flatten().dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = encoded.dictionary.index(pa.scalar("", pa.string())).as_py()
-    codes[codes == empty] = -1  # a tail without words splits into one empty word
     starts = np.cumsum(n) - n
     words = []
     for k in range(int(n.max()) if len(n) else 0):
@@ -301,78 +303,103 @@ def _tails(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], pa.Arra
         word[there] = codes[starts[there] + k]
         words.append(word)
     weights = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), words, encoded.dictionary, weights, tails
+    return np.repeat(np.arange(len(sizes)), sizes), words, encoded.dictionary, weights
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks by one leading word more; tails that have ended go."""
-    for whole in batches:
-        for batch in slices(iter([whole]), "tails"):
-            block, words, vocabulary, weights, tails = _tails(batch)
-            there = np.flatnonzero(words[0] >= 0)
-            if not len(there):
-                continue
-            word = _taken(vocabulary, words[0][there])
-            rest = pc.replace_substring_regex(tails.take(pa.array(there)), "^[^ ]* ?", "")
-            prefix = pc.binary_join_element_wise(batch.column("prefix").take(pa.array(block[there])), word, " ")
-            keys = block[there] * len(vocabulary) + words[0][there]
-            yield from _batches(_pack(batch.column("lang").take(pa.array(block[there])), prefix, keys, rest, weights[there]))
-
-
-def _counted(batch: pa.RecordBatch, new: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """Frequent phrases that are longer than the prefix of their blocks; ``new`` marks where another prefix begins."""
-    group = np.cumsum(new) - 1
-    totals = np.bincount(group, weights=batch.column("total").to_numpy(zero_copy_only=False)).astype(np.int64)
-    frequent = totals[group] >= least
-    batch, group = batch.filter(pa.array(frequent)), group[frequent]
-    if not batch.num_rows:
-        return
-    block, words, vocabulary, weights, _ = _tails(batch)
+def _deeper(k: int, routes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of crowded routes by one leading word more; the phrases of ``k`` words, counted in the block, keep their route."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "phrases"):
+                block, words, vocabulary, weights = _read(batch)
+                names, size, keys = batch.column("lang"), len(vocabulary), block
+                for word in words[:k]:
+                    keys = np.unique(keys * size + word, return_inverse=True)[1]
+                _, first = np.unique(keys, return_index=True)
+                sums = np.bincount(keys, weights=weights).astype(np.int64)
+                route = batch.column("route").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield from _batches(_pack(names, block[first], k, True, route[block[first]], _phrases(vocabulary, [w[first] for w in words[:k]]), sums))
+                longer = np.flatnonzero(words[k] >= 0) if len(words) > k else np.zeros(0, np.int64)
+                if not len(longer):
+                    continue
+                keys = np.unique(keys[longer] * size + words[k][longer], return_inverse=True)[1]
+                _, first = np.unique(keys, return_index=True)
+                leading = _phrases(vocabulary, [w[longer[first]] for w in words[: k + 1]])
+                own = np.fromiter((zlib.crc32(x) for x in leading.cast(pa.binary()).to_pylist()), np.int64, len(leading)) % routes
+                yield from _batches(_pack(names, block[longer], k + 1, False, own[keys], _phrases(vocabulary, [w[longer] for w in words]), weights[longer]))
+
+    return work
+
+
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where another block key begins, in sorted rows."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for name in KEY:
+        column = batch.column(name)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _counted(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """Frequent phrases of whole routes."""
+    group = np.cumsum(_starts(batch)) - 1
+    block, words, vocabulary, weights = _read(batch)
     sizes = np.unique(group[block], return_counts=True)[1]
-    prefix, lang = batch.column("prefix"), batch.column("lang")
+    shortest, exact = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "exact"))
     for depth, ended, one, sums in three_way(words, weights, np.arange(len(weights)), sizes, least):
-        if not ended:
-            at = pa.array(block[one])
-            parts = [prefix.take(at), *[_taken(vocabulary, w[one]) for w in words[: depth + 1]]]
-            phrase = pc.binary_join_element_wise(*parts, " ")
-            n_words = pc.cast(pc.add(pc.count_substring(phrase, " "), 1), pa.int32())
-            yield pa.RecordBatch.from_arrays([lang.take(at), phrase, n_words, pa.array(sums)], ["lang", "phrase", "n_words", "f"])
+        if ended:
+            continue
+        k = shortest[block[one]]
+        one, sums = (x[(depth + 1 == k) | (~exact[block[one]] & (depth + 1 > k))] for x in (one, sums))
+        if len(one):
+            phrases = _phrases(vocabulary, [w[one] for w in words[: depth + 1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang").take(pa.array(block[one])), phrases, pa.array(np.full(len(one), depth + 1, np.int32)), pa.array(sums)],
+                ["lang", "phrase", "n_words", "f"])
+
+
+def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One block of several with one key: equal phrases are one."""
+    _, words, vocabulary, weights = _read(batch)
+    one, sums = _combined(words, weights, np.arange(len(weights)), np.array([len(weights)]))
+    zero = np.zeros(len(one), np.int64)
+    k, exact, route = (batch.column(c)[0].as_py() for c in KEY[1:])
+    return _pack(batch.column("lang").slice(0, 1), zero, k, exact, zero + route, _phrases(vocabulary, [w[one] for w in words]), sums)
 
 
-def _sorted_counts(blocks: DataFrame, least: int) -> DataFrame:
-    """Frequent phrases below the prefixes of blocks, each prefix in one task."""
+def _sorted_counts(blocks: DataFrame, least: int, chunk: int) -> DataFrame:
+    """Frequent phrases of all routes, each route in one task, which merges its blocks ``chunk`` phrases at a time."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, most = [], 0, chunk
 
         def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, size, most
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            new = np.ones(whole.num_rows, bool)
-            for name in ("lang", "prefix"):
-                column = whole.column(name)
-                differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-                new[1:] = differs if name == "lang" else new[1:] | differs
-            end = whole.num_rows if last else int(np.flatnonzero(new)[-1])  # the last prefix may go on
+            end = whole.num_rows if last else int(np.flatnonzero(_starts(whole))[-1])  # the last route may go on
             if end:
-                yield from _counted(whole.slice(0, end), new[:end], least)
-            held = [whole.slice(end)] if end < whole.num_rows else []
+                yield from _counted(whole.slice(0, end), least)
+            held = [_merged(whole.slice(end))] if end < whole.num_rows else []
             size = sum(len(b.column("counts").flatten()) for b in held)
+            most = max(chunk, 2 * size)
 
         for batch in batches:
             held.append(batch)
             size += len(batch.column("counts").flatten())
-            if size >= CHUNK:
+            if size >= most:
                 yield from ready(False)
         if held:
             yield from ready(True)
 
-    return blocks.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(work, COUNTED)
+    return blocks.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(work, COUNTED)
 
 
 # --- operators -------------------------------------------------------------------------------
 
 
-def frequent_phrases(docs: DataFrame, least: int, text_column: str = "text", lang_column: str = "lang", routes: int = ROUTES) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(
+    docs: DataFrame, least: int, text_column: str = "text", lang_column: str = "lang", routes: int = ROUTES, chunk: int = CHUNK
+) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to five words that occur at least ``least`` times, and the words of every language.
 
     The first frame has lang, phrase, n_words and f, the second lang and n (all its words). Texts
@@ -390,26 +417,23 @@ def frequent_phrases(docs: DataFrame, least: int, text_column: str = "text", lan
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(often.reshape(-1)).astype(bool)
         for words in _words(batches):
-            yield from _suffix_blocks(words, wanted)
+            yield from _suffix_blocks(words, wanted, routes)
 
     blocks = written(texts.mapInArrow(cut, BLOCKS))
-    languages = blocks.where("prefix IS NULL").groupBy("lang").agg(F.sum("total").alias("n"))
-    share = (languages.agg(F.sum("n")).first()[0] or 0) // routes
-    totals = blocks.where("prefix IS NOT NULL").groupBy("lang", "prefix", F.col("tails").isNull().alias("single")).agg(F.sum("total").alias("f"))
-    counted = written(totals.where(F.col("f") >= least))
-    found = counted.select("lang", F.col("prefix").alias("phrase"), F.when(F.col("single"), 1).otherwise(2).alias("n_words"), "f")
-    pairs, level = counted.where("NOT single").select("lang", "prefix", "f"), blocks.where("tails IS NOT NULL")
-    for n_words in range(3, LONGEST + 2):
-        # Each holds more than a share of all pointers, so there are at most ``routes`` of them.
-        hot = [] if n_words > LONGEST else [f"{r['lang']}\n{r['prefix']}" for r in pairs.where(F.col("f") > share).select("lang", "prefix").collect()]
-        is_hot = F.concat_ws("\n", "lang", "prefix").isin(hot) if hot else F.lit(False)
-        found = found.unionByName(_sorted_counts(level.where(~is_hot), least))
-        if not hot:
+    languages = blocks.where("k = 0").groupBy("lang").agg(F.sum("total").alias("n"))
+    share = (languages.agg(F.sum("n")).first()[0] or 0) * CROWDED // routes
+    done, level = blocks.where("k = 1"), blocks.where("k = 2")
+    for k in range(2, LONGEST):
+        # Each holds more than a share of all pointers, so there are less than routes / CROWDED of them.
+        sizes = level.groupBy("lang", "route").agg(F.sum("total").alias("n")).where(F.col("n") > share)
+        crowded = [f"{r['route']}\n{r['lang']}" for r in sizes.collect()]
+        if not crowded:
             break
-        level = written(level.where(is_hot).mapInArrow(_deeper, BLOCKS))
-        pairs = written(level.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= least))
-        found = found.unionByName(pairs.select("lang", F.col("prefix").alias("phrase"), F.lit(n_words).alias("n_words"), "f"))
-    return written(found), languages
+        is_crowded = F.concat_ws("\n", F.col("route").cast("string"), "lang").isin(crowded)
+        split = written(level.where(is_crowded).mapInArrow(_deeper(k, routes), BLOCKS))
+        done = done.unionByName(level.where(~is_crowded)).unionByName(split.where("exact"))
+        level = split.where("NOT exact")
+    return written(_sorted_counts(done.unionByName(level), least, chunk)), languages
 
 
 def _joined(words: Column, start: Column, length: Column) -> Column:
