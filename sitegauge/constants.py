@@ -91,8 +91,6 @@ SERVICE_KEYWORD_CHARS = 60_000
 # --- fixed values: list lengths of the reports ---
 TOP_WORDS = 20
 TOP_HOSTS = 10
-LINK_EXAMPLES = 10
-IMAGE_EXAMPLES = 10
 HISTORY_ROWS = 20
 PRICE_POINTS = 60
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.constants import IMAGE_EXAMPLES, LINK_EXAMPLES
 from sitegauge.functions.cache import column_cache
 from sitegauge.functions.html import element_text, is_text, last_values, leaf_text, let, runs, strip
 from sitegauge.functions.urls import host_of, hostname, is_absolute, resolve_url
@@ -266,8 +265,13 @@ def links_column() -> Column:
     return let(hostname(base), lambda page_host: F.transform(located, classify(page_host)))
 
 
+def _leading(items: Column, n: int | None) -> Column:
+    """The first n items, or all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 @column_cache
-def link_facts_column() -> Column:
+def link_facts_column(examples: int | None = None) -> Column:
     def count(links: Column, test) -> Column:
         return F.size(F.filter(links, test))
 
@@ -286,7 +290,7 @@ def link_facts_column() -> Column:
             F.size(F.array_distinct(F.transform(internal, lambda x: resolve_url(F.col("base"), x["href"])))).alias("unique_internal"),
             _top(F.transform(external, lambda x: x["target_host"])).alias("external_hosts"),
             F.transform(
-                F.slice(internal, 1, LINK_EXAMPLES),
+                _leading(internal, examples),
                 lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text")),
             ).alias("internal_examples"),
         )
@@ -317,7 +321,7 @@ def images_column() -> Column:
 
 
 @column_cache
-def image_facts_column() -> Column:
+def image_facts_column(examples: int | None = None) -> Column:
     def fields(images: Column) -> Column:
         def count(flag: str) -> Column:
             return F.size(F.filter(images, lambda x: x[flag]))
@@ -334,7 +338,7 @@ def image_facts_column() -> Column:
             count("data_uri").alias("data_uri"),
             count("legacy_format").alias("legacy_format"),
             F.transform(
-                F.slice(F.filter(images, lambda x: x["missing_alt"]), 1, IMAGE_EXAMPLES),
+                _leading(F.filter(images, lambda x: x["missing_alt"]), examples),
                 lambda x: x["src"],
             ).alias("examples_missing_alt"),
         )
@@ -506,16 +510,16 @@ def links_detail(pages: DataFrame) -> DataFrame:
     return explode_rows(parse_pages(pages), links_column(), "page_id")
 
 
-def links_summary(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages).select("page_id", link_facts_column().alias("f")).select("page_id", "f.*")
+def links_summary(pages: DataFrame, examples: int | None = None) -> DataFrame:
+    return parse_pages(pages).select("page_id", link_facts_column(examples).alias("f")).select("page_id", "f.*")
 
 
 def images_detail(pages: DataFrame) -> DataFrame:
     return explode_rows(parse_pages(pages, nested=False), images_column(), "page_id")
 
 
-def images_summary(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages, nested=False).select("page_id", image_facts_column().alias("f")).select("page_id", "f.*")
+def images_summary(pages: DataFrame, examples: int | None = None) -> DataFrame:
+    return parse_pages(pages, nested=False).select("page_id", image_facts_column(examples).alias("f")).select("page_id", "f.*")
 
 
 def viewport(pages: DataFrame) -> DataFrame:

@@ -37,15 +37,15 @@ def price_latest(points: DataFrame, limit: int = PRICE_POINTS, order: tuple[str,
 
 
 def price_history(points: DataFrame, limit: int = PRICE_POINTS, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Count, extrema, current text and ascending series over the newest points of a product."""
-    latest = price_latest(points, limit, order)
+    """Count and extrema of all points of a product, its current text, and the series of its newest ``limit`` points, oldest first."""
+    valued = price_values(points)
+    whole = valued.groupBy("product").agg(
+        F.count("*").alias("points"), F.min("price_value").alias("lowest"), F.max("price_value").alias("highest"))
     entry = F.struct((-F.col("rank")).alias("i"), "captured_at", "price_text", "price_value", "currency")
-    grouped = latest.groupBy("product").agg(
-        F.count("*").alias("points"), F.min("price_value").alias("lowest"), F.max("price_value").alias("highest"),
-        F.sort_array(F.collect_list(entry)).alias("entries"),
-    )
+    series = price_latest(points, limit, order).groupBy("product").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     newest = F.element_at("entries", -1)
-    return grouped.select(
+    # Both sides have one row a product.
+    return whole.withColumnRenamed("product", "_product").join(series, F.col("_product").eqNullSafe(F.col("product"))).select(
         "product", "points", "lowest", "highest", newest["price_text"].alias("current_price"), newest["currency"].alias("currency"),
         F.transform("entries", lambda e: F.struct(e["captured_at"], e["price_text"], e["price_value"])).alias("history"),
     )

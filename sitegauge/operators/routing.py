@@ -137,32 +137,50 @@ def _with_refusal(rows: DataFrame, column: str, name: str, dns: DataFrame | None
     return judged(rows, column, dns, ports).withColumn(name, F.concat(F.lit("Refused: "), "reason")).select(*rows.columns, name)
 
 
-def redirect_resolve(hops: DataFrame, starts: DataFrame, dns: DataFrame | None = None, allowed_ports: tuple[int, ...] = ALLOWED_PORTS) -> DataFrame:
+def _stored(jumps: DataFrame) -> DataFrame:
+    path = work_folder(jumps.sparkSession, "jumps")
+    jumps.write.parquet(path)
+    return jumps.sparkSession.read.schema(jumps.schema).parquet(path)
+
+
+def _followed(state: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Rows (key, to, hops, error) moved on by a jump; finished ones find none, failed ones do not look."""
+    onward = jumps.select(F.col("key").alias("_at"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("error").alias("_error"))
+    joined = state.join(onward, F.when(F.col("error").isNull(), F.col("to")) == F.col("_at"), "left")
+    return joined.select(
+        "key", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("error", "_error").alias("error"))
+
+
+def redirect_resolve(
+    hops: DataFrame, starts: DataFrame, dns: DataFrame | None = None, allowed_ports: tuple[int, ...] = ALLOWED_PORTS, max_redirects: int = MAX_REDIRECTS
+) -> DataFrame:
     """Follow the recorded hops of every start URL: ``(url, final_url, n_hops, error)``.
 
     ``hops`` has one row per fetched URL, ``dns`` the recorded ``(host, address)`` answers: the start
     and every hop are refused if their host has none or a non-public one. Without ``dns`` only
-    literal addresses are judged. Targets are resolved and judged once per hop; then six
-    requests at most are six equi-joins on the current URL. Many starts may meet at one URL,
-    which adaptive skew handling splits on the start side.
+    literal addresses are judged. Targets are resolved and judged once per hop. Jumps of one hop
+    are composed with themselves to jumps of two, four and so on, each with its end, length and
+    first error; a start takes those that make up ``max_redirects`` and one, which is too many. So
+    the joins grow with the logarithm of the limit. Many URLs may lead to one, which adaptive skew
+    handling splits on their side, as a URL has one jump.
     """
     missing = F.coalesce(F.col("location") == "", F.lit(True))
     edges = (
         hops.where(F.col("status").isin(*REDIRECT_STATUSES))
         .select("from_url", F.when(~missing, resolve_url(F.col("from_url"), F.col("location"))).alias("target"))
     )
-    edges = _with_refusal(edges, "target", "refusal", dns, allowed_ports).select(
-        "from_url", "target", F.when(F.col("target").isNull(), TOO_MANY).otherwise(F.col("refusal")).alias("problem"))
+    jumps = _stored(_with_refusal(edges, "target", "refusal", dns, allowed_ports).select(
+        F.col("from_url").alias("key"), F.coalesce("target", "from_url").alias("to"), F.col("target").isNotNull().cast("int").alias("hops"),
+        F.when(F.col("target").isNull(), TOO_MANY).otherwise(F.col("refusal")).alias("error")))
     state = _with_refusal(starts.select("url").distinct(), "url", "error", dns, allowed_ports).select(
-        "url", F.col("url").alias("current"), F.lit(0).alias("n_hops"), "error")
-    for request in range(MAX_REDIRECTS + 1):
-        # A finished start finds no hop again, a failed one is kept from looking.
-        joined = state.join(edges, F.when(F.col("error").isNull(), F.col("current")) == F.col("from_url"), "left")
-        limit = F.when(F.col("target").isNotNull() & F.lit(request == MAX_REDIRECTS), TOO_MANY)
-        state = joined.select(
-            "url",
-            F.coalesce("target", "current").alias("current"),
-            (F.col("n_hops") + F.col("target").isNotNull().cast("int")).alias("n_hops"),
-            F.coalesce("error", "problem", limit).alias("error"),
-        )
-    return state.select("url", F.when(F.col("error").isNull(), F.col("current")).alias("final_url"), "n_hops", "error")
+        F.col("url").alias("key"), F.col("url").alias("to"), F.lit(0).alias("hops"), "error")
+    left = max_redirects + 1
+    while left:
+        if left % 2:
+            state = _followed(state, jumps)
+        left //= 2
+        if left:
+            jumps = _stored(_followed(jumps, jumps))
+    error = F.coalesce("error", F.when(F.col("hops") > max_redirects, TOO_MANY))
+    return state.select(F.col("key").alias("url"), "to", F.col("hops").alias("n_hops"), error.alias("error")).select(
+        "url", F.when(F.col("error").isNull(), F.col("to")).alias("final_url"), "n_hops", "error")

@@ -72,8 +72,7 @@ def _kb(name: str) -> Column:
 
 
 def _missing_list() -> Column:
-    entries = F.slice(c("schema.missing_properties"), 1, 4)
-    return F.array_join(F.transform(entries, lambda m: F.concat(m["type"], F.lit(" lacks "), F.array_join(m["missing"], ", "))), "; ")
+    return F.array_join(F.transform(c("schema.missing_properties"), lambda m: F.concat(m["type"], F.lit(" lacks "), F.array_join(m["missing"], ", "))), "; ")
 
 
 def _alt_ratio() -> Column:
@@ -230,7 +229,7 @@ RULES: tuple[Rule, ...] = (
          "Structured data is incomplete: %s",
          "Add the properties Google lists for that type, otherwise it is ineligible for rich results.",
          lambda: [_missing_list()],
-         lambda: F.to_json(F.struct(F.slice(c("schema.missing_properties"), 1, 4).alias("missing")))),
+         lambda: F.to_json(F.struct(c("schema.missing_properties").alias("missing")))),
     Rule("structure", "schema.context", "notice", 1,
          lambda: c("schema.has_structured_data") & ~c("schema.uses_schema_org"),
          "Structured data does not declare the schema.org context.",
@@ -305,7 +304,7 @@ RULES: tuple[Rule, ...] = (
          "Assets come from %s third-party hosts.",
          "Each host costs a DNS lookup and a connection: self-host or remove.",
          lambda: [F.size("third_party")],
-         lambda: F.to_json(F.struct(F.transform(F.slice(c("third_party"), 1, 5), lambda h: h["host"]).alias("hosts")))),
+         lambda: F.to_json(F.struct(F.transform(c("third_party"), lambda h: h["host"]).alias("hosts")))),
     Rule("performance", "perf.preconnect", "notice", 1,
          lambda: F.size("third_party").between(1, 4) & (c("signals.preconnect") == 0),
          "Third-party assets are loaded without preconnect.",
@@ -328,12 +327,12 @@ RULES: tuple[Rule, ...] = (
          "%s of %s images have no alt text (%s%%).",
          "Describe each content image; use an empty alt only for decoration.",
          lambda: [c("images.without_alt"), c("images.total"), F.bround(_alt_ratio() * 100, 0).cast("int")],
-         lambda: F.to_json(F.struct(F.slice(c("images.examples_missing_alt"), 1, 3).alias("examples")))),
+         lambda: F.to_json(F.struct(c("images.examples_missing_alt").alias("examples")))),
     Rule("media", "images.alt", "warning", 4, lambda: (c("images.without_alt") > 0) & (_alt_ratio() <= 0.5),
          "%s of %s images have no alt text (%s%%).",
          "Describe each content image; use an empty alt only for decoration.",
          lambda: [c("images.without_alt"), c("images.total"), F.bround(_alt_ratio() * 100, 0).cast("int")],
-         lambda: F.to_json(F.struct(F.slice(c("images.examples_missing_alt"), 1, 3).alias("examples")))),
+         lambda: F.to_json(F.struct(c("images.examples_missing_alt").alias("examples")))),
     Rule("media", "images.format", "notice", 2, lambda: c("images.legacy_format") > 0,
          "%s images are not WebP/AVIF.",
          "Serve modern formats: typically 25-50% smaller for the same quality.",

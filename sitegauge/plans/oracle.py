@@ -524,7 +524,7 @@ def _locale(x: str) -> str:
 
 
 def _points(sql: str) -> str:
-    return f"""WITH pp AS ({derived(D.PRICE_POINTS, 'lineitem', 'l_quantity > 0')}),
+    return f"""WITH pp AS ({derived(D.PRICE_POINTS, 'lineitem')}),
 pv AS (SELECT *, {_parse('price_text')} AS price_value, {_currency('price_text')} AS currency, {_strip('price_text', '$,€£')} AS price,
   {_strip('price_text', '$,')} AS dollar_price FROM pp),
 pr AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY {_ORDER}) AS rank FROM pv),
@@ -714,7 +714,7 @@ SELECT doc_id, 2 AS n_rows, replace(CASE k WHEN 0 THEN 'url,price,tags~https://a
         "export_documents_header": """SELECT 'https://a.example/' || p_partkey AS url, '$' || p_size || '.50' AS price, '["x","y"]' AS tags FROM part WHERE p_partkey % 5 = 0
 UNION ALL SELECT 'https://b.example/', NULL, NULL FROM part WHERE p_partkey % 5 = 0""",
         "price_csv": _points("SELECT strftime(captured_at, '%Y-%m-%dT%H:%M:%S') AS timestamp, price_text AS price, 'part ' || product AS title, CASE WHEN price_value IS NULL THEN 'no price' ELSE '' END AS error FROM pv"),
-        "price_json_source": _points("SELECT cast(captured_at AS date) AS date, currency, max(price_value) AS price FROM pv WHERE price_value IS NOT NULL GROUP BY ALL"),
+        "price_json_source": _points("SELECT cast(captured_at AS date) AS date, currency, max(price_value) AS price FROM pv GROUP BY ALL"),
         "history_append": history.replace("{cols}", "email, url, score, created_at, " + compact),
         "history_latest": pages("SELECT email, rank, url, score, created_at FROM (SELECT email, url, score, created_at, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, url DESC) AS rank FROM (SELECT *, "
                                 + ", ".join(f"{v} AS {k}" for k, v in D.OWNERS.items()) + " FROM scored)) WHERE rank <= 20"),
@@ -746,7 +746,7 @@ FROM el e JOIN dep d USING (page_id, pos) LEFT JOIN head h ON h.page_id = e.page
   FROM lks WHERE link_class = 'external' GROUP BY page_id, target_host)"""),
         "images_detail": pages("SELECT page_id, pos, src, missing_alt, empty_alt, no_dimensions, lazy, has_srcset, data_uri, legacy_format FROM im"),
         "images_summary": pages("""SELECT i.page_id, COLUMNS(i.* EXCLUDE (page_id)), coalesce(e.examples_missing_alt, '') AS examples_missing_alt FROM (SELECT page_id, COLUMNS('images_(.*)') AS '\\1' FROM ifacts) i LEFT JOIN (
-  SELECT page_id, string_agg(src, '|' ORDER BY pos) AS examples_missing_alt FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM im WHERE missing_alt) WHERE k <= 10 GROUP BY page_id) e USING (page_id)"""),
+  SELECT page_id, string_agg(src, '|' ORDER BY pos) AS examples_missing_alt FROM im WHERE missing_alt GROUP BY page_id) e USING (page_id)"""),
         "structured_data": pages("SELECT l.page_id, l.block, l.valid, t.type, coalesce(t.missing, '') AS missing FROM ld l LEFT JOIN tmiss t USING (page_id, block)"),
         "viewport": pages("SELECT * FROM vport"),
         "render_signals": pages("SELECT s.* EXCLUDE (third_party_count), stylesheets_count AS render_blocking_styles, i.images_total AS image_count, i.images_without_dimensions, i.images_lazy AS lazy_images FROM sig s JOIN ifacts i USING (page_id)"),
@@ -819,7 +819,7 @@ SELECT a.address, best.network AS network, best.public AS public FROM a LEFT JOI
         "parse_price": _points("SELECT DISTINCT price_text, price_value AS parsed, price AS stripped, dollar_price AS stripped_dollar, currency FROM pv"),
         "parse_price_locale": _points(f"SELECT DISTINCT price_text, {_locale('price_text')} AS value FROM pv"),
         "price_history": _points("""SELECT product, count(*) AS points, min(price_value) AS lowest, max(price_value) AS highest, arg_min(price_text, rank) AS current_price, arg_min(currency, rank) AS currency,
-  string_agg(price_text, '|' ORDER BY rank DESC) AS history FROM pr WHERE rank <= 60 GROUP BY product"""),
+  string_agg(price_text, '|' ORDER BY rank DESC) FILTER (rank <= 60) AS history FROM pr GROUP BY product"""),
         "price_series": _points("SELECT product, cast(captured_at AS date) AS date, price, min(price) OVER (PARTITION BY product) AS lowest, max(price) OVER (PARTITION BY product) AS highest FROM ok"),
         "price_change_alerts": _points(f"SELECT product, prev, curr, {_PCT} AS pct, CASE WHEN curr < prev THEN 'drop' ELSE 'increase' END AS direction FROM (SELECT product, max(price) FILTER (WHERE prank = 2) AS prev, max(price) FILTER (WHERE prank = 1) AS curr FROM ok GROUP BY product) WHERE prev <> curr"),
         "price_threshold_alerts": _points(f"SELECT o.product, o.price AS curr, t.threshold FROM ok o JOIN ({derived(D.THRESHOLDS, 'part')}) t ON t.product = o.product WHERE prank = 1 AND t.threshold > 0 AND o.price <= t.threshold"),

@@ -179,7 +179,7 @@ def price_append(spark: SparkSession, sf: str) -> DataFrame:
 def price_json(spark: SparkSession, sf: str) -> DataFrame:
     """Daily series written as JSON and read back with the declared schema."""
     path = FS.work_folder(spark, "daily")
-    points = PR.price_values(D.price_points(spark, sf)).where(F.col("price_value").isNotNull())
+    points = PR.price_values(D.price_points(spark, sf))
     daily = points.groupBy(F.to_date("captured_at").cast("string").alias("date"), "currency").agg(F.max("price_value").alias("price"))
     FS.export(daily.select("date", "price", "currency"), path, "json")
     return FS.read_daily_prices(spark, path, multi_line=False)
@@ -258,7 +258,7 @@ def stream_rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_price_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    stream = J.read_stream(spark, f"{sf}/lineitem.parquet").where("l_quantity > 0")
+    stream = J.read_stream(spark, f"{sf}/lineitem.parquet")
     limits = D.derive(J.read_stream(spark, f"{sf}/part.parquet"), D.THRESHOLDS)
     output = J.price_changes(D.derive(stream, D.PRICE_POINTS), FS.work_folder(spark, "alerts"), thresholds=limits)
     return spark.read.parquet(output).drop("batch_id")

@@ -108,7 +108,7 @@ HOPS_SECOND = {
     "location": "'final'",
 }
 
-_CENTS = "cast(round(l_extendedprice * 100 / l_quantity) as bigint)"
+_CENTS = "cast(round(l_extendedprice * 100 / nullif(l_quantity, 0)) as bigint)"
 _DOLLARS = f"cast(floor({_CENTS} / 100) as bigint)"
 _REST = f"lpad(cast({_CENTS} % 100 as string), 2, '0')"
 _GROUPED = (
@@ -312,7 +312,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(work_table(spark, sf_dir, "lineitem").where("l_quantity > 0"), PRICE_POINTS)
+    return derive(work_table(spark, sf_dir, "lineitem"), PRICE_POINTS)
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,3 +227,28 @@ def test_stream_state_spans_batches(spark, tmp_path):
     add("b", [(3, 8.0), (4, 9.0)])
     alerts = [(r.prev, r.curr, r.direction) for r in run().orderBy("captured_at").collect()]
     assert alerts == [(10.0, 8.0, "drop"), (8.0, 9.0, "increase")]
+
+
+def test_redirects_of_any_limit(spark):
+    """A chain of 60 hops, a loop and a missing location; the joins grow with the logarithm of the limit."""
+    base = "https://a.com/"
+    rows = [(f"{base}{i}", 302, f"/{i + 1}") for i in range(60)] + [(f"{base}x", 301, "/y"), (f"{base}y", 301, "/x"), (f"{base}m", 302, None), (f"{base}n", 302, "/m")]
+    hops = frame(spark, rows, "from_url string, status int, location string")
+    starts = frame(spark, [(f"{base}{u}",) for u in ("0", "1", "54", "55", "60", "x", "m", "n")], "url string")
+    for limit in (0, 1, 5, 59, 60):
+        got = {r.url[len(base):]: (r.final_url, r.n_hops, r.error) for r in R.redirect_resolve(hops, starts, max_redirects=limit).collect()}
+        for u in ("0", "1", "54", "55", "60"):
+            n = 60 - int(u)
+            assert got[u] == ((f"{base}60", n, None) if n <= limit else (None, limit + 1, R.TOO_MANY)), (limit, u)
+        assert got["x"] == (None, limit + 1, R.TOO_MANY) and got["m"] == (None, 0, R.TOO_MANY) and got["n"][1:] == (1, R.TOO_MANY)
+    plan = R.redirect_resolve(hops, starts, max_redirects=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # jumps of two and of four hops
+
+
+def test_price_history_counts_all_points(spark):
+    """Count and extrema are those of all points; the series has the newest sixty."""
+    rows = [(1, 1, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), i, i, 1, f"${1000 - i if i else 5000}") for i in range(100)]
+    data = frame(spark, rows, "product long, store long, captured_at timestamp, price_cents long, l_orderkey long, l_linenumber int, price_text string")
+    r = PR.price_history(data).first()
+    assert (r.points, r.lowest, r.highest, len(r.history), r.current_price) == (100, 901.0, 5000.0, 60, "$901")
+    assert len(PR.price_history(data, limit=7).first().history) == 7
