@@ -22,7 +22,7 @@ from sitegauge.constants import (
 )
 from sitegauge.functions.urls import NON_PUBLIC_NETWORKS, network_bounds
 from sitegauge.operators.page_facts import META_KEYS
-from sitegauge.operators.rules import CATALOG
+from sitegauge.operators.rules import CATALOG, RULES
 from sitegauge.sources import derived as D
 
 
@@ -454,6 +454,103 @@ _RULES = [
 ]
 
 
+def _json_of(**columns: str) -> str:
+    """JSON object of columns of the report."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || to_json({v})" for k, v in columns.items()) + " || '}'"
+
+
+_ALT_MESSAGE = "images_without_alt || ' of ' || images_total || ' images have no alt text (' || cast(round_even(images_without_alt / images_total * 100, 0) AS int) || '%).'"
+_EXAMPLES = "'{\"examples\":' || coalesce((SELECT to_json(list(src ORDER BY pos)) FROM im WHERE im.page_id = report.page_id AND missing_alt), '[]') || '}'"
+_SKIPS = "(SELECT string_agg('{\"from\":' || level || ',\"to\":' || nxt || '}', ',' ORDER BY level) FROM lvls WHERE lvls.page_id = report.page_id AND nxt - level > 1)"
+_LACKING = ("(SELECT string_agg({0}, '{1}' ORDER BY t.block, strpos(txt, '\"' || type || '\"')) FROM tmiss t JOIN ld0 ON ld0.page_id = t.page_id AND ld0.block = t.block "
+            "WHERE t.page_id = report.page_id AND missing IS NOT NULL)")
+
+# Message and evidence of every rule over ``report``; None: no evidence.
+_MESSAGES: dict[str, tuple[str, str | None]] = {
+    "content.title.missing": ("'The page has no <title>.'", None),
+    "content.title.short": ("'Title is ' || title_length || ' characters.'", _json_of(title="title")),
+    "content.title.long": ("'Title is ' || title_length || ' characters and may be rewritten or truncated.'", _json_of(title="title")),
+    "content.title.repetition": (
+        f"'Title repeats the same word: ' || array_to_string(list_sort(list_filter(list_distinct({_TITLE_WORDS}), lambda w: len(list_filter({_TITLE_WORDS}, lambda x: x = w)) > 1)), ', ') || '.'", None),
+    "content.title.duplicate_h1": ("'The title tag and the H1 are identical.'", _json_of(title="title")),
+    "content.description.missing": ("'The page has no meta description.'", None),
+    "content.description.short": ("'Meta description is ' || description_length || ' characters.'", _json_of(description="description")),
+    "content.description.long": ("'Meta description is ' || description_length || ' characters and will be cut off.'", _json_of(description="description")),
+    "content.content.thin": ("'Only ' || word_count || ' words of visible text.'", _json_of(word_count="word_count")),
+    "content.content.short": ("word_count || ' words of visible text — thin for most queries.'", _json_of(word_count="word_count")),
+    "content.content.no_headings": ("'The page has no headings at all.'", None),
+    "content.content.readability": (
+        "'Text reads at US grade ' || grade || ' — harder than the recommended 6-10.'", _json_of(grade="grade", avg_sentence_length="avg_sentence_length")),
+    "content.content.long_sentences": ("long_sentences || ' sentences run past 25 words.'", None),
+    "indexability.robots.noindex": ("'Meta robots says: ' || robots || ' — this page is excluded from search.'", _json_of(robots="robots")),
+    "indexability.canonical.missing": ("'No canonical URL declared.'", None),
+    "indexability.canonical.relative": ("'Canonical is relative: ' || canonical || '.'", _json_of(canonical="canonical")),
+    "indexability.canonical.noindex_conflict": ("'The page is both canonical to another URL and marked noindex.'", _json_of(canonical="canonical", robots="robots")),
+    "indexability.canonical.cross_domain": ("'Canonical points at another domain (' || canonical_host || ').'", _json_of(canonical="canonical")),
+    "indexability.html.lang_missing": ("'The <html> element has no lang attribute.'", None),
+    "indexability.meta.refresh": ("'The page uses a meta refresh: ' || meta_refresh || '.'", None),
+    "indexability.hreflang.relative": (
+        "(SELECT count(*) FROM hre WHERE hre.page_id = report.page_id AND href NOT LIKE 'http%') || ' hreflang entries are relative URLs.'", None),
+    "indexability.hreflang.no_xdefault": ("'No x-default hreflang entry.'", None),
+    "indexability.meta.keywords": ("'The obsolete meta keywords tag is present.'", None),
+    "structure.headings.h1_missing": ("'No H1 on the page.'", None),
+    "structure.headings.h1_multiple": ("headings_h1_count || ' H1 headings found.'", _json_of(h1_count="headings_h1_count")),
+    "structure.headings.empty": ("headings_empty || ' headings are empty.'", None),
+    "structure.headings.skipped_levels": (
+        "(SELECT 'Heading levels jump (e.g. H' || min(level) || ' then H' || arg_min(nxt, level) || ').' FROM lvls WHERE lvls.page_id = report.page_id AND nxt - level > 1)",
+        f"'{{\"skipped\":[' || {_SKIPS} || ']}}'"),
+    "structure.links.few_internal": ("'Only ' || links_internal || ' internal link(s) on the page.'", _json_of(internal="links_internal")),
+    "structure.links.no_external": ("'No outbound links.'", None),
+    "structure.links.empty_anchor": ("links_empty_anchor || ' links have no text (and no image).'", None),
+    "structure.links.hash_only": ("links_hash_only || ' links point to ''#''.'", None),
+    "structure.links.too_many": ("links_total || ' links on a single page.'", None),
+    "structure.schema.missing": ("'No structured data (JSON-LD) found.'", None),
+    "structure.schema.invalid": ("schema_invalid_blocks || ' JSON-LD block(s) are not valid JSON.'", None),
+    "structure.schema.missing_properties": (
+        "'Structured data is incomplete: ' || " + _LACKING.format("type || ' lacks ' || replace(missing, ',', ', ')", "; "),
+        "'{\"missing\":[' || " + _LACKING.format("'{\"type\":\"' || type || '\",\"missing\":' || to_json(string_split(missing, ',')) || '}'", ",") + " || ']}'"),
+    "structure.schema.context": ("'Structured data does not declare the schema.org context.'", None),
+    "social.og.og_title_missing": ("'Open Graph og:title is missing.'", None),
+    "social.og.og_description_missing": ("'Open Graph og:description is missing.'", None),
+    "social.og.og_image_missing": ("'Open Graph og:image is missing.'", None),
+    "social.og.image_alt_missing": ("'og:image has no og:image:alt.'", None),
+    "social.twitter.card_missing": ("'No twitter:card declared.'", None),
+    "social.twitter.card_invalid": ("'Unknown twitter:card value: ' || twitter_card || '.'", None),
+    "mobile.viewport.missing": ("'No viewport meta tag: the page renders as a desktop layout on phones.'", None),
+    "mobile.viewport.width": ("'Viewport does not set width=device-width (' || viewport_content || ').'", None),
+    "mobile.viewport.zoom_blocked": ("'The viewport forbids user zoom (user-scalable=no or maximum-scale=1).'", None),
+    "performance.perf.blocking_styles": ("render_blocking_styles || ' stylesheets block rendering.'", None),
+    "performance.perf.blocking_scripts": ("render_blocking_scripts || ' scripts in <head> block rendering.'", _json_of(count="render_blocking_scripts")),
+    "performance.perf.image_dimensions": ("images_without_dimensions || ' images have no width/height.'", None),
+    "performance.perf.lazy_loading": ("images_total || ' images, none lazy-loaded.'", None),
+    "performance.perf.dom_huge": ("dom_nodes || ' DOM nodes — well past the ~1500 recommended.'", _json_of(dom_nodes="dom_nodes")),
+    "performance.perf.dom_large": ("dom_nodes || ' DOM nodes, above the ~1500 recommended.'", None),
+    "performance.perf.inline_js": ("inline_script_bytes // 1024 || ' KB of inline JavaScript.'", None),
+    "performance.perf.inline_css": ("inline_style_bytes // 1024 || ' KB of inline CSS.'", None),
+    "performance.perf.third_party": (
+        "'Assets come from ' || third_party_count || ' third-party hosts.'",
+        "'{\"hosts\":' || (SELECT to_json(list(host ORDER BY rank)) FROM tp WHERE tp.page_id = report.page_id) || '}'"),
+    "performance.perf.preconnect": ("'Third-party assets are loaded without preconnect.'", None),
+    "performance.perf.lcp": ("'Rendering signals suggest a poor Largest Contentful Paint.'", None),
+    "performance.perf.lcp_improve": ("'Rendering signals suggest LCP needs improvement.'", None),
+    "performance.perf.cls": ("'Rendering signals suggest a poor Cumulative Layout Shift.'", None),
+    "performance.perf.html_size": ("'HTML document is ' || dom_size_bytes // 1024 || ' KB.'", None),
+    "media.images.alt": (_ALT_MESSAGE, _EXAMPLES),
+    "media.images.format": ("images_legacy_format || ' images are not WebP/AVIF.'", None),
+    "media.images.srcset": ("'No responsive images (srcset/sizes).'", None),
+    "media.images.data_uri": ("images_data_uri || ' images are inlined as data URIs.'", None),
+}
+
+
+def _messages_sql() -> str:
+    """Message, fix and evidence of all findings; the fixes are constant texts."""
+    fixes = ", ".join(f"('{r}', '{f}')" for r, f in {r.rule: r.fix.replace("'", "''") for r in RULES}.items())
+    message = " ".join(f"WHEN '{rule}' THEN {m}" for rule, (m, _) in _MESSAGES.items())
+    evidence = " ".join(f"WHEN '{rule}' THEN {e}" for rule, (_, e) in _MESSAGES.items() if e)
+    return f"""SELECT fnd.page_id, fnd.rule, CASE fnd.rule {message} END AS message, fix, CASE fnd.rule {evidence} END AS evidence
+FROM fnd JOIN report ON report.page_id = fnd.page_id JOIN (VALUES {fixes}) x(rule, fix) ON x.rule = fnd.rule"""
+
+
 def finding_ctes() -> str:
     union = "\n  UNION ALL ".join(
         f"SELECT page_id, '{rule}' AS rule, '{rule.split('.')[0]}' AS category, '{severity}' AS severity, {impact} AS impact FROM report WHERE {condition}"
@@ -770,6 +867,7 @@ SELECT p_partkey, keyword, characters, array_to_string(mods, ',') AS modifiers,
   CASE WHEN density_score + competition_score <= 25 THEN 'easy' WHEN density_score + competition_score <= 50 THEN 'moderate' WHEN density_score + competition_score <= 75 THEN 'hard' ELSE 'very hard' END AS band, 'low' AS confidence FROM s""",
         # rules and scores
         "findings": pages("SELECT * FROM fnd"),
+        "finding_messages": pages(_messages_sql()),
         "findings_ranked": pages("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, impact DESC, rule) AS rank, rule, severity, impact FROM fnd"),
         "category_scores": pages("SELECT * FROM cats"),
         "page_score": pages("SELECT * FROM scored"),
