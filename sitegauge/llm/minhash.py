@@ -282,10 +282,11 @@ def rarity(words: DataFrame) -> np.ndarray:
     4 MB. Runs that share a place only seem less rare.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(1 << RARITY_BITS, np.int64)
+        sizes = np.zeros(1 << RARITY_BITS, np.uint8)
         for batch in slices(batches, "words"):
-            sizes += np.bincount((weighted_runs(texts_of(batch, "words"))[1] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(sizes))
-        rows = np.minimum(sizes, 255).astype(np.uint8).reshape(-1, 1 << RARITY_ROW_BITS)
+            at, n = np.unique(weighted_runs(texts_of(batch, "words"))[1] >> np.uint64(64 - RARITY_BITS), return_counts=True)
+            sizes[at] = np.minimum(sizes[at] + n, 255).astype(np.uint8)
+        rows = sizes.reshape(-1, 1 << RARITY_ROW_BITS)
         filled = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([rows[i].tobytes() for i in filled], pa.binary())], ["row", "sizes"])
 
@@ -343,8 +344,11 @@ def rare_buckets(words: DataFrame, similar: float) -> DataFrame:
 
     rows = by_slices(words.select("node", "words"), "words", work, "key long, node string")
     buckets = written(rows)
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    return _rejoin(buckets, shared, "key")
+    # Buckets with the same members are one: members are digests, so equal sums of both halves mean equal sets.
+    halves = [F.conv(F.substring("node", i, 16), 16, 10).cast("decimal(38,0)") for i in (1, 17)]
+    sets = buckets.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"half{i}") for i, h in enumerate(halves)]).where("n > 1")
+    chosen = sets.groupBy("n", "half0", "half1").agg(F.min("key").alias("key")).select("key")
+    return _rejoin(buckets, chosen, "key")
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
