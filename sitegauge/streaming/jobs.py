@@ -105,6 +105,9 @@ def _sorted(batches: Iterator[pa.RecordBatch], names: list[str]) -> pa.Table | N
 WHOLE, INNER, EDGE, THRESHOLD = range(4)
 #: Keys over which the slices of one product are dealt.
 SALTS = 8
+#: Keys over which products are dealt. A call of the state's Python code takes milliseconds and a read or
+#: write of one entry a tenth of one, so a call serves a bucket, in which each product has its own entry.
+BUCKETS = 1024
 
 
 def price_slices(points: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -142,7 +145,7 @@ def price_slices(points: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame
         batch = pa.RecordBatch.from_arrays(
             [
                 table.column("product").combine_chunks().take(first).take(order_of),
-                pa.array(np.where(kinds == INNER, part % SALTS, 0).astype(np.int32)), pa.array(kinds),
+                pa.array(np.where(kinds == INNER, 1 + part % SALTS, 0).astype(np.int32)), pa.array(kinds),
                 pa.array(np.full(len(kinds), part, np.int32)), lists(prices), lists(times), pa.nulls(len(kinds), pa.float64()),
             ],
             ["product", "salt", "kind", "slice", "prices", "times", "threshold"],
@@ -155,60 +158,80 @@ def price_slices(points: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame
 
 
 class PriceState(StatefulProcessor):
-    """Last price and threshold of a product; alerts of the points of a batch."""
+    """Last price and threshold of the products of a bucket; alerts of the points of a batch.
+
+    The first key of a bucket has an entry for each product. The others see only slices of products
+    that fill much of a batch and keep the thresholds alone, as a log that is read when such a slice comes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.price = handle.getValueState("price", "price double")
-        self.threshold = handle.getValueState("threshold", "threshold double")
+        self.products = handle.getMapState("products", "name string", "price double, threshold double")
+        self.log = handle.getListState("log", "names array<string>, thresholds array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        packed, edges, limits = [], [], []
-        for chunk in rows:
-            for row in chunk.itertuples():
-                if row.kind == THRESHOLD:
-                    limits.append(row.threshold)
-                elif row.kind == EDGE:
-                    edges.append((row.slice, np.asarray(row.prices, float), np.asarray(row.times, np.int64)))
-                else:
-                    packed.append((row.kind, np.asarray(row.prices, float), np.asarray(row.times, np.int64)))
-        if limits:
-            (limit,) = limits[-1:]
-            if limit is not None and limit > 0:
-                self.threshold.update((float(limit),))
-            else:
-                self.threshold.clear()
-        if not packed and not edges:
-            return
-        limit = self.threshold.get() if packed else None
-        before = self.price.get() if edges or any(kind == WHOLE for kind, *_ in packed) else None
-        last = np.nan if before is None else before[0]
-        found = []
-        for kind, prices, times in packed:
-            found.append(_changes(last if kind == WHOLE else np.nan, prices, times))
-            if kind == WHOLE:
-                last = prices[-1]
-            if limit is not None:
-                low = prices <= limit[0]
-                found.append((times[low], np.full(low.sum(), np.nan), prices[low], np.full(low.sum(), "threshold"), np.full(low.sum(), limit[0])))
-        for _, prices, times in sorted(edges, key=lambda e: e[0]):
-            found.append(_changes(last, prices[:1], times[:1]))
-            last = prices[-1]
-        if not np.isnan(last):
-            self.price.update((float(last),))
-        at, prev, curr, direction, threshold = (np.concatenate(c) for c in zip(*found, strict=True))
-        if len(at):
-            yield pd.DataFrame({"product": [key[0]] * len(at), "at": at, "prev": prev, "curr": curr, "direction": direction, "threshold": threshold})
+        table = pd.concat(list(rows), ignore_index=True)
+        limits = table[table["kind"] == THRESHOLD]
+        given = {name: float(limit) if limit > 0 else None for name, limit in zip(limits["name"], limits["threshold"], strict=True)}
+        yield from self._slices(given, table[table["kind"] == INNER]) if key[1] else self._products(given, table[table["kind"] != THRESHOLD])
+
+    def _slices(self, given: dict[str, float | None], inner: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if given:
+            self.log.appendValue((list(given), list(given.values())))
+        if len(inner):
+            known, entries = {}, 0
+            for names, limits in self.log.get() if self.log.exists() else ():
+                known.update(zip(names, limits, strict=True))
+                entries += len(names)
+            if entries > 2 * len(known):
+                self.log.put([(list(known), list(known.values()))])
+            yield _alerts(inner, np.nan, [known.get(name) for name in inner["name"]])
+
+    def _products(self, given: dict[str, float | None], points: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        known = self.products.exists()
+        before = {name: self.products.getValue((name,)) if known else None for name in dict.fromkeys([*given, *points["name"]])}
+        state = {name: [None, None] if seen is None else list(seen) for name, seen in before.items()}
+        for name, limit in given.items():
+            state[name][1] = limit
+        whole = points[points["kind"] == WHOLE]
+        if len(whole):
+            yield _alerts(whole, [state[name][0] for name in whole["name"]], [state[name][1] for name in whole["name"]])
+            for name, prices in zip(whole["name"], whole["prices"], strict=True):
+                state[name][0] = float(prices[-1])
+        edges = points[points["kind"] == EDGE].sort_values("slice")
+        if len(edges):
+            last = []
+            for name, prices in zip(edges["name"], edges["prices"], strict=True):
+                last.append(state[name][0])
+                state[name][0] = float(prices[-1])
+            # Thresholds of these points are looked up where their slices are.
+            firsts = edges.assign(prices=[p[:1] for p in edges["prices"]], times=[t[:1] for t in edges["times"]])
+            yield _alerts(firsts, last, [None] * len(edges))
+        for name, now in state.items():
+            if now == [None, None]:
+                if before[name] is not None:
+                    self.products.removeKey((name,))
+            elif before[name] is None or now != list(before[name]):
+                self.products.updateValue((name,), tuple(now))
 
     def close(self) -> None:
         pass
 
 
-def _changes(last: float, prices: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Points that differ from the one before; the first is compared with ``last``, NaN for none."""
-    prev = np.concatenate([[last], prices[:-1]])
-    changed = ~np.isnan(prev) & (prev != prices)
-    prev, curr = prev[changed], prices[changed]
-    return times[changed], prev, curr, np.where(curr < prev, "drop", "increase"), np.full(len(curr), np.nan)
+def _alerts(rows: pd.DataFrame, last: float | list[float | None], limits: list[float | None]) -> pd.DataFrame:
+    """Alerts of packed points; the first of a row is compared with its ``last``, none without."""
+    lengths = np.array([len(p) for p in rows["prices"]])
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    curr, at = np.concatenate(list(rows["prices"])).astype(float), np.concatenate(list(rows["times"])).astype(np.int64)
+    prev = np.concatenate([[np.nan], curr[:-1]])
+    prev[np.cumsum(lengths) - lengths] = np.asarray(last, float)
+    limit = np.asarray(limits, float)[owner]
+    changed, low = np.flatnonzero(~np.isnan(prev) & (prev != curr)), np.flatnonzero(curr <= limit)
+    both = np.concatenate([changed, low])
+    return pd.DataFrame({
+        "name": rows["name"].to_numpy()[owner[both]], "at": at[both], "prev": np.concatenate([prev[changed], np.full(len(low), np.nan)]), "curr": curr[both],
+        "direction": np.concatenate([np.where(curr[changed] < prev[changed], "drop", "increase"), np.full(len(low), "threshold")]).astype(object),
+        "threshold": np.concatenate([np.full(len(changed), np.nan), limit[low]]),
+    })
 
 
 def price_alerts(points: DataFrame, thresholds: DataFrame | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -217,26 +240,30 @@ def price_alerts(points: DataFrame, thresholds: DataFrame | None = None, order:
     ``drop`` or ``increase``: the price differs from that of the point before; ``threshold``: it is
     not above the product's threshold. Points are taken batch by batch, in a batch by ``order``.
     ``thresholds`` is a stream of product and threshold: a later one replaces the one before, 0 and
-    null remove it, and it holds from its own batch on. Price and threshold of a product are keyed
-    state in RocksDB, so a batch costs what its own products cost, however many are known.
+    null remove it, and it holds from its own batch on. Price and threshold of a product are an entry
+    of keyed state in RocksDB, so a batch costs what its own products cost, however many are known.
     """
     readable = points.withColumn("price", strip_price(F.col("price_text"))).where(F.col("price").isNotNull())
     packed = price_slices(readable, order)
+    # A null product has a name too: the entries of a bucket have no null keys.
+    name = F.coalesce(F.concat(F.lit("="), F.col("product").cast("string")), F.lit("")).alias("name")
+    product = packed.schema["product"].dataType
+    packed = packed.select(name, "salt", "kind", "slice", "prices", "times", "threshold")
     if thresholds is not None:
-        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS + 1)]))
         packed = packed.unionByName(
-            thresholds.select(
-                F.col("product").cast(packed.schema["product"].dataType).alias("product"), salts.alias("salt"), F.lit(THRESHOLD).alias("kind"),
-                F.lit(0).alias("slice"), F.lit(None).cast("array<double>").alias("prices"),
+            thresholds.withColumn("product", F.col("product").cast(product)).select(
+                name, salts.alias("salt"), F.lit(THRESHOLD).alias("kind"), F.lit(0).alias("slice"), F.lit(None).cast("array<double>").alias("prices"),
                 F.lit(None).cast("array<bigint>").alias("times"), F.col("threshold").cast("double").alias("threshold"),
             )
         )
-    product = packed.schema["product"].dataType.simpleString()
-    alerts = packed.groupBy("product", "salt").transformWithStateInPandas(
-        PriceState(), f"product {product}, at bigint, prev double, curr double, direction string, threshold double", "Update", "none"
+    bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    alerts = packed.select(bucket, "*").groupBy("bucket", "salt").transformWithStateInPandas(
+        PriceState(), "name string, at bigint, prev double, curr double, direction string, threshold double", "Update", "none"
     )
+    found = F.when(F.col("name") != "", F.expr("substring(name, 2)")).cast(product).alias("product")
     given = {c: F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("prev", "threshold")}
-    return alerts.select("product", F.timestamp_micros("at").alias("captured_at"), given["prev"], "curr", "direction", given["threshold"])
+    return alerts.select(found, F.timestamp_micros("at").alias("captured_at"), given["prev"], "curr", "direction", given["threshold"])
 
 
 def price_changes(points: DataFrame, folder: str, order: tuple[str, ...] = ORDER, thresholds: DataFrame | None = None) -> str:

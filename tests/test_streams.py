@@ -174,3 +174,26 @@ def test_subscription_changes_need_no_email(spark, tmp_path):
         batch = A.subscription_state(accounts, spark.createDataFrame(rows[:b], EVENTS)).collect()
         assert got == {r["email"]: (r["customer_id"], r["premium"], r["since"]) for r in batch if r["email"] in got}
     assert set(got) == {"a@x", "b@x", "c@x"}
+
+
+def test_time_of_a_batch_is_not_one_call_a_product(spark, tmp_path):
+    """Points and thresholds of 10,000 products take little more than those of 100; names are texts, one is null."""
+    def seconds(n):
+        folder, limits = str(tmp_path / f"in{n}"), str(tmp_path / f"limits{n}")
+        name = "CASE WHEN id > 0 THEN 'p' || id END"
+        spark.range(n).selectExpr(
+            f"{name} AS product", "1L AS store", f"explode(array(timestamp '{START}', timestamp '{START + dt.timedelta(1)}')) AS captured_at", "100L AS price_cents", "1L AS l_orderkey", "1 AS l_linenumber",
+        ).selectExpr("*", "'$' || day(captured_at) AS price_text").coalesce(1).write.parquet(f"{folder}/a")
+        spark.range(n).selectExpr(f"{name} AS product", "1.5D AS threshold").coalesce(1).write.parquet(f"{limits}/a")
+        columns = POINTS.replace("product long", "product string")
+        started = dt.datetime.now()
+        output = J.price_changes(stream(spark, folder, columns), str(tmp_path / f"job{n}"), thresholds=stream(spark, limits, "product string, threshold double"))
+        took = (dt.datetime.now() - started).total_seconds()
+        found = spark.read.parquet(output)
+        assert {(r["direction"], r["prev"], r["curr"], r["threshold"]): r["count"] for r in found.groupBy("direction", "prev", "curr", "threshold").count().collect()} == {
+            ("increase", 1.0, 2.0, None): n, ("threshold", None, 1.0, 1.5): n}
+        assert found.where("product is null").count() == 2
+        return took
+
+    few, many = seconds(100), seconds(10_000)
+    assert many < 2 * few + 5, (few, many)
