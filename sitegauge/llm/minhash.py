@@ -12,7 +12,6 @@ each does not settle must also share one of their rarest runs, as all similar te
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ BANDS, BAND_REGISTERS = 24, 5
 #: Members that one hub is compared with in one block.
 BLOCK_MEMBERS = 256
 #: How many times as many hubs a bucket names in each further round.
-HUB_GROWTH = 16
+HUB_GROWTH = 64
 #: Bits of the table that tells how rare a run is, and of its rows; counts in it stop at 255.
 RARITY_BITS, RARITY_ROW_BITS = 22, 12
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -319,45 +318,84 @@ def rarest_runs(text: np.ndarray, run: np.ndarray, weight: np.ndarray, texts: in
     text lacks weigh at most 1 - similar; the first runs that weigh more hold a common one. The
     first common run in the order is then among the first of both texts. Both bounds are kept.
     """
+    n, _, place, before = places(text, run, weight, texts, often)
+    return (place < n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1) | (before <= 1 - similar + 1e-9)
+
+
+def places(text: np.ndarray, run: np.ndarray, weight: np.ndarray, texts: int, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For every run in the order of ``rarest_runs``: runs and weight of its text, number and share of the weight before it."""
     order = np.lexsort((run, often, text))
     n = np.bincount(text, minlength=texts)
     first = np.cumsum(n) - n
-    place = np.arange(len(text)) - first[text]
-    plain = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
     total = np.bincount(text, weights=weight, minlength=texts)
     sums = np.concatenate([[0.0], np.cumsum(weight[order])])
-    before = (sums[:-1] - sums[first[text]]) / total[text]
-    kept = np.zeros(len(text), bool)
-    kept[order] = (place < plain[text]) | (before <= 1 - similar + 1e-9)
-    return kept
+    place, before = np.empty(len(text), np.int64), np.empty(len(text))
+    place[order] = np.arange(len(text)) - first[text]
+    before[order] = (sums[:-1] - sums[first[text]]) / total[text]
+    return n[text], total[text], place, before
+
+
+def may_be_similar(similar: float) -> Column:
+    """Whether two texts can be similar if a run is the first in the order of runs that both have.
+
+    Each text has columns ``n`` (runs), ``weight`` (of them all), ``place`` (runs before that run) and
+    ``before`` (their share of the weight), those of the other text with ``hub_`` in front. Plain: what
+    comes before is not common, so the texts share at most m = min(n - place) runs, and are similar by
+    at most m / (n + n' - m). Weighted: let a and b be the shares that are not common, x and y the
+    normalised weights of a common run. The term of that run in probability Jaccard is one over a sum of
+    at least 1/x + b/y and at least 1/y + a/x, hence of at least the mean of the two; so it is at most the
+    harmonic mean of x / (1 + a) and y / (1 + b), and that at most their mean. All terms make at most
+    ((1 - a) / (1 + a) + (1 - b) / (1 + b)) / 2, which falls as a and b rise. What comes before is not
+    common, nor are n - m runs of a weight of 1 or more each.
+    """
+    most = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+    plain = most / (F.col("n") + F.col("hub_n") - most)
+
+    def common(of: str) -> Column:
+        apart = F.greatest(F.col(f"{of}before"), (F.col(f"{of}n") - most) / F.col(f"{of}weight"))
+        return (1 - apart) / (1 + apart)
+
+    return F.greatest(plain, (common("") + common("hub_")) / 2) >= similar - 1e-9
 
 
 def rare_buckets(words: DataFrame, similar: float) -> DataFrame:
-    """(key, node): nodes that have one of their rarest runs in common; all pairs of similar nodes share a key."""
+    """Nodes that have one of their rarest runs in common; all pairs of similar nodes share a key.
+
+    Columns: key, node, and n, weight, place and before of ``may_be_similar``. Keys sort as the runs do in the
+    order of all texts. They keep 55 bits of a run's code: runs that share a key only meet more often.
+    """
     often = rarity(words)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, run, weight = weighted_runs(texts_of(batch, "words"))
         seen = often[run >> np.uint64(64 - RARITY_BITS)]
         kept = rarest_runs(text, run, weight, batch.num_rows, seen, similar) & (seen > 1)  # a run that occurs once is shared with none
-        return pa.RecordBatch.from_arrays([pa.array(run[kept].view(np.int64)), batch.column("node").take(pa.array(text[kept]))], ["key", "node"])
+        key = (seen[kept].astype(np.int64) << 55) | (run[kept] >> np.uint64(9)).view(np.int64)
+        node = batch.column("node").take(pa.array(text[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(key), node, *[pa.array(p[kept]) for p in places(text, run, weight, batch.num_rows, seen)]], ["key", "node", "n", "weight", "place", "before"])
 
-    rows = by_slices(words.select("node", "words"), "words", work, "key long, node string")
+    rows = by_slices(words.select("node", "words"), "words", work, "key long, node string, n long, weight double, place long, before double")
     buckets = written(rows)
-    # Buckets with the same members are one: members are digests, so equal sums of both halves mean equal sets.
+    # Buckets with the same members are one, of their first key: members are digests, so equal sums of both halves mean equal sets.
     halves = [F.conv(F.substring("node", i, 16), 16, 10).cast("decimal(38,0)") for i in (1, 17)]
-    sets = buckets.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"half{i}") for i, h in enumerate(halves)]).where("n > 1")
-    chosen = sets.groupBy("n", "half0", "half1").agg(F.min("key").alias("key")).select("key")
+    sets = buckets.groupBy("key").agg(F.count("*").alias("members"), *[F.sum(h).alias(f"half{i}") for i, h in enumerate(halves)]).where("members > 1")
+    chosen = sets.groupBy("members", "half0", "half1").agg(F.min("key").alias("key")).select("key")
     return _rejoin(buckets, chosen, "key")
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of the buckets whose members are in more than one component."""
+    """Rows of the buckets (key, node) whose members are in more than one component, with their labels."""
     live = _rejoin(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = live.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     return written(_rejoin(live, several, "key"))
 
 
+def _merged(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels of nodes after components of labels were found, and of the nodes without a label that these hold."""
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti"))
+
+
 def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     """(node, label) of nodes that have a link, from their bands; the others are classes of their own.
 
@@ -366,14 +404,15 @@ def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     texts that only have a passage in common do not. A bucket names hubs round by round,
     ``HUB_GROWTH`` times as many in each, and its members of other components are compared with
     them. Hubs then leave the bucket. Their order is one for all buckets, so a pair is compared in
-    one direction, and mostly once. A bucket is done once the rest of it lies in one component. So
-    each pair of nodes that share a band was compared, was already joined, or cannot be similar: of
-    these no link is lost, and no bucket is capped. (A pair at exactly 0.8 shares no band once in
-    14,000 times.) Components are those of the first round until the end, when the few links of
-    later rounds join them; that costs some comparisons within a component and saves the rounds of joining.
+    one direction. Of the buckets that a pair shares, the one of its first common run bounds its
+    similarity by what comes before that run (``may_be_similar``); bounds of later ones are lower, so a
+    pair is compared only where the bucket's bound allows it. A bucket is done once the rest of it lies
+    in one component; links of a round join components before the next. So each pair of nodes that
+    share a band was compared, was already joined, or cannot be similar: of these no link is lost, and
+    no bucket is capped. (A pair at exactly 0.8 shares no band once in 14,000 times.)
     """
     labels, waiting = split_by_hub(bands, words, similar)
-    later, hubs_each = [], 1
+    hubs_each = 1
     opened = _open(waiting, labels)
     discard(waiting)
     live = None
@@ -385,24 +424,20 @@ def labels_of(bands: DataFrame, words: DataFrame, similar: float) -> DataFrame:
     while live is not None and not live.isEmpty():
         rank = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
         hubs = written(live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs_each).select(
-            "key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+            "key", F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("label", "n", "weight", "place", "before")]))
         onwards = F.struct(F.xxhash64("hub"), F.col("hub")) < F.struct(F.xxhash64("node"), F.col("node"))
-        pairs = _rejoin(live, hubs, "key").where(F.expr("label <> hub_label") & onwards)
+        pairs = _rejoin(live, hubs, "key").where(F.expr("label <> hub_label") & onwards & may_be_similar(similar))
         pairs = written(pairs.select("hub", F.col("node").alias("member"), "hub_label", "label").distinct())
         linked = compared(pairs.select("hub", "member"), words).where(F.greatest("weighted", "plain") >= similar)
-        joined = pairs.join(linked, ["hub", "member"], "left_semi").select(F.col("hub_label").alias("u"), F.col("label").alias("v"))
-        later.append(written(joined))
-        waiting = written(live.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
+        links = written(pairs.join(linked, ["hub", "member"], "left_semi").select(F.col("hub_label").alias("u"), F.col("label").alias("v")))
+        waiting = written(live.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").drop("label"))
         discard(hubs, pairs, live)
+        if not links.isEmpty():
+            labels = written(_merged(labels, components(links)))
         live = _open(waiting, labels)
-        discard(waiting)
+        discard(waiting, links)
         hubs_each *= HUB_GROWTH
-    if not later:
-        return labels
-    # Components of components, and the old members behind them.
-    merged = components(reduce(DataFrame.unionByName, later))
-    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-    return moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(merged.join(labels.select("node"), "node", "left_anti"))
+    return labels
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR) -> DataFrame:

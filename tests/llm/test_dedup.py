@@ -128,6 +128,45 @@ def test_similar_texts_share_one_of_their_rarest_runs():
     assert checked[0] > 50
 
 
+def test_bound_of_the_first_common_run_holds_for_similar_texts(spark):
+    import numpy as np
+
+    draw, rows, similar = np.random.default_rng(6), [], []
+    for trial in range(300):
+        often = np.where(np.arange(600) < 300, 9, draw.integers(1, 9, 600))
+        base = draw.choice(300, int(draw.integers(2, 120)), replace=False)
+        a = {int(k): float(draw.integers(1, 2 + trial % 4)) for k in base}
+        b = {k: w for k, w in a.items() if draw.random() > trial % 5 * 0.04} | {int(k): 1.0 for k in draw.choice(600, trial % 3 * len(base) // 5)}
+        arrays = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+        found = [minhash.places(np.zeros(len(r), int), r, w, 1, often[r.astype(int)]) for r, w in arrays]
+        both = np.intersect1d(arrays[0][0], arrays[1][0])
+        if len(both):
+            first = min(both.tolist(), key=lambda k: (often[k], k))
+            rows.append([float(f[i][r == first][0]) for (r, _), f in zip(arrays, found, strict=True) for i in range(4)])
+            similar.append(max(minhash.similarities(*arrays)) >= 0.8)
+    names = [of + c for of in ("", "hub_") for c in ("n", "weight", "place", "before")]
+    got = [r["may"] for r in spark.createDataFrame(rows, names).coalesce(1).select(minhash.may_be_similar(0.8).alias("may")).collect()]
+    assert all(may for may, s in zip(got, similar, strict=True) if s)
+    assert sum(similar) > 50 and sum(not may for may in got) > 5
+
+
+def test_edited_copies_of_one_text_are_compared_less_than_pairwise(spark, monkeypatch):
+    """150 copies of one text with edits of their own: 0.62 to each other, and some near copies among them."""
+    rows = []
+    for i in range(150):
+        words = [f"shared{k}" for k in range(300)]
+        for k in range(7):
+            words[(i * 7 + k * 43) % 300] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 150, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, plain = [], minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda pairs, words: seen.append(pairs.count()) or plain(pairs, words))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == jaccard_classes(dict(rows))
+    assert sum(seen) < 10 * len(rows), seen
+
+
 def test_family_with_a_common_passage_needs_few_comparisons(spark, monkeypatch):
     """300 texts at about 0.7 to each other through one passage, with near copies of some among them."""
     passage = " ".join(f"shared{k}" for k in range(174))
