@@ -252,3 +252,13 @@ def test_price_history_counts_all_points(spark):
     r = PR.price_history(data).first()
     assert (r.points, r.lowest, r.highest, len(r.history), r.current_price) == (100, 901.0, 5000.0, 60, "$901")
     assert len(PR.price_history(data, limit=7).first().history) == 7
+
+
+def test_price_summary_orders_the_points_once(spark):
+    """Latest prices, previous ones and drops come from one pass; stores from a second without order."""
+    rows = [(1, 1, "$10.00", 1), (1, 1, "$8.00", 2), (1, 2, "$9.00", 1), (2, 1, "$5.00", 1), (2, 1, "$6.00", 2), (None, 3, "$7.00", 1), (2, 4, "n/a", 1)]
+    points = spark.createDataFrame([(p, s, t, at, 0, at, 1) for p, s, t, at in rows],
+                                   "product long, store long, price_text string, captured_at int, price_cents long, l_orderkey long, l_linenumber int")
+    summary = PR.price_report_summary(points.withColumn("captured_at", points.captured_at.cast("timestamp")))
+    assert summary.collect()[0].asDict() == {"num_products": 3, "num_stores": 3, "avg_price": 7.5, "price_drops": 1}
+    assert summary._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
