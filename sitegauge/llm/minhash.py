@@ -222,30 +222,34 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "hub string, member string, weighted double, plain double")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: each component is a star around its least node."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"))))
+    nodes = edges.select(ends.alias("end")).select("end.*").groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return nodes.where("out > 1 OR out > least").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node; the label is the least node of its component.
 
     Alternating stars: each node hands its larger, then its smaller neighbours the least node of
-    its neighbourhood, until nothing changes. The number of rounds grows with the logarithm of a
-    component's size; every round is an aggregate with partial sums and a join.
+    its neighbourhood, until only stars are left, which no round would change. The number of rounds grows
+    with the logarithm of a component's size; every round is an aggregate with partial sums and a join.
+    Both directions of an edge come from one row, not from a union, which would have its whole plan twice.
     """
+    def pairs(rows: DataFrame, *of: tuple[str, str]) -> DataFrame:
+        return rows.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in of])).alias("edge")).select("edge.*")
+
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _stars(edges):
+        both = pairs(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = _rejoin(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = _rejoin(large, least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        small = pairs(_rejoin(large, least, "u"), ("v", "m"), ("u", "m"))
         edges, before = written(small.where("u <> v").distinct()), edges
         discard(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        mark = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def split_by_hub(bands: DataFrame, words: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +266,7 @@ def split_by_hub(bands: DataFrame, words: DataFrame, similar: float) -> tuple[Da
     live = _rejoin(bands.select("key", "node"), degree, "node")
     rank = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
     hubs = live.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= 1).select("key", F.col("node").alias("hub"))
-    rows = written(_rejoin(live.select("key", "node"), hubs, "key").where("node <> hub").select("key", "hub", F.col("node").alias("member")))
+    rows = written(_rejoin(bands.select("key", "node"), hubs, "key").where("node <> hub").select("key", "hub", F.col("node").alias("member")))
     results = written(compared(rows.select("hub", "member").distinct(), words))
     labels = components(results.where(F.greatest("weighted", "plain") >= similar).select(F.col("hub").alias("u"), F.col("member").alias("v")))
     # Rounding must not put a member at the very edge on the wrong side: edges belong to both parts.

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from sitegauge.llm import exact_dedup, minhash
@@ -207,3 +208,30 @@ def test_registers_estimate_probability_jaccard():
     m = 4000
     s = [minhash.signatures(np.zeros(len(r), int), r, w, 1, m) for r, w in arrays]
     assert abs((s[0] == s[1]).mean() - exact) < 0.03
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Labels are the least nodes of the components; links that are stars already take no round."""
+    tables = []
+
+    def written(df):
+        tables.append(df)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(minhash, "written", written)
+    monkeypatch.setattr(minhash, "discard", lambda *_: None)
+    draw = random.Random(5)
+    chain = [(i, i + 1) for i in range(0, 30)]
+    loose = [(100 + draw.randrange(60), 100 + draw.randrange(60)) for _ in range(40)]
+    label = {n: n for link in chain + loose for n in link}
+    for _ in label:
+        for u, v in chain + loose:
+            label[u] = label[v] = min(label[u], label[v])
+    linked = {n for u, v in chain + loose if u != v for n in (u, v)}
+    found = minhash.components(spark.createDataFrame(chain + loose, "u int, v int")).collect()
+    assert {(r["node"], r["label"]) for r in found} == {(n, label[n]) for n in linked if label[n] != n}
+    tables.clear()
+    found = minhash.components(spark.createDataFrame([(1, 5), (5, 1), (1, 7), (2, 9), (3, 3)], "u int, v int")).collect()
+    assert sorted((r["node"], r["label"]) for r in found) == [(5, 1), (7, 1), (9, 2)]
+    assert len(tables) == 1
+    assert minhash.components(spark.createDataFrame([], "u int, v int")).isEmpty()
