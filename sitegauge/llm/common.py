@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters that one numpy step works on at most, unless a single text is longer.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
+
+#: Bytes of an Arrow batch where the session leaves Spark's default, which gives a worker and its executor 10,000 texts at once.
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,14 +117,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_CHA
             yield batch.slice(start)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """Rows of ``run`` on the Arrow batches of each task, which hold about ``BATCH_BYTES`` or what the session sets."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Hand freed memory back to the system at the end of a task: the worker stays beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def by_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Rows of ``work`` on every slice of the rows, in Arrow batches inside the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             yield work(batch)
-        pa.default_memory_pool().release_unused()  # the worker serves other stages next
+        release()
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

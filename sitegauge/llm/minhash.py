@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import by_slices, discard, fresh, slices, texts_of, written
+from sitegauge.llm.common import by_slices, discard, fresh, in_batches, release, slices, texts_of, written
 from sitegauge.llm.words import groups
 
 RUN_WORDS, SIMILAR = 5, 0.8
@@ -218,8 +218,9 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
             columns = list(zip(*found, strict=True)) if found else [[]] * 4
             types = (pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["hub", "member", "weighted", "plain"])
+        release()
 
-    return rows.mapInArrow(work, "hub string, member string, weighted double, plain double")
+    return in_batches(rows, work, "hub string, member string, weighted double, plain double")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -292,6 +293,7 @@ def rarity(words: DataFrame) -> np.ndarray:
         rows = sizes.reshape(-1, 1 << RARITY_ROW_BITS)
         filled = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array([rows[i].tobytes() for i in filled], pa.binary())], ["row", "sizes"])
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, sums = None, np.zeros(1 << RARITY_ROW_BITS, np.uint16)
@@ -307,7 +309,7 @@ def rarity(words: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.binary())], ["row", "sizes"])
 
     table = np.zeros((1 << (RARITY_BITS - RARITY_ROW_BITS), 1 << RARITY_ROW_BITS), np.uint8)
-    counted = words.select("words").mapInArrow(count, "row int, sizes binary").repartition("row").sortWithinPartitions("row")
+    counted = in_batches(words.select("words"), count, "row int, sizes binary").repartition("row").sortWithinPartitions("row")
     for row in counted.mapInArrow(add, "row int, sizes binary").collect():
         table[row["row"]] = np.frombuffer(row["sizes"], np.uint8)
     return table.reshape(-1)

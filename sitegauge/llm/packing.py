@@ -200,8 +200,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     their places. The broadcast plan is bounded by the capacity, not by the rows.
     """
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = pieces.sparkSession.createDataFrame(
-        best_fit(lengths, capacity), "length long, from_rank long, to_rank long, first_sequence long, per_sequence long, first_offset long")
+    names = ["length", "from_rank", "to_rank", "first_sequence", "per_sequence", "first_offset"]
+    columns = zip(*best_fit(lengths, capacity), strict=True) if lengths else [()] * len(names)
+    # An Arrow table becomes a local relation; a list of rows would start Python workers of another kind on the executors.
+    plan = pieces.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS))
     ranked = numbered(pieces, "rank", ["length"], bucket, [F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")])
     p, r = ranked.alias("p"), F.broadcast(plan).alias("r")

@@ -2,10 +2,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from sitegauge.llm.packing import best_fit, pack_documents, vocabulary
+from sitegauge.llm.common import by_slices
+from sitegauge.llm.packing import best_fit, pack, pack_documents, vocabulary
 from sitegauge.llm.pieces import encode_documents, pieces
 from sitegauge.llm.token_counts import Machine, count_tokens, counts
 from sitegauge.llm.words import BLOCK, Words
@@ -136,3 +139,21 @@ def test_pieces_of_words_with_equal_codes_come_back():
     assert model.decode(flat, upto) == texts
     alone = [model.encode([t])[0].tolist() for t in texts]
     assert [x.tolist() for x in np.split(flat, upto[:-1])] == alone
+
+
+def test_the_packing_plan_starts_no_workers(spark):
+    """The plan is a local relation; rows of Python lists took a second kind of workers on every executor."""
+    pieces = spark.range(5).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "id + 1 AS length", "id AS ids_crc32")
+    packed = pack(pieces, 8)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    assert packed.count() == 5 and pack(pieces.where("false"), 8).count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    """Ten thousand texts of a thousand bytes are not one batch."""
+    rows = spark.range(0, 10_000, 1, 1).select(F.expr("repeat('x', 1000)").alias("text"))
+
+    def work(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.column("text").buffers()[2].size])], ["bytes"])
+
+    assert by_slices(rows, "text", work, "bytes long").agg(F.max("bytes")).first()[0] < 4_000_000
