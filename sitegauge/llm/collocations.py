@@ -379,7 +379,8 @@ def _sorted_counts(blocks: DataFrame, least: int, chunk: int) -> DataFrame:
             end = whole.num_rows if last else int(np.flatnonzero(_starts(whole))[-1])  # the last route may go on
             if end:
                 yield from _counted(whole.slice(0, end), least)
-            held = [_merged(whole.slice(end))] if end < whole.num_rows else []
+            # Batches that follow are joined to it: Spark's columns may be known to hold no nulls, its own are not.
+            held = [_merged(whole.slice(end)).cast(whole.schema)] if end < whole.num_rows else []
             size = sum(len(b.column("counts").flatten()) for b in held)
             most = max(chunk, 2 * size)
 

@@ -54,6 +54,20 @@ def test_against_brute_force(spark, routes, least, absorbed):
     assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got) == brute(rows, least, 50, absorbed)
 
 
+@pytest.mark.parametrize("routes,batch", [(1, 3), (20, 7), (10**9, 50)])
+def test_routes_go_on_in_the_next_batch(spark, routes, batch):
+    """A task merges the blocks of a route that came so far and goes on with later batches; no crowded route, some, and all."""
+    rows, name = texts(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        phrases, languages = frequent_phrases(spark.createDataFrame(rows, "lang string, text string").repartition(3), 5, routes=routes, chunk=40)
+        got = collocations(phrases, languages, 5, 50).collect()
+    finally:
+        spark.conf.set(name, kept)
+    assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got) == brute(rows, 5, 50)
+
+
 def test_no_rows(spark):
     phrases, languages = frequent_phrases(spark.createDataFrame([], "lang string, text string"), 2)
     assert collocations(phrases, languages, 2, 10).count() == 0
