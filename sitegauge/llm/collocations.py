@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import slices, written
+from sitegauge.llm.common import in_batches, slices, written
 
 #: What ends a piece and what parts words; A-Z are lower-cased.
 PIECE_ENDS, GAPS = ".,;:!?\n\v\f\r", " \t"
 UNKNOWN = "und"
 LONGEST = 5
-#: Words that a task sorts at once.
-CHUNK = 1_500_000
+#: Words that a task sorts at once, and phrases of whole routes, unless one route has more.
+CHUNK, SORTED = 1_500_000, 250_000
 #: Routes of a language; raise the number with the cluster. A route with over ``CROWDED`` times its
 #: share of all pointers is routed by one more word, so less than a ``CROWDED``-th of them are.
 ROUTES, CROWDED = 1024, 4
@@ -359,6 +359,19 @@ def _counted(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
                 ["lang", "phrase", "n_words", "f"])
 
 
+def _by_routes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Whole routes of a sorted batch, of at most ``most`` phrases together or one route."""
+    starts = np.flatnonzero(_starts(batch)) if batch.num_rows else np.zeros(0, np.int64)
+    before = np.append(0, np.cumsum(pc.list_value_length(batch.column("counts")).to_numpy(zero_copy_only=False), dtype=np.int64))
+    ends = np.append(starts[1:], batch.num_rows)
+    at = 0
+    while at < batch.num_rows:
+        first = np.searchsorted(ends, at, side="right")
+        last = max(first, np.searchsorted(before[ends], before[at] + most, side="right") - 1)
+        yield batch.slice(at, ends[last] - at)
+        at = int(ends[last])
+
+
 def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
     """One block of several with one key: equal phrases are one."""
     _, words, vocabulary, weights = _read(batch)
@@ -375,10 +388,10 @@ def _sorted_counts(blocks: DataFrame, least: int, chunk: int) -> DataFrame:
 
         def ready(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, most
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            whole, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
             end = whole.num_rows if last else int(np.flatnonzero(_starts(whole))[-1])  # the last route may go on
-            if end:
-                yield from _counted(whole.slice(0, end), least)
+            for part in _by_routes(whole.slice(0, end), SORTED):
+                yield from _counted(part, least)
             # Batches that follow are joined to it: Spark's columns may be known to hold no nulls, its own are not.
             held = [_merged(whole.slice(end)).cast(whole.schema)] if end < whole.num_rows else []
             size = sum(len(b.column("counts").flatten()) for b in held)
@@ -392,7 +405,7 @@ def _sorted_counts(blocks: DataFrame, least: int, chunk: int) -> DataFrame:
         if held:
             yield from ready(True)
 
-    return blocks.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(work, COUNTED)
+    return in_batches(blocks.repartition(*KEY).sortWithinPartitions(*KEY), work, COUNTED)
 
 
 # --- operators -------------------------------------------------------------------------------
@@ -410,9 +423,9 @@ def frequent_phrases(
     work: leading words of at least ``least`` occurrences never are.
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text_column}`").alias("text"))
-    rows = texts.mapInArrow(_routed(least), "row int, hashes binary, counts binary").repartition("row").sortWithinPartitions("row")
+    rows = in_batches(texts, _routed(least), "row int, hashes binary, counts binary").repartition("row").sortWithinPartitions("row")
     often = np.zeros((1 << ROW_BITS, 1 << (MAP_BITS - ROW_BITS - 3)), np.uint8)
-    for row in rows.mapInArrow(_frequent(least), "row int, bits binary").collect():
+    for row in in_batches(rows, _frequent(least), "row int, bits binary").collect():
         often[row["row"]] = np.frombuffer(row["bits"], np.uint8)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +433,7 @@ def frequent_phrases(
         for words in _words(batches):
             yield from _suffix_blocks(words, wanted, routes)
 
-    blocks = written(texts.mapInArrow(cut, BLOCKS))
+    blocks = written(in_batches(texts, cut, BLOCKS))
     languages = blocks.where("k = 0").groupBy("lang").agg(F.sum("total").alias("n"))
     share = (languages.agg(F.sum("n")).first()[0] or 0) * CROWDED // routes
     done, level = blocks.where("k = 1"), blocks.where("k = 2")
@@ -431,7 +444,7 @@ def frequent_phrases(
         if not crowded:
             break
         is_crowded = F.concat_ws("\n", F.col("route").cast("string"), "lang").isin(crowded)
-        split = written(level.where(is_crowded).mapInArrow(_deeper(k, routes), BLOCKS))
+        split = written(in_batches(level.where(is_crowded), _deeper(k, routes), BLOCKS))
         done = done.unionByName(level.where(~is_crowded)).unionByName(split.where("exact"))
         level = split.where("NOT exact")
     return written(_sorted_counts(done.unionByName(level), least, chunk)), languages

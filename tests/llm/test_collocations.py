@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sitegauge.llm.collocations import collocations, frequent_phrases, three_way
+from sitegauge.llm.collocations import _by_routes, collocations, frequent_phrases, three_way
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -99,3 +100,18 @@ def test_partitions_of_equal_words(least):
         if not ended:
             got |= {(group[p], *(int(w[p]) for w in words[: depth + 1])): int(n) for p, n in zip(first, sums)}
     assert got == {k: n for k, n in want.items() if n >= least}
+
+
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_routes_are_sorted_whole(most):
+    """Pieces are all rows in order, cut between routes only, with at most the given phrases unless one route has more."""
+    draw = random.Random(most)
+    sizes = [(route, draw.randint(1, 5)) for route in sorted(draw.randint(0, 30) for _ in range(200))]
+    names = ["lang", "k", "exact", "route", "counts"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*(("en", 2, False, r, [1] * n) for r, n in sizes))], names)
+    parts = list(_by_routes(batch, most))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    routes = [sorted(set(p.column("route").to_pylist())) for p in parts]
+    assert sum(routes, []) == sorted({r for r, _ in sizes})
+    assert all(len(r) == 1 or len(p.column("counts").flatten()) <= most for r, p in zip(routes, parts))
+    assert list(_by_routes(batch.slice(0, 0), most)) == []
